@@ -111,8 +111,8 @@ def _loads(text: str | None):
         return None
 
 
-def facts_of(document, path: tuple[str, ...]) -> Iterator[tuple[int, str]]:
-    """(ord, pred) of every object with a string pred below path, in reading order; steps of the path given as JSON text are read too."""
+def fact_objects(document, path: tuple[str, ...]) -> Iterator[tuple[dict, str]]:
+    """(object, pred) of every object with a string pred below path, in reading order; steps of the path given as JSON text are read too."""
     x = document
     for step in path:
         if not isinstance(x, dict):
@@ -120,13 +120,12 @@ def facts_of(document, path: tuple[str, ...]) -> Iterator[tuple[int, str]]:
         x = x.get(step)
         if isinstance(x, str):
             x = _loads(x)
-    n, stack = 0, [x]
+    stack = [x]
     while stack:
         x = stack.pop()
         if isinstance(x, dict):
             if isinstance(x.get("pred"), str):
-                yield n, x["pred"]
-                n += 1
+                yield x, x["pred"]
             stack.extend(reversed(x.values()))
         elif isinstance(x, list):
             stack.extend(reversed(x))
@@ -151,7 +150,7 @@ def tagged_json(df: DataFrame, key: str, column: str, fact_path: tuple[str, ...]
                     continue
                 out += _visit(value, column, f"{k}/{column}", k, 0)
                 if fact_path:
-                    out += [(fact_tag, f"{k}/{fact_tag}/{i}", k, i, json.dumps({"pred": p}, ensure_ascii=False)) for i, p in facts_of(value, fact_path)]
+                    out += [(fact_tag, f"{k}/{fact_tag}/{i}", k, i, json.dumps({"pred": p}, ensure_ascii=False)) for i, (_, p) in enumerate(fact_objects(value, fact_path))]
             yield pd.DataFrame(out, columns=["tag", "pk", "parent_pk", "ord", "payload"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(column).alias("value")).where("key is not null and value is not null")
@@ -196,3 +195,47 @@ def flat_leaves(observations: DataFrame, regulations: DataFrame) -> DataFrame:
     pre = tagged_json(now, "regulation_id", "data", ("pattern", "pre")).where(F.col("tag") == "pattern.pre")
     from_reg = pre.select(F.lit("regulations").alias("record_table"), F.col("parent_pk").alias("record_id"), F.lit("pattern.pre").alias("path"), "ord", pred.alias("leaf"))
     return from_obs.unionByName(from_reg).distinct()
+
+
+def rule_sides(df: DataFrame, key: str, column: str, path: tuple[str, ...] = ("pattern",), sides: tuple[str, ...] = ("pre", "eff")) -> DataFrame:
+    """(<key>, side, ord, pred, val): the facts below either side of a rule's JSON text, in reading order.
+
+    val is a string's content or the JSON text of another value, null where
+    there is none. Damaged texts make no row.
+    """
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k, text in zip(pdf.key, pdf.value, strict=True):
+                value = _loads(text)
+                for side in sides:
+                    out += [(k, side, i, p, v) for i, p, v in _facts_with_values(value, (*path, side))]
+            yield pd.DataFrame(out, columns=[key, "side", "ord", "pred", "val"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(column).alias("value")).where("key is not null and value is not null")
+    return rows.mapInPandas(visit, f"`{key}` string, side string, ord long, pred string, val string")
+
+
+def _facts_with_values(document, path: tuple[str, ...]) -> Iterator[tuple[int, str, str | None]]:
+    for n, (fact, pred) in enumerate(fact_objects(document, path)):
+        v = fact.get("value")
+        yield n, pred, v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+def rule_args(df: DataFrame, key: str, column: str, path: tuple[str, ...] = ("pattern",), sides: tuple[str, ...] = ("pre", "eff")) -> DataFrame:
+    """(<key>, side, pred, args): the arguments of each fact of a rule as a map of strings, null where it has none."""
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k, text in zip(pdf.key, pdf.value, strict=True):
+                value = _loads(text)
+                for side in sides:
+                    for fact, pred in fact_objects(value, (*path, side)):
+                        args = fact.get("args")
+                        out.append((k, side, pred, {a: v if v is None or isinstance(v, str) else json.dumps(v) for a, v in args.items()} if isinstance(args, dict) else None))
+            yield pd.DataFrame(out, columns=[key, "side", "pred", "args"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(column).alias("value")).where("key is not null and value is not null")
+    return rows.mapInPandas(visit, f"`{key}` string, side string, pred string, args map<string,string>")
