@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.text import strip
-from causeway.session import scratch_path
+from causeway.session import materialize, scratch_path
 
 #: What a column may hold: the pattern of its text form and the closed range of its numbers.
 Domain = dict  # {"pattern": regex or None, "low": number or None, "high": number or None}
@@ -34,6 +34,9 @@ def value_deltas(df: DataFrame, feed: str, load_no: str, columns: list[str]) ->
     )
 
 
+_STORE = "feed string, load_no long, column_name string, value string, n long"
+
+
 class ValueCounts:
     """A persistent table (feed, load_no, column_name, value, n), maintained by signed deltas.
 
@@ -50,8 +53,11 @@ class ValueCounts:
         deltas.select("feed", "load_no", "column_name", "value", (F.col("n") * sign).alias("n")).write.mode("append").parquet(self.path)
 
     def counts(self) -> DataFrame:
-        rows = self.spark.read.parquet(self.path)
-        return rows.groupBy("feed", "load_no", "column_name", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+        return self.deltas().groupBy("feed", "load_no", "column_name", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+    def deltas(self) -> DataFrame:
+        """The signed counts as they were applied; whoever sums them needs no counts() first."""
+        return self.spark.read.schema(_STORE).parquet(self.path)
 
     def compact(self) -> None:
         fresh = f"{self.path}-next"
@@ -86,7 +92,7 @@ def _judged(counts: DataFrame, domains: dict[str, Domain]) -> DataFrame:
 
 
 def _windowed(judged: DataFrame) -> DataFrame:
-    """One row per (feed, load_no, column_name, status, number) with the counts now and in the load before.
+    """One row per (feed, load_no, column_name, status, flags, number) with the counts now and in the load before.
 
     Each count enters the window of its own load and, with the opposite sign,
     that of the load after, where it leaves: the deltas whose sum is the change
@@ -97,6 +103,7 @@ def _windowed(judged: DataFrame) -> DataFrame:
         judged.select("feed", "column_name", "status", "bad_pattern", "bad_range", F.when(F.col("status") == "ok", F.col("number")).alias("number"), F.explode(both).alias("d"))
         .groupBy("feed", F.col("d.at").alias("load_no"), "column_name", "status", "bad_pattern", "bad_range", "number")
         .agg(F.sum("d.now").alias("now"), F.sum("d.before").alias("before"))
+        .where("now <> 0 or before <> 0")
     )
 
 
@@ -124,35 +131,38 @@ def profile(counts: DataFrame, domains: dict[str, Domain]) -> DataFrame:
     return agg.withColumn("mean", F.col("__total") / valid).withColumn("entropy", F.greatest(F.lit(0.0), F.log2(valid) - F.col("__nlogn") / valid)).drop("__total", "__nlogn")
 
 
-def _largest_gap(windowed: DataFrame) -> DataFrame:
-    """(feed, load_no, column_name, gap): the largest difference, over x, of the shares of valid values <= x.
+#: Distinct values of two neighbouring loads that are sorted in one task at most, about.
+BIN_ROWS = 50_000
+
+
+def _largest_gap(windowed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(feed, load_no, column_name, gap, t_now, t_before): the largest difference, over x, of the numbers of valid values <= x, cross-multiplied.
 
-    The running sums are taken in two levels: within bins of neighbouring
-    numbers (the leading bits of the float, so a bin of one key never holds
-    more than a sliver of its values) and over the bins of a key, which are a
-    bounded number. No task sorts all values of a large load.
+    sizes: the same key, t_now, t_before and values, the number of distinct
+    values. The running sums are taken in two levels: within bins of
+    neighbouring numbers and over the bins of a key. The bins follow the
+    leading bits of the number, ever finer with the key's size, so that no task
+    sorts all values of a large load; a key of up to BIN_ROWS values is one bin.
     """
     key = ["feed", "load_no", "column_name"]
-    # 24 leading bits of the ordered form of the double: at most 2^12 bins per octave
-    binned = windowed.where("status = 'ok'").withColumn(
-        "bin", F.when(F.col("number") == 0, 0.0).otherwise(F.signum("number") * (F.floor(F.log2(F.abs("number"))) * 4096 + F.floor(F.abs(F.col("number")) / F.pow(F.lit(2.0), F.floor(F.log2(F.abs("number")))) * 4096) + 8_000_000))
-    )
+    x, fine = F.col("number"), F.ceil(F.col("values") / BIN_ROWS) * 64
+    octave = F.floor(F.log2(F.abs(x)))
+    # ordered like x: the octave, and inside it `fine` equal steps
+    place = octave * fine + F.floor((F.abs(x) / F.pow(F.lit(2.0), octave) - 1) * fine) + 1100 * fine
+    rows = windowed.where("status = 'ok'").select(*key, "number", "now", "before").join(sizes, key)
+    binned = rows.withColumn("bin", F.when((F.col("values") <= BIN_ROWS) | (x == 0), 0.0).otherwise(F.signum(x) * place))
     per_bin = binned.groupBy(*key, "bin").agg(F.sum("now").alias("bin_now"), F.sum("before").alias("bin_before"))
     over_bins = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*key)
-    starts = per_bin.select(
-        *key, "bin",
-        F.coalesce(F.sum("bin_now").over(over_bins), F.lit(0)).alias("s_now"), F.coalesce(F.sum("bin_before").over(over_bins), F.lit(0)).alias("s_before"),
-        F.sum("bin_now").over(whole).alias("t_now"), F.sum("bin_before").over(whole).alias("t_before"),
-    )
+    starts = per_bin.select(*key, "bin", *[F.coalesce(F.sum(f"bin_{c}").over(over_bins), F.lit(0)).alias(f"s_{c}") for c in ("now", "before")])
     within = Window.partitionBy(*key, "bin").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    run = binned.select(*key, "bin", F.sum("now").over(within).alias("r_now"), F.sum("before").over(within).alias("r_before"))
-    # whole counts are compared, so 0.35 is met exactly where it is met
-    gap = F.abs((F.col("s_now") + F.col("r_now")) * F.col("t_before") - (F.col("s_before") + F.col("r_before")) * F.col("t_now"))
-    return (
-        run.join(starts, [*key, "bin"]).where("t_now > 0 and t_before > 0")
-        .groupBy(*key, "t_now", "t_before").agg(F.max(gap).alias("gap"))
-    )
+    run = binned.select(*key, "bin", "t_now", "t_before", F.sum("now").over(within).alias("r_now"), F.sum("before").over(within).alias("r_before"))
+    # within a bin the gap is largest at its largest or smallest running difference, so a bin gives one row
+    diff = F.col("r_now") * F.col("t_before") - F.col("r_before") * F.col("t_now")
+    ends = run.groupBy(*key, "bin", "t_now", "t_before").agg(F.max(diff).alias("up"), F.min(diff).alias("down"))
+    start = F.col("s_now") * F.col("t_before") - F.col("s_before") * F.col("t_now")
+    # whole counts are compared, so a threshold is met exactly where it is met
+    gap = F.greatest(F.abs(start + F.col("up")), F.abs(start + F.col("down")))
+    return ends.join(starts, [*key, "bin"]).groupBy(*key, "t_now", "t_before").agg(F.max(gap).alias("gap"))
 
 
 def load_issues(
@@ -170,17 +180,19 @@ def load_issues(
     """
     key = ["feed", "load_no", "column_name"]
     judged = _judged(counts.where("feed is not null and load_no is not null"), domains)
-    win = _windowed(judged)
+    win = materialize(_windowed(judged), "load-windows")  # read for the sums and for the gaps
     of = lambda status, side: F.sum(F.when(F.col("status") == status, F.col(side)).otherwise(0))
     some = lambda side: F.sum(F.when((F.col("status") == "ok") & (F.col(side) > 0), 1).otherwise(0))
-    sums = win.groupBy(*key).agg(
+    sums = materialize(win.groupBy(*key).agg(
         F.sum("now").alias("rows_now"), F.sum("before").alias("rows_before"),
         of("null", "now").alias("null_now"), of("null", "before").alias("null_before"),
         of("ok", "now").alias("ok_now"), of("ok", "before").alias("ok_before"),
         some("now").alias("d_now"), some("before").alias("d_before"),
         F.sum(F.when(F.col("bad_pattern"), F.col("now")).otherwise(0)).alias("pattern_n"), F.sum(F.when(F.col("bad_range"), F.col("now")).otherwise(0)).alias("range_n"),
-    ).where("rows_now > 0")
-    gaps = _largest_gap(win).where(f"t_now >= {least} and t_before >= {least}").where(F.col("gap") >= F.lit(shift) * F.col("t_now") * F.col("t_before") - 1e-6)
+        F.count_if(F.col("status") == "ok").alias("values"),
+    ).where("rows_now > 0"), "load-sums")
+    sizes = sums.where((F.col("ok_now") >= least) & (F.col("ok_before") >= least)).select(*key, F.col("ok_now").alias("t_now"), F.col("ok_before").alias("t_before"), "values")
+    gaps = _largest_gap(win, sizes).where(F.col("gap") >= F.lit(shift) * F.col("t_now") * F.col("t_before") - 1e-6)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     had = F.col("rows_before") > 0
     flags = {

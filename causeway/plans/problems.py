@@ -34,18 +34,18 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_instance_edges(spark, d))
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
+def _counts(spark: SparkSession, d: str) -> profile.ValueCounts:
     store = profile.ValueCounts(spark)
     store.apply(profile.value_deltas(load(spark, d, "metrics"), "feed", "load_no", PROFILED))
-    return store.counts()
+    return store
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return profile.load_issues(_counts(spark, d), profile.METRICS_DOMAINS)
+    return profile.load_issues(_counts(spark, d).deltas(), profile.METRICS_DOMAINS)
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    out = profile.profile(_counts(spark, d), profile.METRICS_DOMAINS)
+    out = profile.profile(_counts(spark, d).counts(), profile.METRICS_DOMAINS)
     return out.select("feed", "load_no", "column_name", "row_count", "nulls", "valid", "distinct_valid", "pattern_violations", "range_violations", "low", "high", F.round("mean", 6).alias("mean"), F.round("entropy", 6).alias("entropy"))
 
 

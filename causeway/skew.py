@@ -22,15 +22,21 @@ def hot_keys(df: DataFrame, keys: list[str], most: int = HOT_KEYS, least: int =
     return counts.where(F.col("__n") >= least).orderBy(F.desc("__n"), *keys).limit(most).select(*keys)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def hot_of_counts(counts: DataFrame, keys: list[str], n: str, most: int = HOT_KEYS, least: int = HOT_ROWS) -> DataFrame:
+    """hot_keys() from counts that are known already: rows of keys with their number in column n."""
+    return counts.where(F.col(n) >= least).orderBy(F.desc(n), *keys).limit(most).select(*keys)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS, hot: DataFrame | None = None) -> DataFrame:
     """left join right on keys, where keys are unique or nearly so on the right.
 
     Rows of left with a hot key are spread over `salts` partitions and the few
     matching rows of right are repeated for each; all other rows join as usual.
     how: inner, left or leftsemi. Result: the columns of left, then those of
-    right that are no keys (none for leftsemi). Null keys never match.
+    right that are no keys (none for leftsemi). Null keys never match. hot: the
+    hot keys, at most HOT_KEYS, where counts made before give them.
     """
-    hot = F.broadcast(hot_keys(left, keys).withColumn("__hot", F.lit(True)))
+    hot = F.broadcast((hot_keys(left, keys) if hot is None else hot).withColumn("__hot", F.lit(True)))
     mark = lambda df: df.join(hot, keys, "left")
     salted_left = mark(left).withColumn(
         "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in _plain(left)]), F.lit(salts)).cast("int")).otherwise(0)
