@@ -11,95 +11,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.rolling import code_points, mix, window_hashes
-from causeway.session import materialize
-from causeway.skew import salted_join
+from causeway.session import discard, materialize
+from causeway.skew import hot_of_counts, salted_join
 
 #: The least length of a span, and the length of the seeds: every span holds a whole run of
 #: SPAN - SEED + 1 seeds, of which exactly one is elected.
-SPAN, SEED = 160, 80
+SPAN, SEED = 160, 64
+#: Characters handled at once in a Python worker; positions in it fit into the low bits of a word.
+_BATCH_CHARS, _POSITION_BITS = 1 << 20, 26
 #: Chaining: what a match is worth per character, and what a gap costs per character of it and of its skew.
 GAP_COST, SKEW_COST = 0.05, 0.25
 #: Gaps up to this many characters on both sides are aligned; longer ones end a passage.
 MAX_GAP = 400
 
 
-def elected(points: np.ndarray, span: int = SPAN, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """(seed hash, segment hash, start of the segment, spans in it) of a text.
+def elected(points: np.ndarray, ends: np.ndarray, span: int = SPAN, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """(seed hash, segment hash, text, start of the segment, windows in it) of texts that stand one after another in points.
 
-    Every window of `span` characters elects the seed with the smallest hash
-    inside it (the first of equals). The windows that elect the same seed are
-    neighbours; together they make that seed's segment. Which seed a window
-    elects depends on its characters only, so equal windows of two texts elect
-    equal seeds at equal places.
+    ends: where each text ends. Every window of `span` characters of a text
+    elects the seed with the smallest hash inside it, of equals the first. The
+    windows that elect the same seed are neighbours; together they make that
+    seed's segment. Which seed a window elects depends on its characters only,
+    so equal windows of two texts elect equal seeds at equal places.
     """
-    (h,) = window_hashes(points, seed)
-    w = span - seed + 1
-    if len(h) < w:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
-    at = _first_minimum(h, w)
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    counts = np.diff(np.r_[starts, len(at)])
-    # the segment's hash: of its first and last window, its length, and where the seed stands in it
-    (whole,) = window_hashes(points, span)
-    first, last = whole[starts], whole[starts + counts - 1]
-    key = mix(first * np.uint64(3) + mix(last + counts.astype(np.uint64)))
-    return h[at[starts]], key, starts, counts
-
-
-def _first_minimum(h: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values the index of its first minimum, in O(n log w)."""
-    n = len(h)
-    index = np.arange(n)
-    best, size = index, 1
+    h, whole = window_hashes(points, seed, span)
+    w, bits = span - seed + 1, np.uint64((1 << _POSITION_BITS) - 1)
+    if not len(whole):
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    # the smallest (leading bits of the hash, position) of w neighbours, from those of 2, 4, 8, ...
+    best, size = (h & ~bits) | np.arange(len(h), dtype=np.uint64), 1
     while size * 2 <= w:
-        a, b = best[: len(best) - size], best[size:]
-        best = np.where(h[b] < h[a], b, a)
-        size *= 2
-    rest = w - size
-    if rest:
-        a, b = best[: n - w + 1], best[rest : rest + n - w + 1]
-        best = np.where(h[b] < h[a], b, a)
-    return best[: n - w + 1]
-
-
-_SEEDS = "seed long, seg long, {kind} start int, n int"
+        best, size = np.minimum(best[:-size], best[size:]), size * 2
+    if w > size:
+        best = np.minimum(best[: len(h) - w + 1], best[w - size : len(h) - size + 1])
+    at = (best & bits).astype(np.int64)
+    starts_of = np.r_[0, ends[:-1]]
+    text = np.repeat(np.arange(len(ends)), ends - starts_of)[: len(at)]
+    inside = np.arange(len(at)) + span <= ends[text]
+    first = np.flatnonzero(inside & np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
+    last = np.flatnonzero(inside & np.r_[(at[1:] != at[:-1]) | (text[1:] != text[:-1]) | ~inside[1:], True])
+    n = last - first + 1
+    # a segment is its first and last window, and how far apart they are
+    key = mix(whole[first] * np.uint64(3) + mix(whole[last] + n.astype(np.uint64)))
+    return h[at[first]], key, text[first], first - starts_of[text[first]], n
+
+
+_SEEDS = "seed long, seg long, doc {kind}, start int, n int"
+
+
+def _groups(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    start = size = 0
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= _BATCH_CHARS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def _seed_rows(span: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [elected(code_points(t), span, seed) if t and len(t) >= span else None for t in batch.column(1).to_pylist()]
-            keep = [i for i, p in enumerate(parts) if p is not None]
-            if not keep:
-                continue
-            rows = np.repeat(keep, [len(parts[i][0]) for i in keep])
-            cat = lambda k, kind: pa.array(np.concatenate([parts[i][k] for i in keep]).view(np.int64) if kind == "l" else np.concatenate([parts[i][k] for i in keep]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([cat(0, "l"), cat(1, "l"), batch.column(0).take(pa.array(rows)), cat(2, "i"), cat(3, "i")], names=["seed", "seg", "doc", "start", "n"])
+            texts = batch.column(1).to_pylist()
+            for lo, hi in _groups([len(t) for t in texts]):
+                part = texts[lo:hi]
+                hashes, key, text, start, n = elected(code_points("".join(part)), np.cumsum([len(t) for t in part]), span, seed)
+                doc = batch.column(0).take(pa.array(text + lo))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(key.view(np.int64)), doc, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["seed", "seg", "doc", "start", "n"])
 
     return run
 
 
+_ENDS = ("lo_doc", "lo_start", "hi_doc", "hi_start")
+
+
 def _window_rows(span: int):
-    """Windows of chosen segments: (seed, seg, j, key) for each window j of each."""
+    """The windows of chosen segments: (key, seed, seg, j, lo_doc, lo_start, hi_doc, hi_start) for each window j of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for text, segs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s in segs:
-                    points = code_points(text[s["start"] : s["start"] + s["n"] + span - 1])
-                    (keys,) = window_hashes(points, span)
-                    out[0].append(np.full(len(keys), s["seed"]))
-                    out[1].append(np.full(len(keys), s["seg"]))
-                    out[2].append(np.arange(len(keys), dtype=np.int32))
-                    out[3].append(keys.view(np.int64))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["seed", "seg", "j", "key"])
+            keys, rows, js = [], [], []
+            segs = batch.column(1)
+            flat = segs.flatten()
+            start, n = flat.field("start").to_pylist(), flat.field("n").to_pylist()
+            k = 0
+            for text, size in zip(batch.column(0).to_pylist(), np.diff(segs.offsets.to_numpy()), strict=True):
+                for i in range(k, k + int(size)):
+                    (h,) = window_hashes(code_points(text[start[i] : start[i] + n[i] + span - 1]), span)
+                    keys.append(h.view(np.int64))
+                    rows.append(np.full(len(h), i))
+                    js.append(np.arange(len(h)))
+                k += int(size)
+            if not keys:
+                continue
+            take, j = pa.array(np.concatenate(rows)), np.concatenate(js)
+            col = {c: flat.field(c).take(take) for c in ("seed", "seg", *_ENDS)}
+            for c in ("lo_start", "hi_start"):
+                col[c] = pa.array(col[c].to_numpy() + j.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), col["seed"], col["seg"], pa.array(j.astype(np.int32)), *[col[c] for c in _ENDS]], names=["key", "seed", "seg", "j", *_ENDS])
 
     return run
 
 
+def needed_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows (doc, text) of docs (doc): filtered before the texts are moved for a join."""
+    return rows.join(materialize(docs.distinct(), "needed"), "doc", "leftsemi")
+
+
 def shared_matches(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, partner, a, b, n): characters a..a+n of doc are characters b..b+n of partner, n >= span.
 
@@ -109,7 +129,7 @@ def shared_matches(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id:
     the last to hold it, so the matches of a passage that a third of all
     documents share grow with the number of documents and not with its square.
 
-    1. Seeds are elected (about one per 40 characters) and those of a single
+    1. Seeds are elected (about one per 50 characters) and those of a single
        document are dropped, by counts combined before the shuffle.
     2. Occurrences whose whole segment is the same are one class. A class with
        two documents is a match as it is.
@@ -119,28 +139,32 @@ def shared_matches(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id:
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= span))
-    seeds = materialize(rows.mapInArrow(_seed_rows(span, seed), _SEEDS.format(kind=f"doc {kind},")), "seeds")
-    shared = seeds.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed")
-    members = materialize(salted_join(seeds, shared, ["seed"], "leftsemi"), "seed-members")
+    seeds = materialize(rows.mapInArrow(_seed_rows(span, seed), _SEEDS.format(kind=kind)), "seeds")
+    counts = seeds.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c"))
+    shared = materialize(counts.where("lo <> hi").select("seed", "c"), "shared-seeds")
+    members = materialize(salted_join(seeds, shared.select("seed"), ["seed"], "leftsemi", hot=hot_of_counts(shared, ["seed"], "c")), "seed-members")
+    discard(seeds)
     place = F.struct("doc", "start", "n")
-    classes = members.groupBy("seed", "seg").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    classes = members.groupBy("seed", "seg").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("c"))
     classes = materialize(classes, "segment-classes")
-    whole = classes.where("lo.doc <> hi.doc").select("seed", "seg", F.lit(0).alias("j"), F.col("lo.n").alias("n"), F.struct("lo.doc", "lo.start").alias("lo"), F.struct("hi.doc", "hi.start").alias("hi"))
+    whole = classes.where("lo.doc <> hi.doc").select("seed", "seg", F.lit(0).alias("j"), "lo.n", F.struct("lo.doc", "lo.start").alias("lo"), F.struct("hi.doc", "hi.start").alias("hi"))
     # seeds with several classes: the windows of one member of each
-    several = classes.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
-    at = salted_join(classes, several, ["seed"], "leftsemi")
-    wanted = at.groupBy(F.col("lo.doc").alias("doc")).agg(F.collect_list(F.struct("seed", "seg", F.col("lo.start").alias("start"), F.col("lo.n").alias("n"))).alias("segs"))  # at most a document's seeds
-    windows = materialize(wanted.join(rows, "doc").select("text", "segs").mapInArrow(_window_rows(span), "seed long, seg long, j int, key long"), "window-keys")
-    ends = salted_join(windows, at, ["seed", "seg"])
-    ends = materialize(
-        ends.select("seed", "seg", "j", "key", F.struct("lo.doc", (F.col("lo.start") + F.col("j")).alias("start")).alias("lo"), F.struct("hi.doc", (F.col("hi.start") + F.col("j")).alias("start")).alias("hi"), (F.col("lo.doc") != F.col("hi.doc")).alias("whole")),
-        "windows",
-    )
-    same = ends.groupBy("seed", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo.doc <> hi.doc")
-    single = salted_join(ends.where("not whole").select("seed", "seg", "j", "key"), same, ["seed", "key"]).select("seed", "seg", "j", F.lit(1).alias("n"), "lo", "hi")
+    several = classes.groupBy("seed").agg(F.count("*").alias("k"))
+    at = salted_join(classes, several.where("k > 1").select("seed"), ["seed"], "leftsemi", hot=hot_of_counts(several, ["seed"], "k"))
+    ends = F.struct("seed", "seg", F.col("lo.start").alias("start"), "lo.n", F.col("lo.doc").alias("lo_doc"), F.col("lo.start").alias("lo_start"), F.col("hi.doc").alias("hi_doc"), F.col("hi.start").alias("hi_start"))
+    wanted = materialize(at.groupBy(F.col("lo.doc").alias("doc")).agg(F.collect_list(ends).alias("segs")), "wanted")  # at most a document's seeds
+    texts = needed_texts(rows, wanted.select("doc"))
+    windows = wanted.join(texts, "doc").select("text", "segs").mapInArrow(_window_rows(span), f"key long, seed long, seg long, j int, lo_doc {kind}, lo_start int, hi_doc {kind}, hi_start int")
+    windows = materialize(windows, "windows")
+    lo, hi = F.struct(F.col("lo_doc").alias("doc"), F.col("lo_start").alias("start")), F.struct(F.col("hi_doc").alias("doc"), F.col("hi_start").alias("start"))
+    same = windows.groupBy("key").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("c")).where("lo.doc <> hi.doc")
+    same = materialize(same, "shared-windows")
+    # a class with two documents has its match already
+    open_ = windows.where("lo_doc = hi_doc").select("seed", "seg", "j", "key")
+    single = salted_join(open_, same.drop("c"), ["key"], hot=hot_of_counts(same, ["key"], "c")).select("seed", "seg", "j", F.lit(1).alias("n"), "lo", "hi")
     # a class's windows, at most span - seed + 1 of them, as one list of runs
     runs = whole.unionByName(single).groupBy("seed", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "n", "lo", "hi"))).alias("runs"))
-    found = salted_join(members.select("doc", "start", "seed", "seg"), runs, ["seed", "seg"])
+    found = salted_join(members.select("doc", "start", "seed", "seg"), runs, ["seed", "seg"], hot=hot_of_counts(classes, ["seed", "seg"], "c"))
     run = F.col("r")
     other = F.when(run["lo"]["doc"] != F.col("doc"), run["lo"]).otherwise(run["hi"])
     return found.select("doc", "start", F.explode("runs").alias("r")).select(
@@ -309,7 +333,9 @@ def passages(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id: str =
     # the matches of a pair are at most as many as the document's windows
     pairs = found.groupBy("doc", "partner").agg(F.collect_set(F.struct("a", "b", "n")).alias("matches"))
     chained = materialize(pairs.mapInPandas(_chain_rows, f"doc {kind}, partner {kind}, chain int, matches array<struct<a:int,b:int,n:int>>"), "chains")
-    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= span))
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= span))
+    # partners share with the documents that name them, so they are among these
+    texts = needed_texts(rows, chained.select("doc"))
     both = salted_join(chained, texts.select(F.col("doc").alias("partner"), F.col("text").alias("other")), ["partner"]).join(texts, "doc")
     return both.mapInPandas(_align_rows(span), f"doc {kind}, partner {kind}, chain int, a_start int, a_end int, b_start int, b_end int, edits int, identity double, blocks array<struct<a:int,n:int>>")
 
