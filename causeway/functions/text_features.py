@@ -43,7 +43,7 @@ FILE = r"[A-Za-z0-9_/]+\.(?:py|js|ts|java|cpp|c|h|go|rs)"
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and _ (ASCII) of more than two characters, in order."""
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_]+", " ")
+    low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9_]+", " "))
     return F.filter(F.split(low, " "), lambda w: F.length(w) > 2)
 
 

@@ -30,7 +30,7 @@ def _docs(spark, d) -> DataFrame:
 
 
 _D = "(select doc_id, text from documents where text is not null)"
-_TOK = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: len(w) > 2)"
+_TOK = "list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda w: len(w) > 2)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
 _KEYW = f"list_filter({_TOK}, lambda w: not list_contains({_STOP}, w))"
 
@@ -270,7 +270,7 @@ def txt_inline_match(spark, d):
 # -- windows and samples
 
 
-@query(f"select doc_id, at_ start, len(list_intersect(list_filter(string_split(regexp_replace(lower(w), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: len(x) > 2), ['rule', 'explains', 'writer'])) hits from (select doc_id, s at_, substr(text, s + 1, 500) w from {_D}, unnest(range(0, greatest(length(text) - 499, 1), 250)) r(s)) where hits > 0")
+@query(f"select doc_id, at_ start, len(list_intersect(list_filter(string_split(lower(regexp_replace(w, '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda x: len(x) > 2), ['rule', 'explains', 'writer'])) hits from (select doc_id, s at_, substr(text, s + 1, 500) w from {_D}, unnest(range(0, greatest(length(text) - 499, 1), 250)) r(s)) where hits > 0")
 def txt_window_anchors(spark, d):
     """Sliding windows of 500 characters, 250 apart, with how many query words they have."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 500, F.lit(0)), F.lit(250))
@@ -287,7 +287,7 @@ def txt_chunks(spark, d):
 
 
 _SAMPLE = f"""with p as (select doc_id, unnest(ps) p, generate_subscripts(ps, 1) i from (select doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda p: len(trim(p)) > 10) ps from {_D})),
-s as (select doc_id, i, len(list_filter(string_split(regexp_replace(lower(p), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: list_contains(['rule', 'support', 'observations'], w))) c from p),
+s as (select doc_id, i, len(list_filter(string_split(lower(regexp_replace(p, '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda w: list_contains(['rule', 'support', 'observations'], w))) c from p),
 b as (select doc_id, i, round(c + 0.1 * coalesce(lag(c) over w, 0) + 0.1 * coalesce(lead(c) over w, 0), 9) score from s window w as (partition by doc_id order by i))
 select doc_id, i - 1 chunk, score from (select *, row_number() over (partition by doc_id order by score desc, i) rn from b where score > 0) where rn <= 3"""
 
