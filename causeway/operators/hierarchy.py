@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.text import reference_key
-from causeway.session import discard, materialize
+from causeway.session import discard, materialize, materialize_counted
 
 
 def latest_state(df: DataFrame, key: str, version: str, tie: list[str]) -> DataFrame:
@@ -55,10 +55,9 @@ def roots_and_depths(edge: DataFrame, with_path: bool = False) -> DataFrame:
         F.col("parent").isNull().alias("done"),
         *([F.array("id").alias("path")] if with_path else []),
     )
-    done = materialize(start.where("done"), "roots")
-    front = materialize(start.where("not done"), "frontier")
+    start, n = materialize_counted(start, "nodes", open=F.count_if(~F.col("done")))
     # finished nodes are kept per round and only joined as a union
-    finished, left = [done], front.count()
+    finished, front, left = [start.where("done")], start.where("not done"), n["open"]
     while left:
         ends = finished[0]
         for f in finished[1:]:
@@ -69,14 +68,11 @@ def roots_and_depths(edge: DataFrame, with_path: bool = False) -> DataFrame:
         step = front.drop("done").join(ends, "link").select(
             "id", "key", F.col("__link").alias("link"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"), *([F.concat("path", "__path").alias("path")] if with_path else [])
         )
-        step = materialize(step, "level")
-        fresh, rest = step.where("done"), step.where("not done")
-        rows = step.groupBy("done").count().collect()  # at most two rows
-        n = {r["done"]: r["count"] for r in rows}
-        if not n.get(True):
+        step, n = materialize_counted(step, "level", done=F.count_if("done"), open=F.count_if(~F.col("done")))
+        if not n["done"]:
             break
-        finished.append(fresh)
-        front, left = rest, n.get(False, 0)
+        finished.append(step.where("done"))
+        front, left = step.where("not done"), n["open"]
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)

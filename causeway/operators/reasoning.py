@@ -92,16 +92,23 @@ def similar_pairs(sets: DataFrame, key: str, members: str, least: float) -> Data
     Equal sets are one class first. Candidates share one of their rarest
     members: two sets as alike as asked must share one among the first
     |x| - ceil(least |x|) + 1 in order of rarity (prefix filter), so frequent
-    members never join.
+    members never join. Sizes bound the similarity of different sets by
+    smaller / larger, or (n - 1) / (n + 1) for equal sizes; pairs and sets that
+    cannot reach `least` are left out before they meet.
     """
     classes = sets.where(F.size(members) > 0).groupBy(members).agg(F.min(key).alias(key))
+    if 0 < least < 1:
+        n = F.size(members)
+        classes = classes.where(F.greatest(n / (n + 1), (n - 1) / n) >= least - 1e-12)
+    classes = materialize(classes, "sets")
     n = classes.select(F.explode(members).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
     ranked = classes.select(key, F.explode(members).alias("m")).join(n, "m").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("r"))
     size = F.size("r")
     prefix = F.slice("r", F.lit(1), (size - F.ceil(least * size - F.lit(1e-9)) + 1).cast("int"))
-    p = ranked.select(key, F.explode(prefix).alias("x")).select(key, F.col("x.m").alias("m"))
-    a, b = p.withColumnRenamed(key, "a"), p.withColumnRenamed(key, "b")
-    pairs = a.join(b, "m").where("a < b").select("a", "b").distinct()
+    p = ranked.select(key, size.alias("size"), F.explode(prefix).alias("x")).select(key, "size", F.col("x.m").alias("m"))
+    a, b = p.withColumnsRenamed({key: "a", "size": "na"}), p.withColumnsRenamed({key: "b", "size": "nb"})
+    bound = F.when(F.col("na") == F.col("nb"), (F.col("na") - 1) / (F.col("na") + 1)).otherwise(F.least("na", "nb") / F.greatest("na", "nb"))
+    pairs = a.join(b, "m").where((F.col("a") < F.col("b")) & (bound >= least - 1e-12)).select("a", "b").distinct()
     s = classes.select(key, members)
     j = pairs.join(s.withColumnsRenamed({key: "a", members: "ma"}), "a").join(s.withColumnsRenamed({key: "b", members: "mb"}), "b").withColumn("similarity", jaccard(F.col("ma"), F.col("mb")))
     return j.where(F.col("similarity") >= least - 1e-12).select("a", "b", F.round("similarity", 9).alias("similarity"))

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _own_dirs: dict[str, str] = {}
 
@@ -74,6 +74,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def materialize_counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict]:
+    """materialize(df), with the values of aggregate columns that were observed while it was written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return out, seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a frame from materialize() that no later plan reads."""
     path = getattr(df, "_causeway_path", None)
