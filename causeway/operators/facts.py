@@ -87,3 +87,43 @@ def pair_counts(sets: DataFrame, key: str, members: str) -> DataFrame:
     m = F.array_sort(F.array_distinct(members))
     pairs = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
+
+def scope_contains(a: Column, b: Column) -> Column:
+    """Whether scope a contains scope b: equal env, version and project where both are set, a's stack holds b's, a's time range encloses b's.
+
+    Scopes are structs(env, version, project, stack array, time_from, time_to); null ends are open.
+    """
+    same = F.lit(True)
+    for f in ("env", "version", "project"):
+        same &= a[f].isNull() | b[f].isNull() | (a[f] == b[f])
+    none = F.array().cast("array<string>")
+    stack = F.size(F.array_except(F.coalesce(b["stack"], none), F.coalesce(a["stack"], none))) == 0
+    begin = a["time_from"].isNull() | F.coalesce(a["time_from"] <= b["time_from"], F.lit(False))
+    end = a["time_to"].isNull() | F.coalesce(a["time_to"] >= b["time_to"], F.lit(False))
+    return same & stack & begin & end
+
+
+def scopes_overlap(a: Column, b: Column) -> Column:
+    """Whether two scopes can hold at once: no conflict in env or project, a common stack item where both have some, overlapping times."""
+    ok = F.lit(True)
+    for f in ("env", "project"):
+        ok &= a[f].isNull() | b[f].isNull() | (a[f] == b[f])
+    some = F.coalesce(F.size(a["stack"]) > 0, F.lit(False)) & F.coalesce(F.size(b["stack"]) > 0, F.lit(False))
+    ok &= ~some | F.arrays_overlap(a["stack"], b["stack"])
+    ok &= F.coalesce(a["time_from"] <= b["time_to"], F.lit(True)) & F.coalesce(b["time_from"] <= a["time_to"], F.lit(True))
+    return ok
+
+
+def merge_scopes(a: Column, b: Column) -> Column:
+    """The union of two scopes: scalars that agree or stand alone, all stack items, the outer times (open if either is)."""
+    one = [F.when(a[f].isNull() | (a[f] == b[f]), b[f]).when(b[f].isNull(), a[f]).alias(f) for f in ("env", "version", "project")]
+    none = F.array().cast("array<string>")
+    both = lambda f, pick: F.when(a[f].isNotNull() & b[f].isNotNull(), pick(a[f], b[f])).alias(f)
+    return F.struct(*one, F.array_union(F.coalesce(a["stack"], none), F.coalesce(b["stack"], none)).alias("stack"), both("time_from", F.least), both("time_to", F.greatest))
+
+
+def common_entries(maps: Column) -> Column:
+    """The entries that all maps of an array have; empty for an empty array."""
+    first = F.coalesce(F.get(maps, F.lit(0)), F.create_map().cast("map<string,string>"))
+    return F.map_filter(first, lambda k, v: F.forall(maps, lambda m: m[k].eqNullSafe(v) & F.map_contains_key(m, k)))

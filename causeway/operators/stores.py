@@ -49,3 +49,33 @@ def counts_by(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
     """(column, n) over a fixed domain, zero where there is no row."""
     spark = df.sparkSession
     return spark.createDataFrame([(x,) for x in domain], f"{column} string").join(df.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+class ObjectStore:
+    """A store of typed records in a Parquet folder: append-only versions, the greatest seq of a key being its state."""
+
+    def __init__(self, spark, path: str, key: str, seq: str) -> None:
+        self.spark, self.path, self.key, self.seq = spark, path, key, seq
+
+    def save(self, rows: DataFrame) -> None:
+        rows.where(F.col(self.key).isNotNull()).write.mode("append").parquet(self.path)
+
+    def versions(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def current(self) -> DataFrame:
+        t = self.versions()
+        rest = [c for c in t.columns if c != self.key]
+        return t.groupBy(self.key).agg(F.max_by(F.struct(*rest), self.seq).alias("v")).select(self.key, *[F.col("v")[c].alias(c) for c in rest])
+
+    def get(self, key) -> DataFrame:
+        """The state of one key; the filter reaches the scan."""
+        t = self.versions().where(F.col(self.key) == key)
+        return t.orderBy(F.desc(self.seq)).limit(1)
+
+    def list_by(self, column: str, value) -> DataFrame:
+        """The records whose state has value in column, newest first."""
+        return self.current().where(F.col(column) == value).orderBy(F.desc(self.seq), self.key)
+
+    def stats(self, column: str) -> DataFrame:
+        return self.current().groupBy(column).agg(F.count("*").alias("n"))
