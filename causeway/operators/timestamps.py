@@ -87,7 +87,7 @@ def shape_mask(text: str) -> str:
 
 
 _TIME = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?(?: ?(?P<ap>aa))?"
-_ZONE = r"(?: ?(?P<off>[+-]99(?::?99)?)(?: ?\[(?P<in>[a9/_+-]+)\])?|(?: ?(?P<z>a)| (?P<zone>a[a9/_+-]*)|\[(?P<only>[a9/_+-]+)\]))?"
+_ZONE = r"(?: ?(?P<off>[+-]99(?::?99)?)(?: ?\[(?P<in>[a9/_+-]+)\])?|(?: ?(?<!a)(?P<z>a)| (?P<zone>a[a9/_+-]*)|\[(?P<only>[a9/_+-]+)\]))?"
 _AP_TIME = _TIME.replace("(?: ?(?P<ap>aa))?", " ?(?P<ap>aa)")
 _PLAIN_TIME = _TIME.replace("(?: ?(?P<ap>aa))?", "")
 # the notations, as patterns over masks; the first that matches holds

@@ -166,7 +166,7 @@ def utc(*a):
      ("1735689600123", "ny", utc(2025, 1, 1) + 123_000), ("1735689600123456", "ny", utc(2025, 1, 1) + 123_456), ("20250101000000", "be", utc(2024, 12, 31, 23)), ("01/02/2025 1:00:00 PM", "ny", utc(2025, 1, 2, 18)),
      ("01.02.2025 13:00:00", "be", utc(2025, 2, 1, 12)), ("Wed, 01 Jan 2025 02:00:00 +0200", "ny", utc(2025, 1, 1)), ("Jan 1, 2025 12:30:00 AM", "no", utc(2025, 1, 1, 0, 30)), ("2025-01-01T05:30+05:30[Asia/Kolkata]", "ny", utc(2025, 1, 1)),
      ("2025/01/01 09:15", "no", utc(2025, 1, 1, 9, 15)), ("2025-11-02 01:30:00", "ny", utc(2025, 11, 2, 5, 30)), ("2025-03-09 02:30:00", "ny", utc(2025, 3, 9, 7, 30)), ("2025-01-01T00:00:00.1234567", "no", utc(2025, 1, 1) + 123_456),
-     ("2025-02-30 00:00:00", "no", None), ("2025-13-01T00:00:00", "no", None), ("n/a", "no", None), ("", "no", None), (None, "no", None), ("x" * 100_000, "no", None), ("123456789", "no", None), ("2025-01-01 00:00:00 Mars/Base", "no", None), ("13/01/2025 10:00:00", "be", utc(2025, 1, 13, 9))],
+     ("2025-02-30 00:00:00", "no", None), ("2025-13-01T00:00:00", "no", None), ("2025-01-01 00:32:34 GMT", "ny", utc(2025, 1, 1, 0, 32, 34)), ("2025-01-01 00:32:34 UTC", "be", utc(2025, 1, 1, 0, 32, 34)), ("2025-01-01 1:32:34 PM Z", "be", utc(2025, 1, 1, 13, 32, 34)), ("n/a", "no", None), ("", "no", None), (None, "no", None), ("x" * 100_000, "no", None), ("123456789", "no", None), ("2025-01-01 00:00:00 Mars/Base", "no", None), ("13/01/2025 10:00:00", "be", utc(2025, 1, 13, 9))],
 )
 def test_notations(text, client, want):
     assert micros(text, client) == want
