@@ -60,6 +60,9 @@ def explain(observations: DataFrame, rules: DataFrame, depth: int = 4, beam: int
     steps is assumed.
     """
     effect = rules.select(F.explode("eff").alias("goal"), "regulation_id", F.log("score").alias("gain"), "pre")
+    # of the rules for one goal only the `beam` best can survive a step from the same state
+    best = Window.partitionBy("goal").orderBy(F.desc("gain"), "regulation_id")
+    effect = materialize(effect.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= beam).drop("__n"), "effects")
     known = observations.select("observation_id", F.col("sigs").alias("known"))
     start = known.select("observation_id", "known", F.col("known").alias("open"), F.array().cast("array<string>").alias("closed"), F.array().cast("array<string>").alias("rules"), F.lit(0.0).alias("total"), F.lit(0).alias("assumed"))
     state = start.where(F.size("open") > 0)

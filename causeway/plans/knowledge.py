@@ -182,18 +182,20 @@ def gra_effect_candidates(spark, d):
     return base.facts(spark, d).select("observation_id", "sig").distinct().join(e, "sig").select("observation_id", "regulation_id").distinct()
 
 
-@query("select distinct a.regulation_id first, b.regulation_id as second from rule_facts a join rule_facts b on a.side = 'eff' and b.side = 'pre' and a.sig = b.sig and a.regulation_id <> b.regulation_id")
+@query("select a.regulation_id first, a.sig bridge, b.n followers from (select distinct regulation_id, sig from rule_facts where side = 'eff') a join (select sig, count(distinct regulation_id) n from rule_facts where side = 'pre' group by 1) b on a.sig = b.sig")
 def gra_can_chain(spark, d):
+    """For each effect of a rule how many rules can follow: the bridge stands for the pairs it joins."""
     f = base.rule_facts(spark, d).select("regulation_id", "side", "sig").distinct()
-    a = f.where("side = 'eff'").select(F.col("regulation_id").alias("first"), "sig")
-    b = f.where("side = 'pre'").select(F.col("regulation_id").alias("second"), "sig")
-    return a.join(b, "sig").where("first <> second").select("first", "second").distinct()
+    b = f.where("side = 'pre'").groupBy("sig").agg(F.count("*").alias("followers"))
+    return f.where("side = 'eff'").join(b, "sig").select(F.col("regulation_id").alias("first"), F.col("sig").alias("bridge"), "followers")
 
 
-@query("select a.regulation_id first, count(distinct b.regulation_id) partners from rule_facts a join rule_facts b on a.side = 'eff' and b.side = 'eff' and a.sig = b.sig and a.regulation_id <> b.regulation_id group by 1")
+@query("select a.regulation_id first, a.sig shared, b.n - 1 partners from (select distinct regulation_id, sig from rule_facts where side = 'eff' and sig is not null) a join (select sig, count(distinct regulation_id) n from rule_facts where side = 'eff' group by 1) b on a.sig = b.sig where b.n > 1")
 def gra_can_merge(spark, d):
+    """For each effect of a rule how many other rules share it."""
     f = base.rule_facts(spark, d).where("side = 'eff'").select("regulation_id", "sig").distinct()
-    return f.select(F.col("regulation_id").alias("first"), "sig").join(f, "sig").where("first <> regulation_id").groupBy("first").agg(F.count_distinct("regulation_id").alias("partners"))
+    n = f.groupBy("sig").agg((F.count("*") - 1).alias("partners")).where("partners > 0")
+    return f.join(n, "sig").select(F.col("regulation_id").alias("first"), F.col("sig").alias("shared"), "partners")
 
 
 # -- scores and explanation
@@ -340,7 +342,12 @@ select a.pred a, count(*) unseen from p a join p b on a.pred < b.pred left join
 def exp_suggest_interaction(spark, d):
     """For each parameter the number of later ones it was never seen with: by counting, without making the unseen pairs."""
     p = base.facts(spark, d).select("pred").distinct()
-    later = p.withColumn("later", F.count("*").over(Window.orderBy(F.desc("pred")).rowsBetween(Window.unboundedPreceding, -1)))
+    # ranks in two levels, by first letter and within it, so that no task sorts all names
+    p = p.withColumn("c", F.substring("pred", 1, 1))
+    per = p.groupBy("c").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("h"))  # a row per character
+    after = per.select(F.explode("h").alias("x"), "h").select("x.c", F.aggregate(F.filter("h", lambda y: y["c"] > F.col("x.c")), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("after"))
+    here = F.count("*").over(Window.partitionBy("c").orderBy(F.desc("pred")).rowsBetween(Window.unboundedPreceding, -1))
+    later = p.withColumn("here", here).join(after, "c").select("pred", (F.col("here") + F.col("after")).alias("later"))
     seen = fx.pair_counts(base.observation_sets(spark, d), "observation_id", "preds").groupBy(F.col("a").alias("pred")).agg(F.count("*").alias("seen"))
     return later.join(seen, "pred", "left").select(F.col("pred").alias("a"), (F.col("later") - F.coalesce("seen", F.lit(0))).alias("unseen")).where("unseen > 0")
 

@@ -46,7 +46,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     out = profile.profile(_counts(spark, d).counts(), profile.METRICS_DOMAINS)
-    return out.select("feed", "load_no", "column_name", "row_count", "nulls", "valid", "distinct_valid", "pattern_violations", "range_violations", "low", "high", F.round("mean", 6).alias("mean"), F.round("entropy", 6).alias("entropy"))
+    return out.select("feed", "load_no", "column_name", "row_count", "nulls", "valid", "distinct_valid", "pattern_violations", "range_violations", "low", "high", F.round(F.col("mean") * F.col("valid"), 6).alias("total"), F.round("entropy", 6).alias("entropy"))
 
 
 def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -64,9 +64,9 @@ union all select feed, load_no, column_name, 'shift' from shift
 
 P2_PROFILE = _CELLS + """
 , h as (select feed, load_no, column_name, x, count(*) n from ok where good group by all),
-e as (select feed, load_no, column_name, greatest(0.0, log2(sum(n)) - sum(n * log2(n)) / sum(n)) entropy, count(*) d, min(x) low, max(x) high, sum(x * n) / sum(n) mean from h group by all)
+e as (select feed, load_no, column_name, greatest(0.0, log2(sum(n)) - sum(n * log2(n)) / sum(n)) entropy, count(*) d, min(x) low, max(x) high, sum(x * n) total from h group by all)
 select o.feed, cast(o.load_no as bigint) load_no, o.column_name, count(*) row_count, count(*) - count(v) nulls, count(*) filter (good) valid, coalesce(max(e.d), 0) distinct_valid,
-  count(*) filter (bad_pattern) pattern_violations, count(*) filter (bad_range) range_violations, max(e.low) low, max(e.high) high, round(max(e.mean), 6) mean, round(max(e.entropy), 6) entropy
+  count(*) filter (bad_pattern) pattern_violations, count(*) filter (bad_range) range_violations, max(e.low) low, max(e.high) high, round(max(e.total), 6) total, round(max(e.entropy), 6) entropy
 from ok o left join e on e.feed = o.feed and e.load_no = o.load_no and e.column_name = o.column_name group by o.feed, o.load_no, o.column_name
 """
 

@@ -10,6 +10,7 @@ from causeway.operators import stores
 from causeway.operators.orphans import Reference
 from causeway.plans import base
 from causeway.plans.base import SQL
+from causeway.session import materialize
 from causeway.tables import load
 
 Q: dict = {}
@@ -406,26 +407,30 @@ def _pairs(top: DataFrame) -> DataFrame:
     return one.select(F.explode(pairs).alias("q")).select("q.a", "q.b", "q.possible")
 
 
-_CONFLICT = """, e as (select regulation_id, pred, val from rule_facts where side = 'eff' and val is not null group by all)
-select distinct a.regulation_id left_id, b.regulation_id right_id, ea.pred from rule_sets a join rule_sets b on a.regulation_id < b.regulation_id join e ea on ea.regulation_id = a.regulation_id join e eb on eb.regulation_id = b.regulation_id and eb.pred = ea.pred and eb.val <> ea.val
-where len(a.pre_preds) > 0 and len(b.pre_preds) > 0 and len(list_intersect(a.pre_preds, b.pre_preds)) / len(list_distinct(list_concat(a.pre_preds, b.pre_preds))) >= 0.3"""
+_CONFLICT = """, c as (select pre_preds, e.pred, min(r.regulation_id) id, min(e.val) low, max(e.val) high from rule_sets r join rule_facts e on e.regulation_id = r.regulation_id and e.side = 'eff' and e.val is not null where len(pre_preds) > 0 group by 1, 2)
+select a.id left_id, b.id right_id, a.pred from c a join c b on a.pred = b.pred and (a.id < b.id or (a.id = b.id and a.pre_preds = b.pre_preds)) where not (a.low = a.high and b.low = b.high and a.low = b.low)
+and len(list_intersect(a.pre_preds, b.pre_preds)) / len(list_distinct(list_concat(a.pre_preds, b.pre_preds))) >= 0.3"""
 
 
 @query(_CONFLICT, True)
 def agg_conflicting_rules(spark, d):
-    """Pairs of rules with alike preconditions (Jaccard of predicates >= 0.3) that predict different values of one predicate.
+    """Classes of rules with alike preconditions (Jaccard of predicates >= 0.3) that predict different values of one predicate.
 
-    Candidates share an effect predicate and a precondition predicate; both
-    are join keys, so unrelated rules never meet.
+    Rules with equal precondition predicates and effect predicate are one
+    class, named by its first rule, so copies are never paired; a class that
+    contradicts itself is paired with itself. Classes meet only over a shared
+    effect predicate and a shared precondition predicate.
     """
     s = base.rule_sets(spark, d).where(F.size("pre_preds") > 0).select("regulation_id", "pre_preds")
     e = base.rule_facts(spark, d).where("side = 'eff' and val is not null").select("regulation_id", "pred", "val").distinct()
-    r = s.join(e, "regulation_id")
-    keyed = r.select("regulation_id", "pre_preds", "pred", "val", F.explode("pre_preds").alias("k"))
-    a = keyed.select(F.col("regulation_id").alias("left_id"), F.col("pre_preds").alias("pa"), "pred", "k", F.col("val").alias("va"))
-    b = keyed.select(F.col("regulation_id").alias("right_id"), F.col("pre_preds").alias("pb"), "pred", "k", F.col("val").alias("vb"))
-    pairs = a.join(b, ["pred", "k"]).where("left_id < right_id and va <> vb")
-    return pairs.where(fx.jaccard(F.col("pa"), F.col("pb")) >= 0.3).select("left_id", "right_id", "pred").distinct()
+    c = s.join(e, "regulation_id").groupBy("pre_preds", "pred").agg(F.min("regulation_id").alias("id"), F.min("val").alias("low"), F.max("val").alias("high"))
+    c = materialize(c, "rule-classes")
+    keyed = c.select("pred", F.explode("pre_preds").alias("k"), F.struct("id", "pre_preds", "low", "high").alias("c"))
+    pairs = keyed.withColumnRenamed("c", "a").join(keyed.withColumnRenamed("c", "b"), ["pred", "k"])
+    mine = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") == F.col("b.id")) & (F.col("a.pre_preds") == F.col("b.pre_preds")))
+    same = (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low"))
+    found = pairs.where(mine & ~same & (fx.jaccard(F.col("a.pre_preds"), F.col("b.pre_preds")) >= 0.3))
+    return found.groupBy("pred", "a", "b").agg(F.lit(1)).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "pred")
 
 
 @query("select pred, min(x) low, max(x) high, count(x) n from (select pred, try_cast(val as double) x from facts) where x is not null group by 1", True)

@@ -28,11 +28,17 @@ def get_session(cores: int | str = "*", app: str = "causeway") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode an own one where it is unset.
+
+    On a cluster without the setting this raises: a folder of the driver's
+    machine would be invisible to the executors.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _own_dirs:
         path = tempfile.mkdtemp(prefix="causeway-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
