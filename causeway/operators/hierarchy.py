@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.text import reference_key
 from causeway.session import discard, materialize, materialize_counted
+from causeway.skew import HOT_ROWS, salted_join
 
 
 def latest_state(df: DataFrame, key: str, version: str, tie: list[str]) -> DataFrame:
@@ -28,7 +29,8 @@ def edges(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     nodes = df.select(F.col(id_col).alias("id"), reference_key(F.col(id_col)).alias("key"), reference_key(F.col(parent_col)).alias("parent")).where("key is not null")
     nodes = nodes.groupBy("key").agg(F.min(F.struct("id", "parent")).alias("v")).select("key", "v.id", "v.parent")
     known = nodes.select(F.col("key").alias("parent"), F.lit(True).alias("known"))
-    return nodes.join(known, "parent", "left").select("id", "key", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    # a parent may be named by a third of all rows
+    return salted_join(nodes, known, ["parent"], "left").select("id", "key", F.when(F.col("known"), F.col("parent")).alias("parent"))
 
 
 def roots_and_depths(edge: DataFrame, with_path: bool = False) -> DataFrame:
@@ -55,7 +57,8 @@ def roots_and_depths(edge: DataFrame, with_path: bool = False) -> DataFrame:
         F.col("parent").isNull().alias("done"),
         *([F.array("id").alias("path")] if with_path else []),
     )
-    start, n = materialize_counted(start, "nodes", open=F.count_if(~F.col("done")))
+    start, n = materialize_counted(start, "nodes", open=F.count_if(~F.col("done")), all=F.count("*"))
+    total = n["all"]
     # finished nodes are kept per round and only joined as a union
     finished, front, left = [start.where("done")], start.where("not done"), n["open"]
     while left:
@@ -65,7 +68,7 @@ def roots_and_depths(edge: DataFrame, with_path: bool = False) -> DataFrame:
         cols = ["key", "link", "depth", "done", *(["path"] if with_path else [])]
         ends = ends.select(cols).unionByName(front.select(cols))
         ends = ends.select(F.col("key").alias("link"), F.col("link").alias("__link"), F.col("depth").alias("__depth"), F.col("done").alias("__done"), *([F.col("path").alias("__path")] if with_path else []))
-        step = front.drop("done").join(ends, "link").select(
+        step = _join(front.drop("done"), ends, left).select(
             "id", "key", F.col("__link").alias("link"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"), *([F.concat("path", "__path").alias("path")] if with_path else [])
         )
         step, n = materialize_counted(step, "level", done=F.count_if("done"), open=F.count_if(~F.col("done")))
@@ -78,13 +81,18 @@ def roots_and_depths(edge: DataFrame, with_path: bool = False) -> DataFrame:
         out = out.unionByName(f)
     names = edge.select(F.col("key").alias("link"), F.col("id").alias("root_id"))
     keep = ["id", "key", "root_id", "depth", *(["path"] if with_path else [])]
-    out = out.join(names, "link").select(keep)
+    out = _join(out, names, total).select(keep)
     if left:
         stuck = _cycle_roots(edge.join(front.select("key"), "key", "leftsemi"), left)
         out = out.unionByName(stuck.select("id", "key", "root_id", F.lit(-1).cast("long").alias("depth"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else [])))
     return out
 
 
+def _join(rows: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """rows join ends on link, unique in ends; where the n rows suffice for a hot link, with salt."""
+    return salted_join(rows, ends, ["link"]) if n >= HOT_ROWS else rows.join(ends, "link")
+
+
 def _cycle_roots(edge: DataFrame, n: int) -> DataFrame:
     """(id, key, root_id) of nodes that all lead to cycles: the smallest id on the cycle.
 

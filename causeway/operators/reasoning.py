@@ -108,13 +108,15 @@ def similar_pairs(sets: DataFrame, key: str, members: str, least: float) -> Data
     ranked = classes.select(key, F.explode(members).alias("m")).join(n, "m").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("r"))
     size = F.size("r")
     prefix = F.slice("r", F.lit(1), (size - F.ceil(least * size - F.lit(1e-9)) + 1).cast("int"))
-    p = ranked.select(key, size.alias("size"), F.explode(prefix).alias("x")).select(key, "size", F.col("x.m").alias("m"))
-    a, b = p.withColumnsRenamed({key: "a", "size": "na"}), p.withColumnsRenamed({key: "b", "size": "nb"})
+    p = ranked.select(key, size.alias("size"), F.transform("r", lambda x: x["m"]).alias("set"), F.explode(prefix).alias("x")).select(key, "size", "set", F.col("x.m").alias("m"))
+    a, b = p.withColumnsRenamed({key: "a", "size": "na", "set": "sa"}), p.withColumnsRenamed({key: "b", "size": "nb", "set": "sb"})
     bound = F.when(F.col("na") == F.col("nb"), (F.col("na") - 1) / (F.col("na") + 1)).otherwise(F.least("na", "nb") / F.greatest("na", "nb"))
-    pairs = a.join(b, "m").where((F.col("a") < F.col("b")) & (bound >= least - 1e-12)).select("a", "b").distinct()
-    s = classes.select(key, members)
-    j = pairs.join(s.withColumnsRenamed({key: "a", members: "ma"}), "a").join(s.withColumnsRenamed({key: "b", members: "mb"}), "b").withColumn("similarity", jaccard(F.col("ma"), F.col("mb")))
-    return j.where(F.col("similarity") >= least - 1e-12).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    # compared where they meet, so that only pairs that are alike are moved
+    alike = (F.col("a") < F.col("b")) & (bound >= least - 1e-12)
+    # few rows make many pairs here, so their partitions must not be merged by size
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = a.repartition(parts, "m", "a").join(b, "m").where(alike).withColumn("similarity", jaccard(F.col("sa"), F.col("sb")))
+    return pairs.where(F.col("similarity") >= least - 1e-12).select("a", "b", F.round("similarity", 9).alias("similarity")).distinct()
 
 
 def leader_clusters(pairs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
