@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.operators.facts import jaccard
-from causeway.session import materialize
+from causeway.session import discard, materialize, materialize_counted
 
 # Weights of evidence kinds and of rule states.
 EVIDENCE_WEIGHTS = {"intervention": 1.0, "quasi_experiment": 0.8, "observational": 0.5}
@@ -46,47 +46,63 @@ def unexplained(facts: DataFrame, rule_facts: DataFrame) -> DataFrame:
     return facts.join(effects, "sig", "left_anti")
 
 
-def explain(observations: DataFrame, rules: DataFrame, depth: int = 4, beam: int = 20, top: int = 3) -> DataFrame:
+def explain(observations: DataFrame, rules: DataFrame, beam: int = 20, top: int = 5) -> DataFrame:
     """(observation_id, rank, score, rules, assumed): the best explanations of each observation by its rules.
 
     observations: observation_id, sigs. rules: regulation_id, score, pre, eff
-    with plain signatures (no variables). Backward chaining with a beam: the
-    open goal first by name is either derived by a rule with that effect, whose
-    preconditions that are no known fact become goals, or assumed at
-    ASSUMPTION_COST; each rule costs RULE_COST. A goal that is derived or
-    assumed is closed for good, so chains end. score = (sum of log rule scores
-    less costs) / max(1, rules). States are kept per observation by score, then
-    by rules, at most `beam` after each step; what is still open after `depth`
-    steps is assumed.
+    with plain signatures (no variables). Backward chaining with a beam: goals
+    that no rule derives are assumed at once, at ASSUMPTION_COST; of the others
+    the one first by name is either derived by a rule with that effect, whose
+    preconditions that are no known fact become goals, or assumed as well; each
+    rule costs RULE_COST. A goal that is derived or assumed is closed for good,
+    so chains end, and steps are taken until no goal is open. score = (sum of
+    log rule scores less costs) / max(1, rules). The only limit is the beam:
+    states are kept per observation by score, then by rules, at most `beam`
+    after each step. Observations that the rules cannot tell apart are searched
+    once.
     """
-    effect = rules.select(F.explode("eff").alias("goal"), "regulation_id", F.log("score").alias("gain"), "pre")
-    # of the rules for one goal only the `beam` best can survive a step from the same state
-    best = Window.partitionBy("goal").orderBy(F.desc("gain"), "regulation_id")
-    effect = materialize(effect.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= beam).drop("__n"), "effects")
-    known = observations.select("observation_id", F.col("sigs").alias("known"))
-    start = known.select("observation_id", "known", F.col("known").alias("open"), F.array().cast("array<string>").alias("closed"), F.array().cast("array<string>").alias("rules"), F.lit(0.0).alias("total"), F.lit(0).alias("assumed"))
-    state = start.where(F.size("open") > 0)
-    done = None
-    for _ in range(depth):
-        pick = state.withColumn("goal", F.array_min("open"))
-        rest = F.array_remove(F.col("open"), F.col("goal"))
-        derived = pick.join(effect, "goal").select(
-            "observation_id", "known",
-            F.array_except(F.array_union(F.array_remove(F.col("open"), F.col("goal")), F.array_except("pre", "known")), F.array_append("closed", F.col("goal"))).alias("open"),
-            F.array_append("closed", F.col("goal")).alias("closed"), F.array_append("rules", F.col("regulation_id")).alias("rules"),
-            (F.col("total") + F.col("gain") - RULE_COST).alias("total"), "assumed",
+    none = F.array().cast("array<string>")
+    goals = rules.select(F.explode("eff").alias("sig")).distinct().withColumn("derivable", F.lit(1))
+    pre = rules.select("regulation_id", F.explode("pre").alias("sig")).distinct()
+    sides = pre.join(goals, "sig", "left").groupBy("regulation_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("derivable") == 1, F.col("sig")))).alias("pre"), F.array_sort(F.collect_set(F.when(F.col("derivable").isNull(), F.col("sig")))).alias("bare")
+    )
+    effect = rules.select(F.explode(F.array_distinct("eff")).alias("goal"), "regulation_id", F.log("score").alias("gain")).join(sides, "regulation_id", "left")
+    effect = materialize(effect.select("goal", "regulation_id", "gain", F.coalesce("pre", none).alias("pre"), F.coalesce("bare", none).alias("bare")), "effects")
+    # of an observation only the facts that some rule names make a difference
+    named = materialize(pre.select("sig", F.lit(1).alias("needed"), F.lit(None).cast("int").alias("derivable")).unionByName(goals.select("sig", F.lit(None).cast("int").alias("needed"), "derivable")).groupBy("sig").agg(F.max("needed").alias("needed"), F.max("derivable").alias("derivable")), "named")
+    member = observations.select("observation_id", F.explode(F.array_distinct("sigs")).alias("sig")).join(named, "sig", "left").groupBy("observation_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("needed") == 1, F.col("sig")))).alias("known"), F.array_sort(F.collect_set(F.when(F.col("derivable") == 1, F.col("sig")))).alias("open"), F.count_if(F.col("derivable").isNull()).cast("int").alias("assumed")
+    )
+    member = materialize(member, "members")
+    alike = ["known", "open", "assumed"]
+    start = materialize(member.groupBy(*alike).agg(F.min("observation_id").alias("id")), "alike")
+    state = start.select("id", "known", "open", none.alias("closed"), none.alias("rules"), (-ASSUMPTION_COST * F.col("assumed")).alias("total"), "assumed")
+    score = F.round(F.col("total") / F.greatest(F.size("rules"), F.lit(1)), 9)
+    ended = lambda df: df.where(F.size("open") == 0).select("id", score.alias("score"), F.array_join("rules", ",").alias("rules"), "assumed")
+    first = Window.partitionBy("id").orderBy(F.desc("score"), "rules", "assumed")
+    best = lambda df: df.distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
+    unknown = lambda c: F.array_except(F.array_except(c, "known"), "closed")
+    w = Window.partitionBy("id").orderBy(F.desc(score), F.array_join("rules", ","), "assumed", "open", "closed")
+    done, step, going = ended(state), state, True
+    while going:
+        pick = step.where(F.size("open") > 0).withColumn("goal", F.array_min("open")).withColumn("open", F.array_remove("open", F.col("goal"))).withColumn("closed", F.array_append("closed", F.col("goal")))
+        met = pick.join(effect, "goal").withColumn("bare", unknown("bare"))
+        derived = met.select(
+            "id", "known", F.array_union("open", unknown("pre")).alias("open"), F.array_union("closed", "bare").alias("closed"), F.array_append("rules", F.col("regulation_id")).alias("rules"),
+            (F.col("total") + F.col("gain") - RULE_COST - ASSUMPTION_COST * F.size("bare")).alias("total"), (F.col("assumed") + F.size("bare")).alias("assumed"),
         )
-        assumed = pick.select("observation_id", "known", rest.alias("open"), F.array_append("closed", F.col("goal")).alias("closed"), "rules", (F.col("total") - ASSUMPTION_COST).alias("total"), (F.col("assumed") + 1).alias("assumed"))
-        step = derived.unionByName(assumed)
-        w = Window.partitionBy("observation_id").orderBy(F.desc(F.round(F.col("total") / F.greatest(F.size("rules"), F.lit(1)), 9)), F.array_join("rules", ","))
-        step = materialize(step.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= beam).drop("__r"), "beam")
-        ended = step.where(F.size("open") == 0)
-        done = ended if done is None else done.unionByName(ended)
-        state = step.where(F.size("open") > 0)
-    left = state.select("observation_id", "known", "open", "closed", "rules", (F.col("total") - ASSUMPTION_COST * F.size("open")).alias("total"), (F.col("assumed") + F.size("open")).alias("assumed"))
-    out = done.unionByName(left).select("observation_id", F.round(F.col("total") / F.greatest(F.size("rules"), F.lit(1)), 9).alias("score"), F.array_join("rules", ",").alias("rules"), "assumed").distinct()
-    w = Window.partitionBy("observation_id").orderBy(F.desc("score"), "rules", "assumed")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("observation_id", F.col("rank").cast("long").alias("rank"), "score", "rules", F.col("assumed").cast("long").alias("assumed"))
+        assumed = pick.select("id", "known", "open", "closed", "rules", (F.col("total") - ASSUMPTION_COST).alias("total"), (F.col("assumed") + 1).alias("assumed"))
+        next_, seen = materialize_counted(derived.unionByName(assumed).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= beam).drop("__r"), "beam", going=F.count_if(F.size("open") > 0))
+        going = seen["going"] > 0
+        # of the ended chains only the best are kept, so that files and plans stay small over any number of steps
+        kept = materialize(best(done.unionByName(ended(next_))).drop("rank"), "ended")
+        discard(step)
+        discard(done)
+        done, step = kept, next_
+    best = best(done).withColumnRenamed("assumed", "n")
+    same = member.join(start, alike).select("observation_id", "id")
+    return same.join(best, "id").select("observation_id", F.col("rank").cast("long").alias("rank"), "score", "rules", F.col("n").cast("long").alias("assumed"))
 
 
 def similar_pairs(sets: DataFrame, key: str, members: str, least: float) -> DataFrame:

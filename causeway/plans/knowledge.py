@@ -225,8 +225,8 @@ def exp_choose_goal(spark, d):
 
 @query()
 def exp_explain(spark, d):
-    """The best explanations of every observation by confirmed rules, by beam search."""
-    rules = reasoning.scored(base.rule_sets(spark, d).where("status = 'confirmed'")).select("regulation_id", "score", "pre", "eff")
+    """The five best explanations of every observation by the rules that are not retired, by beam search."""
+    rules = reasoning.scored(base.rule_sets(spark, d).where("status is null or status <> 'retired'")).select("regulation_id", "score", "pre", "eff")
     return reasoning.explain(base.observation_sets(spark, d).select("observation_id", "sigs"), rules)
 
 
