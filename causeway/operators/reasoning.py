@@ -105,6 +105,18 @@ def explain(observations: DataFrame, rules: DataFrame, beam: int = 20, top: int
     return same.join(best, "id").select("observation_id", F.col("rank").cast("long").alias("rank"), "score", "rules", F.col("n").cast("long").alias("assumed"))
 
 
+def candidates(observations: DataFrame, rules: DataFrame) -> DataFrame:
+    """(observation_id, regulation_id, confidence, missing): rules of which an observation has some predicate of the preconditions.
+
+    confidence: share of the predicates times the rule's credibility; missing: how many it has not.
+    """
+    r = rules.where(F.size("pre_preds") > 0)
+    n = observations.select("observation_id", F.explode("preds").alias("p")).join(r.select("regulation_id", F.explode("pre_preds").alias("p")), "p").groupBy("observation_id", "regulation_id").agg(F.count("*").alias("k"))
+    cred = F.when(F.col("s") > 0, F.col("s") / (F.col("s") + F.col("c") + 1)).otherwise(0.3)
+    c = n.join(r.select("regulation_id", "s", "c", F.size("pre_preds").alias("need")), "regulation_id")
+    return c.select("observation_id", "regulation_id", F.round(F.col("k") / F.col("need") * cred, 9).alias("confidence"), (F.col("need") - F.col("k")).alias("missing"))
+
+
 def similar_pairs(sets: DataFrame, key: str, members: str, least: float) -> DataFrame:
     """(a, b, similarity): pairs a < b of distinct member sets with Jaccard similarity of at least `least`.
 

@@ -308,12 +308,15 @@ def exp_refute(spark, d):
 
 @query("select o.observation_id, r.regulation_id, round(len(list_intersect(o.preds, r.pre_preds)) / len(r.pre_preds) * case when s > 0 then s / (s + c + 1) else 0.3 end, 9) confidence from (select * from observation_sets where project = 'quartz-works') o join (select * from rule_sets where len(pre_preds) > 0 and status = 'confirmed') r on len(list_intersect(o.preds, r.pre_preds)) > 0")
 def exp_diagnosis_candidates(spark, d):
-    """Rules that the known predicates of a project's observations point to, with their confidence."""
-    o = base.observation_sets(spark, d).where("project = 'quartz-works'").select("observation_id", "preds")
-    r = base.rule_sets(spark, d).where((F.size("pre_preds") > 0) & (F.col("status") == "confirmed"))
-    n = o.select("observation_id", F.explode("preds").alias("p")).join(r.select("regulation_id", F.explode("pre_preds").alias("p")), "p").groupBy("observation_id", "regulation_id").agg(F.count("*").alias("k"))
-    cred = F.when(F.col("s") > 0, F.col("s") / (F.col("s") + F.col("c") + 1)).otherwise(0.3)
-    return n.join(r.select("regulation_id", "s", "c", F.size("pre_preds").alias("need")), "regulation_id").select("observation_id", "regulation_id", F.round(F.col("k") / F.col("need") * cred, 9).alias("confidence"))
+    """Confirmed rules that the known predicates of one project's observations point to, with their confidence."""
+    o = base.observation_sets(spark, d).where("project = 'quartz-works'")
+    return reasoning.candidates(o, base.rule_sets(spark, d).where("status = 'confirmed'")).drop("missing")
+
+
+@query()
+def exp_diagnosis_candidates_all(spark, d):
+    """exp_diagnosis_candidates over the observations of all projects and of none, by all rules that are not retired."""
+    return reasoning.candidates(base.observation_sets(spark, d), base.rule_sets(spark, d).where("status is null or status <> 'retired'")).drop("missing")
 
 
 @query("select pred, count(distinct regulation_id) n from rule_facts where side = 'pre' group by 1 order by n desc, pred limit 5")

@@ -219,16 +219,26 @@ n as (select regulation_id, count(*) n from e group by 1)
 select h.observation_id, h.regulation_id, round(k / n.n * s / (s + c + 1), 9) score from hit h join n using (regulation_id) join rules using (regulation_id)"""
 
 
-@query(_CAUSES)
-def exp_suggest_causes(spark, d):
-    """Rules whose effects an observation of a project shows, by share of effects times credibility."""
-    o = base.facts(spark, d).where("project = 'quartz-works'").select("observation_id", "sig").distinct()
+def _causes(spark, d, facts):
+    o = facts.select("observation_id", "sig").distinct()
     e = base.rule_facts(spark, d).where("side = 'eff'").select("regulation_id", "sig").distinct()
     hit = o.join(e, "sig").groupBy("observation_id", "regulation_id").agg(F.count("*").alias("k"))
     n = e.groupBy("regulation_id").agg(F.count("*").alias("n"))
     return hit.join(n, "regulation_id").join(base.rules(spark, d), "regulation_id").select("observation_id", "regulation_id", F.round(F.col("k") / F.col("n") * F.col("s") / (F.col("s") + F.col("c") + 1), 9).alias("score"))
 
 
+@query(_CAUSES)
+def exp_suggest_causes(spark, d):
+    """Rules whose effects an observation of one project shows, by share of effects times credibility."""
+    return _causes(spark, d, base.facts(spark, d).where("project = 'quartz-works'"))
+
+
+@query()
+def exp_suggest_causes_all(spark, d):
+    """exp_suggest_causes over the observations of all projects and of none."""
+    return _causes(spark, d, base.facts(spark, d))
+
+
 @query("select problem_class_id, w word, n from (select problem_class_id, w, count(distinct id) n, any_value(t) t from (select distinct id, problem_class_id, unnest(list_distinct(list_filter(string_split(lower(regexp_replace(raw_input, '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda x: len(x) > 2))) w from stories where problem_class_id is not null and raw_input is not null) join (select problem_class_id, count(distinct id) t from stories where raw_input is not null group by 1) using (problem_class_id) group by 1, 2) where n >= 2 and n / t >= 0.5", False)
 def exp_analyze_batch(spark, d):
     """Words that at least half of the stories of a problem class have in common."""
@@ -240,13 +250,19 @@ def exp_analyze_batch(spark, d):
 
 @query("select observation_id, case when best > 0.6 and missing = 0 then 'converged' when best is null then 'insufficient' else 'gathering' end stage from (select o.observation_id, max(round(len(list_intersect(o.preds, r.pre_preds)) / len(r.pre_preds) * case when s > 0 then s / (s + c + 1) else 0.3 end, 9)) best, min(len(r.pre_preds) - len(list_intersect(o.preds, r.pre_preds))) missing from (select * from observation_sets where project = 'quartz-works') o left join (select * from rule_sets where len(pre_preds) > 0 and status = 'confirmed') r on len(list_intersect(o.preds, r.pre_preds)) > 0 group by 1)")
 def exp_diagnose(spark, d):
-    """How far the diagnosis of each observation of a project has come."""
-    o = base.observation_sets(spark, d).where("project = 'quartz-works'").select("observation_id", "preds")
-    r = base.rule_sets(spark, d).where((F.size("pre_preds") > 0) & (F.col("status") == "confirmed"))
-    n = o.select("observation_id", F.explode("preds").alias("p")).join(r.select("regulation_id", F.explode("pre_preds").alias("p")), "p").groupBy("observation_id", "regulation_id").agg(F.count("*").alias("k"))
-    cred = F.when(F.col("s") > 0, F.col("s") / (F.col("s") + F.col("c") + 1)).otherwise(0.3)
-    c = n.join(r.select("regulation_id", "s", "c", F.size("pre_preds").alias("need")), "regulation_id")
-    best = c.groupBy("observation_id").agg(F.max(F.round(F.col("k") / F.col("need") * cred, 9)).alias("best"), F.min(F.col("need") - F.col("k")).alias("missing"))
+    """How far the diagnosis of each observation of one project has come, by confirmed rules."""
+    o = base.observation_sets(spark, d).where("project = 'quartz-works'")
+    return _stages(o, base.rule_sets(spark, d).where("status = 'confirmed'"))
+
+
+@query()
+def exp_diagnose_all(spark, d):
+    """exp_diagnose over the observations of all projects and of none, by all rules that are not retired."""
+    return _stages(base.observation_sets(spark, d), base.rule_sets(spark, d).where("status is null or status <> 'retired'"))
+
+
+def _stages(o, r):
+    best = reasoning.candidates(o, r).groupBy("observation_id").agg(F.max("confidence").alias("best"), F.min("missing").alias("missing"))
     stage = F.when((F.col("best") > 0.6) & (F.col("missing") == 0), "converged").when(F.col("best").isNull(), "insufficient").otherwise("gathering")
     return o.select("observation_id").join(best, "observation_id", "left").select("observation_id", stage.alias("stage"))
 
