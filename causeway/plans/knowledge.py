@@ -176,6 +176,24 @@ def gra_ingest_cooccurrence(spark, d):
     return fx.pair_counts(f, "observation_id", "sigs").where("n >= 2").select(F.concat("a", F.lit(" & "), "b").alias("pair"), "n")
 
 
+@query()
+def gra_ingest_cooccurrence_all(spark, d):
+    """Co-occurrence edges between all facts and context entries of one observation, single ones too.
+
+    An entry of the context counts beside the facts; where both have the same text they are one atom.
+    """
+    facts = base.facts(spark, d).select("observation_id", "sig")
+    o = load(spark, d, "observations").where("observation_id is not null")
+    c = F.col("context")
+    entries = F.map_concat(
+        F.create_map(*[x for k, v in (("shift", c.shift), ("env.os", c.env.os), ("env.arch", c.env.arch), ("env.runtime.name", c.env.runtime["name"]), ("env.runtime.level", c.env.runtime.level.cast("string"))) for x in (F.lit(k), v)]),
+        F.coalesce(F.transform_keys(c.extra, lambda k, _: F.concat(F.lit("extra."), k)), F.create_map().cast("map<string,string>")),
+    )
+    context = o.select("observation_id", F.explode(entries)).where("value is not null").select("observation_id", F.concat_ws("|", "key", "value").alias("sig"))
+    sets = facts.unionByName(context).groupBy("observation_id").agg(F.collect_set("sig").alias("sigs"))
+    return fx.pair_counts(sets, "observation_id", "sigs").select(F.concat("a", F.lit(" & "), "b").alias("pair"), "n")
+
+
 @query("select o.observation_id, f.regulation_id from facts o join rule_facts f on f.side = 'eff' and f.pred = o.pred and f.val = o.val group by all")
 def gra_effect_candidates(spark, d):
     e = base.rule_facts(spark, d).where("side = 'eff' and val is not null").select("regulation_id", "sig").distinct()

@@ -11,3 +11,14 @@ def test_all_projects(spark, duck, name):
     sql = SQL[name].replace("project = 'quartz-works'", "true").replace("status = 'confirmed')", "status is distinct from 'retired')")
     assert "quartz" not in sql and sql.count("is distinct from") == (name != "exp_suggest_causes")
     assert_same(QUERIES[f"{name}_all"](spark, DATA), duck.execute(sql).df())
+
+
+def test_cooccurrence_of_all_atoms(spark, duck):
+    """Every pair of facts and context entries, counted in SQL."""
+    from causeway.plans.base import SQL as PRELUDE
+
+    entries = "[{k: 'shift', v: context.shift}, {k: 'env.os', v: context.env.os}, {k: 'env.arch', v: context.env.arch}, {k: 'env.runtime.name', v: context.env.runtime.name}, {k: 'env.runtime.level', v: cast(context.env.runtime.level as varchar)}]"
+    sql = PRELUDE + f""", atoms as (select observation_id, sig from facts union select observation_id, e.k || '|' || e.v from (select observation_id, unnest({entries}) e from observations where observation_id is not null) where e.v is not null
+    union select observation_id, 'extra.' || e.key || '|' || e.value from (select observation_id, unnest(map_entries(context.extra)) e from observations where observation_id is not null) where e.value is not null)
+    select a.sig || ' & ' || b.sig pair, count(*) n from atoms a join atoms b on a.observation_id = b.observation_id and a.sig < b.sig group by 1"""
+    assert_same(QUERIES["gra_ingest_cooccurrence_all"](spark, DATA), duck.execute(sql).df())
