@@ -171,6 +171,19 @@ def leader_clusters(pairs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return decided
 
 
+def classes(sets: DataFrame, key: str, members: str) -> DataFrame:
+    """(<key>, <members>, class_id): every row with members and the smallest key of those with equal members."""
+    some = sets.where(F.size(members) > 0).select(key, members)
+    return some.join(some.groupBy(members).agg(F.min(key).alias("class_id")), members)
+
+
+def led(sets: DataFrame, key: str, members: str, least: float) -> DataFrame:
+    """(<key>, leader): leader_clusters over the distinct member sets, given to every row."""
+    mine = materialize(classes(sets, key, members), "classes")
+    leaders = leader_clusters(similar_pairs(mine, key, members, least), mine.select(F.col("class_id").alias(key)).distinct(), key)
+    return mine.join(leaders.withColumnRenamed(key, "class_id"), "class_id").select(key, "leader")
+
+
 def chain_compositions(rule_sets: DataFrame) -> DataFrame:
     """(first, second, pre, eff, support): rule pairs in which an effect of the first is a precondition of the second.
 

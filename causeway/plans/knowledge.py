@@ -265,10 +265,14 @@ def exp_similar_observations(spark, d):
 
 @query()
 def exp_leader_clusters(spark, d):
-    """Greedy leader clusters of distinct predicate sets at Jaccard similarity 0.8."""
-    sets = base.observation_sets(spark, d)
-    keys = sets.where(F.size("preds") > 0).groupBy("preds").agg(F.min("observation_id").alias("observation_id")).select("observation_id")
-    return reasoning.leader_clusters(reasoning.similar_pairs(sets, "observation_id", "preds", 0.8), keys, "observation_id")
+    """The leader of every observation with facts: greedy leader clusters of its predicate set at Jaccard similarity 0.8."""
+    return reasoning.led(base.observation_sets(spark, d), "observation_id", "preds", 0.8)
+
+
+@query()
+def exp_observation_classes(spark, d):
+    """The class of every observation with facts: the smallest id with the same predicates, which stands for it in exp_similar_observations."""
+    return reasoning.classes(base.observation_sets(spark, d), "observation_id", "preds").select("observation_id", "class_id")
 
 
 _INDUCE = """, ex as (select distinct sig from rule_facts where side = 'eff' and sig is not null), u as (select distinct project, observation_id, sig from facts where project is not null and sig not in (select sig from ex)),

@@ -315,11 +315,9 @@ def rct_search(spark, d):
 
 @query()
 def txt_keyword_clusters(spark, d):
-    """Greedy leader clusters of the documents' leading keywords at Jaccard similarity 0.5."""
+    """The leader of every document with keywords: greedy leader clusters of its leading keywords at Jaccard similarity 0.5."""
     sets = texts.txt_tfidf(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    sets = materialize(sets, "keyword-sets")
-    keys = sets.groupBy("words").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return reasoning.leader_clusters(reasoning.similar_pairs(sets, "doc_id", "words", 0.5), keys, "doc_id")
+    return reasoning.led(materialize(sets, "keyword-sets"), "doc_id", "words", 0.5)
 
 
 @query("select doc_id, round(10.0 * sum(idf * least(3, n)) / (3 * sum(idf)), 1) score from (select doc_id, w, idf, (length(lower(text)) - length(replace(lower(text), w, ''))) / length(w) n from documents, (values ('rule', 1.0), ('support', 2.0), ('writer', 1.5)) k(w, idf) where text is not null) group by 1 having sum(n) > 0", False)

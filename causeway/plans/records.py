@@ -433,6 +433,15 @@ def agg_conflicting_rules(spark, d):
     return found.groupBy("pred", "a", "b").agg(F.lit(1)).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "pred")
 
 
+@query()
+def agg_conflict_classes(spark, d):
+    """The class of every rule and effect predicate in agg_conflicting_rules, with the values the rule predicts."""
+    s = base.rule_sets(spark, d).where(F.size("pre_preds") > 0).select("regulation_id", "pre_preds")
+    e = s.join(base.rule_facts(spark, d).where("side = 'eff' and val is not null").select("regulation_id", "pred", "val").distinct(), "regulation_id")
+    c = e.groupBy("pre_preds", "pred").agg(F.min("regulation_id").alias("class_id"))
+    return e.join(c, ["pre_preds", "pred"]).select("regulation_id", "pred", "val", "class_id")
+
+
 @query("select pred, min(x) low, max(x) high, count(x) n from (select pred, try_cast(val as double) x from facts) where x is not null group by 1", True)
 def agg_numeric_ranges(spark, d):
     x = F.when(F.col("val").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.col("val").try_cast("double"))
