@@ -105,6 +105,21 @@ def explain(observations: DataFrame, rules: DataFrame, beam: int = 20, top: int
     return same.join(best, "id").select("observation_id", F.col("rank").cast("long").alias("rank"), "score", "rules", F.col("n").cast("long").alias("assumed"))
 
 
+def permuted(facts: DataFrame) -> DataFrame:
+    """(observation_id, pred, val): facts with the values of each predicate moved on by one in hash order, the last to the first.
+
+    The order is by bucket, then inside it, which bounds what one task sorts;
+    the last of a bucket takes the first value of the next one that has any.
+    """
+    f = facts.withColumn("bucket", F.pmod(F.xxhash64("observation_id"), F.lit(64)))
+    order = [F.xxhash64("observation_id", "ord", F.lit(42)), F.col("observation_id"), F.col("ord")]
+    first = f.groupBy("pred", "bucket").agg(F.min_by("val", F.struct(*order)).alias("first"))
+    w = Window.partitionBy("pred").orderBy("bucket")
+    after = first.select("pred", "bucket", F.coalesce(F.lead("first").over(w), F.first("first").over(w)).alias("after"))
+    moved = f.withColumn("next", F.lead("val").over(Window.partitionBy("pred", "bucket").orderBy(*order)))
+    return moved.join(after, ["pred", "bucket"]).select("observation_id", "pred", F.coalesce("next", "after").alias("val"))
+
+
 def candidates(observations: DataFrame, rules: DataFrame) -> DataFrame:
     """(observation_id, regulation_id, confidence, missing): rules of which an observation has some predicate of the preconditions.
 

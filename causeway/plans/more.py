@@ -197,13 +197,11 @@ def exp_subset_test(spark, d):
 def exp_permutation_test(spark, d):
     """Each rule's support with the facts' values permuted within their predicate; passed if it falls below half of the real one.
 
-    Values move to the next observation in hash order of the same predicate, so
-    every predicate keeps its distribution.
+    Values move to the next observation in hash order of the same predicate, the
+    last to the first, so every predicate keeps its distribution.
     """
     rules, f = base.rule_sets(spark, d), base.facts(spark, d).select("observation_id", "pred", "val", "ord")
-    # values are exchanged inside (pred, bucket), which bounds what one task sorts
-    w = Window.partitionBy("pred", F.pmod(F.xxhash64("observation_id"), F.lit(64))).orderBy(F.xxhash64("observation_id", "ord", F.lit(42)), "observation_id", "ord")
-    p = f.withColumn("v2", F.coalesce(F.lead("val").over(w), F.col("val"))).select("observation_id", "pred", F.col("v2").alias("val")).withColumn("sig", F.concat_ws("|", "pred", "val"))
+    p = reasoning.permuted(f).withColumn("sig", F.concat_ws("|", "pred", "val"))
     p = materialize(p, "permuted")
     sets = p.groupBy("observation_id").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
     count = lambda o, facts, n: fx.satisfying(rules, o, facts).join(rules.select("regulation_id", "eff"), "regulation_id").join(o.select("observation_id", "sigs"), "observation_id").where(F.arrays_overlap("sigs", "eff")).groupBy("regulation_id").agg(F.count("*").alias(n))

@@ -46,3 +46,13 @@ def test_every_row_has_a_leader_or_class(spark, duck):
     want = duck.execute(PRELUDE + """, e as (select distinct regulation_id id, pred, val, pre_preds from rule_facts join rule_sets using (regulation_id) where side = 'eff' and val is not null and len(pre_preds) > 0)
     select distinct a.id, b.id, a.pred from e a join e b on a.id < b.id and a.pred = b.pred and a.val <> b.val where len(list_intersect(a.pre_preds, b.pre_preds)) / len(list_distinct(list_concat(a.pre_preds, b.pre_preds))) >= 0.3""").fetchall()
     assert got == {tuple(r) for r in want}
+
+
+def test_few_values_are_permuted(spark):
+    """Every value moves, also where a predicate has fewer facts than there are buckets."""
+    from causeway.operators import reasoning
+
+    facts = [(f"o{i}", p, f"{p}{i}", 0) for p, n in (("few", 7), ("many", 300), ("one", 1)) for i in range(n)]
+    got = {(r["pred"], r["observation_id"]): r["val"] for r in reasoning.permuted(spark.createDataFrame(facts, "observation_id string, pred string, val string, ord long")).collect()}
+    assert len(got) == len(facts) and sorted(got.values()) == sorted(v for _, _, v, _ in facts)
+    assert [v for o, p, v, _ in facts if got[p, o] == v] == ["one0"]
