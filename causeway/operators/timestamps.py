@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib.resources
+import os
 import re
-from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+import struct
+import zoneinfo
+from calendar import monthrange
+from dataclasses import dataclass, field
+from datetime import date
 from functools import lru_cache
-from zoneinfo import ZoneInfo, available_timezones
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-#: Instants between which zone tables hold every change of offset.
-ZONE_YEARS = (1900, 2100)
+#: After so many seconds (400 years) days, weekdays and leap years come again in the same order, and with them every yearly rule of a zone.
+CYCLE = 146_097 * 86_400
 
 # Names of months and of zones that are no IANA names.
 _MONTHS = {m: i + 1 for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))}
@@ -24,58 +28,169 @@ _LONG_MONTHS = ("january", "february", "march", "april", "may", "june", "july",
 _MONTHS |= {m: i + 1 for i, m in enumerate(_LONG_MONTHS)}
 _FIXED_ZONES = {"z": 0, "ut": 0, "utc": 0, "gmt": 0, "est": -18000, "edt": -14400, "cst": -21600, "cdt": -18000, "mst": -25200, "mdt": -21600, "pst": -28800, "pdt": -25200}
 
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
-
-def zone_version() -> str:
-    """The release of the zone data in use."""
+def zone_release() -> str:
+    """The release of the zone data in use on this machine."""
     try:
-        return importlib.resources.files("tzdata").joinpath("zones").parent.joinpath("__init__.py").read_text().split('IANA_VERSION = "')[1].split('"')[0]
-    except Exception:
-        try:
-            with open("/usr/share/zoneinfo/tzdata.zi") as f:
-                return f.readline().split()[-1]
-        except OSError:
-            return "unknown"
+        import tzdata
+
+        packaged = tzdata.IANA_VERSION
+    except ImportError:
+        packaged = "unknown"
+    for root in zoneinfo.TZPATH:
+        if os.path.exists(os.path.join(root, "Europe", "London")):
+            try:
+                with open(os.path.join(root, "tzdata.zi")) as f:
+                    return f.readline().split()[-1]
+            except OSError:
+                return "system"
+    return packaged
+
+
+def _zone_file(name: str) -> bytes:
+    """The compiled file of a zone: from the system's folders or, as zoneinfo itself does, from the tzdata package."""
+    for root in zoneinfo.TZPATH:
+        path = os.path.join(root, *name.split("/"))
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                return f.read()
+    return importlib.resources.files("tzdata.zoneinfo").joinpath(*name.split("/")).read_bytes()
+
+
+def _changes(data: bytes) -> tuple[list[int], list[int], int, str]:
+    """(instants, offsets from each on, offset before the first, rule for later years) of a compiled zone file (RFC 8536)."""
+
+    def counts(at: int) -> tuple[int, ...]:
+        if data[at : at + 4] != b"TZif":
+            raise ValueError("no compiled zone file")
+        return struct.unpack(">6l", data[at + 20 : at + 44])
+
+    at, width = 0, 4
+    if data[4:5] >= b"2":  # the second block has 64-bit instants and the rule
+        utc, std, leap, times, types, chars = counts(0)
+        at, width = 44 + times * 5 + types * 6 + chars + leap * 8 + std + utc, 8
+    utc, std, leap, times, types, chars = counts(at)
+    at += 44
+    instants = list(struct.unpack(f">{times}{'q' if width == 8 else 'l'}", data[at : at + times * width]))
+    kinds = data[at + times * width : at + times * (width + 1)]
+    at += times * (width + 1)
+    offsets = [struct.unpack(">lBB", data[at + 6 * i : at + 6 * i + 6]) for i in range(types)]
+    at += types * 6 + chars + leap * (width + 4) + std + utc
+    rule = data[at:].strip(b"\n").decode() if width == 8 else ""
+    first = next((o for o, dst, _ in offsets if not dst), offsets[0][0])
+    return instants, [offsets[k][0] for k in kinds], first, rule
+
+
+_RULE = re.compile(r"(?:<[^>]+>|[A-Za-z]+)(?P<std>[+-]?[0-9:]+)(?:(?:<[^>]+>|[A-Za-z]+)(?P<dst>[+-]?[0-9:]+)?,(?P<start>[^,/]+)(?:/(?P<t1>[+-]?[0-9:]+))?,(?P<end>[^,/]+)(?:/(?P<t2>[+-]?[0-9:]+))?)?")
+
+
+def _clock(text: str) -> int:
+    sign = -1 if text.startswith("-") else 1
+    parts = [int(x) for x in text.lstrip("+-").split(":")] + [0, 0]
+    return sign * (parts[0] * 3600 + parts[1] * 60 + parts[2])
+
+
+def _day(rule: str, year: int) -> int:
+    """The day, counted from 1970, that a rule names in a year: Mm.w.d, Jn (no 29 February) or n."""
+    if rule.startswith("M"):
+        month, week, weekday = (int(x) for x in rule[1:].split("."))
+        first, days = monthrange(year, month)
+        day = 1 + (weekday - 1 - first) % 7 + 7 * (week - 1)  # monthrange counts from Monday, the rule from Sunday
+        return (date(year, month, day if day <= days else day - 7) - date(1970, 1, 1)).days
+    n = int(rule.lstrip("J"))
+    start = (date(year, 1, 1) - date(1970, 1, 1)).days
+    if rule.startswith("J"):
+        return start + n - 1 + (1 if n >= 60 and monthrange(year, 2)[1] == 29 else 0)
+    return start + n
 
 
 @lru_cache(maxsize=None)
-def _zone_names() -> dict[str, str]:
-    return {z.lower(): z for z in available_timezones()}
-
-
-@lru_cache(maxsize=1024)
-def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(wall, offset) of a zone: the wall seconds from which each offset holds; None for an unknown name.
+def _by_rule(rule: str, first_year: int) -> tuple[tuple[int, int], ...]:
+    """(instant, offset from it on) of the changes that a yearly rule makes in 401 years, the least that repeat for ever."""
+    m = _RULE.fullmatch(rule)
+    if not m or not m["start"]:
+        return ()
+    std = -_clock(m["std"])
+    dst = -_clock(m["dst"]) if m["dst"] else std + 3600
+    out = []
+    for year in range(first_year, first_year + 402):
+        out.append((_day(m["start"], year) * 86400 + _clock(m["t1"] or "2") - std, dst))
+        out.append((_day(m["end"], year) * 86400 + _clock(m["t2"] or "2") - dst, std))
+    return tuple(sorted(out))
+
+
+def _table(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(wall, offset): the wall seconds from which each offset holds.
 
     An offset takes over at the later of the two wall times of its change: a
     wall time that occurs twice then has the offset before, which is its
     earlier instant, and a skipped one is read with the offset before as well.
-    Changes are found by daily probes and bisection to the second.
     """
-    key = name.strip().lower()
-    if key in _FIXED_ZONES:
-        return np.array([-(2**62)]), np.array([_FIXED_ZONES[key]])
-    if key not in _zone_names():
-        return None
-    zone = ZoneInfo(_zone_names()[key])
-
-    def offset(t: int) -> int:
-        return int((_EPOCH + timedelta(seconds=t)).astimezone(zone).utcoffset().total_seconds())
-
-    first, last = (int((datetime(y, 1, 2, tzinfo=timezone.utc) - _EPOCH).total_seconds()) for y in ZONE_YEARS)
-    walls, offsets, before = [-(2**62)], [offset(first)], offset(first)
-    for t in range(first, last, 86400):
-        now = offset(t + 86400)
-        if now != before:
-            low, high = t, t + 86400
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if offset(mid) == before else (low, mid)
-            walls.append(high + max(before, now))
-            offsets.append(now)
-            before = now
-    return np.array(walls, dtype=np.int64), np.array(offsets, dtype=np.int64)
+    instants, offsets, first, rule = _changes(_zone_file(name))
+    if rule:
+        since = instants[-1] if instants else -(2**40)
+        year = 1970 + max(0, since) // 31_556_952
+        later = [(t, o) for t, o in _by_rule(rule, int(year)) if t > since]
+        instants += [t for t, _ in later]
+        offsets += [o for _, o in later]
+    walls, out, before = [-(2**62)], [first], first
+    for t, o in zip(instants, offsets, strict=True):
+        if o != before:
+            walls.append(t + max(before, o))
+            out.append(o)
+            before = o
+    return np.array(walls, dtype=np.int64), np.array(out, dtype=np.int64)
+
+
+@dataclass(frozen=True)
+class ZoneTables:
+    """The transition tables of all zones under one version: the release of the zone data and a digest of the tables.
+
+    They are built once, on the driver, and go to every worker as they are, so
+    two machines with different zone data cannot disagree. save() and load()
+    keep them beside the converted data, to convert later loads by the same
+    version. About 5 MB, whatever the data.
+    """
+
+    version: str
+    zones: dict[str, tuple[np.ndarray, np.ndarray]] = field(repr=False)
+
+    def offsets(self, name: str, wall: np.ndarray) -> np.ndarray | None:
+        """The offsets of a zone at wall seconds; None for an unknown name."""
+        key = name.strip().lower()
+        if key in _FIXED_ZONES:
+            return np.full(len(wall), _FIXED_ZONES[key], dtype=np.int64)
+        if key not in self.zones:
+            return None
+        walls, offsets = self.zones[key]
+        if walls[-1] > CYCLE // 2:  # a yearly rule, listed for 400 years: beyond them the same years come again
+            wall = wall - np.maximum(0, -((walls[-1] - wall) // CYCLE)) * CYCLE
+        return offsets[np.searchsorted(walls, wall, side="right") - 1]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Append the tables to the Parquet folder path, under their version."""
+        rows = [(self.version, k, w.tolist(), o.tolist()) for k, (w, o) in sorted(self.zones.items())]
+        spark.createDataFrame(rows, "version string, zone string, wall array<bigint>, utc_offset array<bigint>").coalesce(1).write.mode("append").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, version: str) -> ZoneTables:
+        rows = spark.read.parquet(path).where(F.col("version") == version).collect()  # the zones of one version
+        if not rows:
+            raise ValueError(f"no zone tables of version {version}")
+        return ZoneTables(version, {r["zone"]: (np.array(r["wall"], dtype=np.int64), np.array(r["utc_offset"], dtype=np.int64)) for r in rows})
+
+
+@lru_cache(maxsize=1)
+def zone_tables() -> ZoneTables:
+    """The tables of this machine's zone data."""
+    zones, digest = {}, hashlib.sha256()
+    for name in sorted(zoneinfo.available_timezones()):
+        try:
+            zones[name.lower()] = table = _table(name)
+        except (OSError, ValueError):
+            continue
+        digest.update(name.encode() + table[0].tobytes() + table[1].tobytes())
+    return ZoneTables(f"{zone_release()}-{digest.hexdigest()[:12]}", zones)
 
 
 #: Each character's class: 9 for digits, a for letters, the character itself otherwise.
@@ -110,6 +225,10 @@ _SHAPES = [
 ]
 
 
+#: Masks up to this length are remembered with their parsers; longer ones are matched anew each time.
+CACHED_MASK = 200
+
+
 @lru_cache(maxsize=65536)
 def parser_for(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     """(kind, {field: (start, end)}): the parser of a mask, found once per distinct mask; None if it names no instant.
@@ -141,11 +260,12 @@ def _micros(chars: np.ndarray, span: tuple[int, int] | None) -> np.ndarray:
     return _numbers(chars, (a, a + used)) * 10 ** (6 - used)
 
 
-def convert(texts: list[str], zones: list[str | None], orders: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def convert(texts: list[str], zones: list[str | None], orders: list[str | None], tables: ZoneTables) -> tuple[np.ndarray, np.ndarray]:
     """(micros, valid) of texts that share one mask, computed column by column."""
     n = len(texts)
     none = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    parser = parser_for(shape_mask(texts[0]))
+    mask = shape_mask(texts[0])
+    parser = parser_for(mask) if len(mask) <= CACHED_MASK else parser_for.__wrapped__(mask)
     if parser is None:
         return none
     kind, span = parser
@@ -209,35 +329,47 @@ def convert(texts: list[str], zones: list[str | None], orders: list[str | None])
         utc = np.zeros(n, dtype=np.int64)
         for i, name in enumerate(names):
             rows = at == i
-            table = zone_table(str(name))
-            if table is None:
+            offset = tables.offsets(str(name), wall[rows])
+            if offset is None:
                 ok[rows] = False
                 continue
-            w = wall[rows]
-            utc[rows] = w - table[1][np.searchsorted(table[0], w, side="right") - 1]
+            utc[rows] = wall[rows] - offset
     return utc * 1_000_000 + _micros(chars, span.get("f")), ok
 
 
-def to_micros(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
-    """Microseconds since 1970 of texts of any notation; null where a text names no instant."""
+def to_micros(text: pd.Series, zone: pd.Series, order: pd.Series, tables: ZoneTables | None = None) -> pd.Series:
+    """Microseconds since 1970 of texts of any notation and length; null where a text names no instant."""
+    tables = tables or zone_tables()
     out = np.zeros(len(text), dtype=np.int64)
     valid = np.zeros(len(text), dtype=bool)
     groups: dict[str, list[int]] = {}
     values, zones, orders = text.tolist(), zone.tolist(), order.tolist()
     for i, t in enumerate(values):
-        if isinstance(t, str) and len(t) <= 200:  # no notation is longer
+        if isinstance(t, str):
             t = values[i] = t.strip()
             if t:
                 groups.setdefault(t.translate(_CLASS), []).append(i)
     for rows in groups.values():
-        got, ok = convert([values[i] for i in rows], [zones[i] for i in rows], [orders[i] for i in rows])
+        got, ok = convert([values[i] for i in rows], [zones[i] for i in rows], [orders[i] for i in rows], tables)
         out[rows], valid[rows] = got, ok
     return pd.Series(pd.array(np.where(valid, out, 0), dtype="Int64")).mask(~valid)
 
 
-@F.pandas_udf(LongType())
-def utc_micros(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
-    return to_micros(text, zone, order)
+_sent: dict[tuple[str, str], object] = {}
+
+
+def _utc_micros(spark: SparkSession, tables: ZoneTables):
+    """The conversion as a column function; the tables go to each executor once."""
+    key = (spark.sparkContext.applicationId, tables.version)
+    if key not in _sent:
+        _sent[key] = spark.sparkContext.broadcast(tables)  # a fixed size, see ZoneTables
+    sent = _sent[key]
+
+    @F.pandas_udf(LongType())
+    def utc_micros(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
+        return to_micros(text, zone, order, sent.value)
+
+    return utc_micros
 
 
 #: The one form that needs no normalising.
@@ -249,17 +381,20 @@ def client_clock(clients: DataFrame) -> DataFrame:
     return clients.where("client is not null").groupBy("client").agg(F.min(F.struct("zone", "date_order")).alias("c")).select("client", "c.zone", "c.date_order")
 
 
-def normalised(df: DataFrame, columns: list[str], clients: DataFrame) -> DataFrame:
-    """df with `<column>_utc_micros` for each of columns: the instant, or null where the text names none.
+def normalised(df: DataFrame, columns: list[str], clients: DataFrame, tables: ZoneTables | None = None) -> DataFrame:
+    """df with `<column>_utc_micros` for each of columns: the instant, or null where the text names none; and `zone_data`, the version of the zone tables.
 
     A zone or offset in the text holds; else the wall time is that of the
-    client's zone (UTC for a null zone or an unknown client). See zone_table for
-    wall times that occur twice or never. Digits beyond microseconds are cut.
+    client's zone (UTC for a null zone or an unknown client), by `tables` or
+    those of the driver's zone data. See _table for wall times that occur twice
+    or never; years after the last listed change follow the zone's yearly rule. Digits beyond microseconds are cut.
     df needs the column client; clients is joined by size.
     """
     both = df.join(client_clock(clients).withColumnsRenamed({"zone": "__zone", "date_order": "__order"}), "client", "left")
-    out = both.select(*[F.col(f"`{c}`") for c in df.columns], *[utc_micros(F.col(c), F.col("__zone"), F.col("__order")).alias(f"{c}_utc_micros") for c in columns])
-    return out
+    tables = tables or zone_tables()
+    utc_micros = _utc_micros(df.sparkSession, tables)
+    own = [F.col(f"`{c}`") for c in df.columns if c != "zone_data"]
+    return both.select(*own, *[utc_micros(F.col(f"`{c}`"), F.col("__zone"), F.col("__order")).alias(f"{c}_utc_micros") for c in columns], F.lit(tables.version).alias("zone_data"))
 
 
 def uncanonical_instants(df: DataFrame, record_table: str, key: str, fields: list[str], clients: DataFrame) -> DataFrame:

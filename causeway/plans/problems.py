@@ -75,7 +75,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_story_instants(spark: SparkSession, d: str) -> DataFrame:
     out = timestamps.normalised(load(spark, d, "stories").select("id", "client", "created_at"), ["created_at"], load(spark, d, "ingest_clients"))
-    return out.select("id", "created_at", F.timestamp_micros("created_at_utc_micros").alias("created_utc")).distinct()
+    return out.select("id", "created_at", F.timestamp_micros("created_at_utc_micros").alias("created_utc"), "zone_data").distinct()
 
 
 def _referring(spark: SparkSession, d: str) -> dict[str, DataFrame]:

@@ -5,6 +5,7 @@ import json
 import random
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 import pytest
 from causeway.operators import drift, flatten, hierarchy, orphans, pivot, profile, timestamps
@@ -166,6 +167,7 @@ def utc(*a):
      ("1735689600123", "ny", utc(2025, 1, 1) + 123_000), ("1735689600123456", "ny", utc(2025, 1, 1) + 123_456), ("20250101000000", "be", utc(2024, 12, 31, 23)), ("01/02/2025 1:00:00 PM", "ny", utc(2025, 1, 2, 18)),
      ("01.02.2025 13:00:00", "be", utc(2025, 2, 1, 12)), ("Wed, 01 Jan 2025 02:00:00 +0200", "ny", utc(2025, 1, 1)), ("Jan 1, 2025 12:30:00 AM", "no", utc(2025, 1, 1, 0, 30)), ("2025-01-01T05:30+05:30[Asia/Kolkata]", "ny", utc(2025, 1, 1)),
      ("2025/01/01 09:15", "no", utc(2025, 1, 1, 9, 15)), ("2025-11-02 01:30:00", "ny", utc(2025, 11, 2, 5, 30)), ("2025-03-09 02:30:00", "ny", utc(2025, 3, 9, 7, 30)), ("2025-01-01T00:00:00.1234567", "no", utc(2025, 1, 1) + 123_456),
+     (" " * 250 + "2025-01-01 00:00:00\n", "no", utc(2025, 1, 1)), ("2025-01-01T00:00:00." + "5" * 300, "no", utc(2025, 1, 1) + 555_555), ("2150-07-01 10:00", "be", utc(2150, 7, 1, 8)), ("9150-01-01 10:00:00", "be", utc(9150, 1, 1, 9)),
      ("2025-02-30 00:00:00", "no", None), ("2025-13-01T00:00:00", "no", None), ("2025-01-01 00:32:34 GMT", "ny", utc(2025, 1, 1, 0, 32, 34)), ("2025-01-01 00:32:34 UTC", "be", utc(2025, 1, 1, 0, 32, 34)), ("2025-01-01 1:32:34 PM Z", "be", utc(2025, 1, 1, 13, 32, 34)), ("n/a", "no", None), ("", "no", None), (None, "no", None), ("x" * 100_000, "no", None), ("123456789", "no", None), ("2025-01-01 00:00:00 Mars/Base", "no", None), ("13/01/2025 10:00:00", "be", utc(2025, 1, 13, 9))],
 )
 def test_notations(text, client, want):
@@ -173,14 +175,26 @@ def test_notations(text, client, want):
 
 
 def test_zone_tables_against_zoneinfo():
-    rng = random.Random(5)
-    for name in ("America/St_Johns", "Asia/Kathmandu", "Australia/Sydney", "America/Sao_Paulo", "Pacific/Apia", "Europe/London"):
+    rng, zero = random.Random(5), dt.datetime(1970, 1, 1)
+    tables = timestamps.zone_tables()
+    for name in ("America/St_Johns", "Asia/Kathmandu", "Australia/Sydney", "America/Sao_Paulo", "Pacific/Apia", "Europe/London", "America/Nuuk", "Africa/Casablanca", "Europe/Dublin", "Etc/GMT+5"):
         zone = ZoneInfo(name)
-        for _ in range(300):
-            wall = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=rng.randrange(0, 80 * 365 * 86400))
-            want = int((wall.replace(tzinfo=zone, fold=0) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)).total_seconds())
-            got = timestamps.to_micros(pd.Series([wall.strftime("%Y-%m-%d %H:%M:%S")]), pd.Series([name]), pd.Series(["ymd"]))
-            assert int(got[0]) == want * 1_000_000
+        walls = [dt.datetime(1890, 1, 1) + dt.timedelta(seconds=rng.randrange(0, span * 365 * 86400)) for span in (150, 600, 8000) for _ in range(200)]
+        got = tables.offsets(name.lower(), np.array([int((w - zero).total_seconds()) for w in walls]))
+        assert [int(w.replace(tzinfo=zone, fold=0).utcoffset().total_seconds()) for w in walls] == got.tolist()
+
+
+def test_zone_tables_keep_their_version(spark, tmp_path):
+    tables = timestamps.zone_tables()
+    tables.save(spark, str(tmp_path / "z"))
+    back = timestamps.ZoneTables.load(spark, str(tmp_path / "z"), tables.version)
+    assert back.version == tables.version and back.zones.keys() == tables.zones.keys()
+    # a version with another rule converts by that rule
+    other = timestamps.ZoneTables("own", {"own/zone": (np.array([-(2**62)]), np.array([3600]))})
+    df = spark.createDataFrame([("a", "2025-01-01 00:00:00", None)], "client string, t string, zone_data string")
+    clients = spark.createDataFrame([("a", "Own/Zone", "ymd")], "client string, zone string, date_order string")
+    r = timestamps.normalised(df, ["t"], clients, other).first()
+    assert r["t_utc_micros"] == utc(2024, 12, 31, 23) and r["zone_data"] == "own"
 
 
 def test_uncanonical_frame(spark):
