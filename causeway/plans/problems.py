@@ -102,6 +102,31 @@ def _conformed(kind: str):
     return query
 
 
+_KINDS = ("metrics", "mechanism_class", "mechanism_program")
+
+
+def p6_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The filled cells of the three consistent tables in long form: a text (of a boolean too), a number or the length of a list."""
+    out = None
+    for kind in _KINDS:
+        t = _conformed(kind)(spark, d)
+        fixed = {"file_name", "export_line", "batch_no", "captured_at", "schema_version", "extra", "steps"}
+        cell = lambda c, k: F.struct(
+            F.lit(c).alias("field"), (F.col(c) if k == "string" else F.lit(None)).cast("string").alias("text"), (F.col(c) if k == "double" else F.lit(None)).cast("double").alias("number"), (F.when(F.col(c).isNotNull(), F.size(c)) if k.startswith("array") else F.lit(None)).cast("long").alias("items")
+        )
+        cells = F.array(*[cell(c, k) for c, k in t.dtypes if c not in fixed])
+        part = t.select(F.lit(kind).alias("artifact_kind"), "file_name", F.col("batch_no").cast("long").alias("batch_no"), F.unix_micros("captured_at").alias("captured"), F.explode(cells).alias("c")).select("artifact_kind", "file_name", "batch_no", "captured", "c.*")
+        out = part if out is None else out.unionByName(part)
+    return out.where("text is not null or number is not null or items is not null")
+
+
+def p6_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The migration steps between the schema versions of neighbouring batches."""
+    names, _ = drift.contract_map(load(spark, d, "contract_fields"))
+    store = drift.SchemaStore(spark).register(load(spark, d, "raw_artifacts"), names)
+    return drift.migration_steps(store.versions())
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.flat_leaves(load(spark, d, "observations"), load(spark, d, "regulations"))
 
@@ -122,7 +147,7 @@ def queries() -> dict:
         "p3_found": p3_found, "p3_wide": p3_wide,
         "p4_found": p4_found, "p4_story_instants": p4_story_instants,
         "p5_found": p5_found, "p5_by_period": p5_by_period,
-        "p6_found": p6_found, **{f"p6_{k}_table": _conformed(k) for k in ("metrics", "mechanism_class", "mechanism_program")},
+        "p6_found": p6_found, "p6_steps": p6_steps, "p6_cells": p6_cells, **{f"p6_{k}_table": _conformed(k) for k in _KINDS},
         "p7_found": p7_found, "p7_observation_tables": p7_observation_tables, "p7_regulation_tables": p7_regulation_tables,
     }
 

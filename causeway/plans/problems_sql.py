@@ -117,9 +117,61 @@ union all select 'regulations', regulation_id, 'pattern.pre', row_number() over
 """
 
 
+# members of the files with the canonical path of each, by a walk through the parsed bodies
+_MEMBERS = r"""
+with recursive names as (select artifact_kind, s, min(f) f from (select artifact_kind, regexp_replace(lower(accepted_name), '[^a-z0-9]', '', 'g') s, canonical_field f from contract_fields union all select artifact_kind, regexp_replace(lower(canonical_field), '[^a-z0-9]', '', 'g'), canonical_field from contract_fields) group by 1, 2),
+files as (select distinct export_line, artifact_kind, cast(batch_no as bigint) batch_no, body from raw_artifacts where export_line is not null and artifact_kind is not null and batch_no is not null),
+tree as (select f.export_line, f.artifact_kind, f.batch_no, f.body, t.id, t.parent, t.key k, t.type ty, t.value from files f, json_tree(f.body) t where json_valid(f.body)),
+member as (
+  select t.export_line, t.artifact_kind, t.batch_no, t.body, t.id, t.parent, t.ty, p.ty pty, case when p.ty = 'OBJECT' then t.k end k from tree t left join tree p on p.body = t.body and p.export_line = t.export_line and p.artifact_kind = t.artifact_kind and p.batch_no = t.batch_no and p.id = t.parent
+),
+path as (
+  select export_line, artifact_kind, batch_no, body, id, cast('' as varchar) path, cast(null as varchar) k, ty from member where parent is null
+  union all
+  select m.export_line, m.artifact_kind, m.batch_no, m.body, m.id, case when m.k is null then p.path else case when p.path = '' then '' else p.path || '.' end || coalesce(n.f, regexp_replace(lower(m.k), '[^a-z0-9]', '', 'g')) end, m.k, m.ty
+  from path p join member m on m.body = p.body and m.export_line = p.export_line and m.artifact_kind = p.artifact_kind and m.batch_no = p.batch_no and m.parent = p.id
+    left join names n on n.artifact_kind = m.artifact_kind and n.s = regexp_replace(lower(m.k), '[^a-z0-9]', '', 'g')
+),
+trait as (select distinct export_line, artifact_kind, batch_no, path field, k, case ty when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end ty from path where k is not null),
+batch as (select distinct export_line, artifact_kind, batch_no from files),
+field as (select export_line, artifact_kind, batch_no, field, list_sort(list(distinct k)) ks, coalesce(list_sort(list(distinct ty) filter (ty is not null)), []) ts from trait group by 1, 2, 3, 4),
+pair as (select b.export_line, b.artifact_kind, b.batch_no from batch b join batch a on a.export_line = b.export_line and a.artifact_kind = b.artifact_kind and a.batch_no = b.batch_no - 1),
+step as (
+  select p.*, coalesce(n.field, o.field) field, n.ks nk, o.ks ok, n.ts nt, o.ts ot from pair p join (
+    select export_line, artifact_kind, batch_no, field from field union select export_line, artifact_kind, batch_no + 1, field from field
+  ) f using (export_line, artifact_kind, batch_no) left join field n on n.export_line = p.export_line and n.artifact_kind = p.artifact_kind and n.batch_no = p.batch_no and n.field = f.field
+    left join field o on o.export_line = p.export_line and o.artifact_kind = p.artifact_kind and o.batch_no = p.batch_no - 1 and o.field = f.field
+),
+change as (
+  select *, 'added' change from step where ok is null union all select *, 'removed' from step where nk is null
+  union all select *, 'renamed' from step where nk <> ok union all select *, 'retyped' from step where nt <> ot and len(nt) > 0 and len(ot) > 0
+)
+"""
+
+P6_FOUND = _MEMBERS + "select distinct export_line, artifact_kind, batch_no, field, change from change"
+P6_STEPS = _MEMBERS + "select export_line, artifact_kind, batch_no, field, change, ok[1] old_key, nk[1] new_key, ot[1] old_type, case when len(nt) = 1 then nt[1] end new_type from change"
+
+P6_CELLS = r"""
+with names as (select artifact_kind, s, min(f) f from (select artifact_kind, regexp_replace(lower(accepted_name), '[^a-z0-9]', '', 'g') s, canonical_field f from contract_fields union all select artifact_kind, regexp_replace(lower(canonical_field), '[^a-z0-9]', '', 'g'), canonical_field from contract_fields) group by 1, 2),
+kind as (select artifact_kind, canonical_field f, min(json_type) jt from contract_fields group by 1, 2),
+files as (select distinct artifact_kind, file_name, export_line, batch_no, captured_at, body from raw_artifacts where json_valid(body) and json_type(body) = 'OBJECT'),
+keyed as (select *, unnest(json_keys(body)) k, generate_subscripts(json_keys(body), 1) i from files),
+cell as (
+  select * from (select x.artifact_kind, file_name, export_line, x.batch_no, captured_at, n.f, jt, json_extract(body, '$."' || k || '"') v, row_number() over (partition by x.artifact_kind, file_name, export_line, x.batch_no, captured_at, body, n.f order by json_type(json_extract(body, '$."' || k || '"')) <> 'NULL' desc, i desc) rn
+    from keyed x join names n on n.artifact_kind = x.artifact_kind and n.s = regexp_replace(lower(k), '[^a-z0-9]', '', 'g') join kind on kind.artifact_kind = x.artifact_kind and kind.f = n.f) where rn = 1 and json_type(v) <> 'NULL'
+),
+typed as (
+  select artifact_kind, file_name, cast(batch_no as bigint) batch_no, epoch_us(captured_at) captured, f field, case when jt = 'string' then case when json_type(v) = 'VARCHAR' then v ->> '$' else cast(v as varchar) end end as text,
+    case when jt = 'number' then case when json_type(v) = 'BOOLEAN' then case when cast(v as varchar) = 'true' then 1.0 else 0.0 end when json_type(v) = 'VARCHAR' then case when regexp_full_match(trim(v ->> '$'), '[+-]?(([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') then cast(replace(trim(v ->> '$'), ',', '') as double) end when json_type(v) not in ('ARRAY', 'OBJECT') then cast(v as double) end end number,
+    case when jt = 'array' then case when json_type(v) = 'ARRAY' then json_array_length(v) else 1 end end items from cell
+)
+select artifact_kind, file_name, batch_no, captured, field, text, number, cast(items as bigint) items from typed where text is not null or number is not null or items is not null
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND, "p1_paths": P1_PATHS, "p1_descendants": P1_DESCENDANTS,
         "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND,
-        "p5_found": P5_FOUND, "p5_by_period": P5_BY_PERIOD, "p7_found": P7_FOUND,
+        "p5_found": P5_FOUND, "p5_by_period": P5_BY_PERIOD, "p6_found": P6_FOUND, "p6_steps": P6_STEPS, "p6_cells": P6_CELLS, "p7_found": P7_FOUND,
     }

@@ -245,6 +245,32 @@ def test_schema_changes(spark):
     assert drift.schema_changes(files.limit(0), contract).count() == 0
     table = {r["file_name"]: r for r in drift.conform(files, contract, "m").collect()}
     assert table["f1"]["run_id"] == "a" and table["f1"]["n_items"] == 1.0 and "n_items: cast string to number" in table["f1"]["steps"] and table["f2"]["steps"] == ["damaged"]
+    assert "run_id, batch 2: rename runId to run_id" in table["f0"]["steps"] and table["f0"]["run_id"] == "a" and table["f0"]["n_items"] == 1.0
+
+
+@pytest.mark.parametrize("value,kind,want", [("1_000", "number", None), ("1,2", "number", None), ("1,200", "number", 1200), ("9007199254740993", "number", 9007199254740993), (" 1e3 ", "number", 1000.0), ("inf", "number", None), (True, "number", 1), ("Yes", "boolean", True), (2, "boolean", None), (5, "string", "5"), (True, "string", "true"), (None, "number", None), ("x", "array", ["x"]), ("x", "object", None)])
+def test_casts(value, kind, want):
+    got = drift._cast(value, kind)
+    assert (None if got is drift._LOST else got) == want
+
+
+def test_chain_of_steps(spark):
+    """A field that is renamed twice and changes its type to and fro; what cannot be undone is kept."""
+    contract = spark.createDataFrame([("m", "size", "sizeTotal", "number"), ("m", "size", "SIZE", "number"), ("m", "tag", "tag", "string")], "artifact_kind string, canonical_field string, accepted_name string, json_type string")
+    files = files_of(spark, [("l", 1, '{"sizeTotal": 7, "tag": "yes"}'), ("l", 2, '{"SIZE": "8", "tag": true}'), ("l", 3, '{"size": 9007199254740993, "tag": "no", "x": 1}'), ("l", 3, '{"size": "many"}'), (None, 1, '{"SIZE": "4"}')])
+    rows = {r["file_name"]: r for r in drift.conform(files, contract, "m").collect()}
+    assert [rows[f"f{i}"]["size"] for i in range(5)] == [7.0, 8.0, 9007199254740992.0, None, 4.0]
+    assert rows["f0"]["tag"] == "yes" and "tag, batch 2: kept string" in rows["f0"]["steps"] and [x for x in rows["f0"]["steps"] if "size, batch" in x] == ["size, batch 2: rename sizeTotal to SIZE", "size, batch 2: cast number to string", "size, batch 3: rename SIZE to size"]
+    assert rows["f2"]["extra"] == {"x": "1", "size": "9007199254740993"} and rows["f3"]["extra"] == {"size": '"many"'} and "size: lost string" in rows["f3"]["steps"]
+
+
+def test_schema_store_grows_by_batches(spark, tmp_path):
+    contract = spark.createDataFrame(CONTRACT, "artifact_kind string, canonical_field string, accepted_name string, json_type string")
+    files = files_of(spark, [("l", 1, '{"runId": "a"}'), ("l", 2, '{"run_id": "a"}'), ("l", 2, '{"run_id": "b"}')])
+    store = drift.SchemaStore(spark, str(tmp_path / "s"))
+    assert drift.schema_changes(files.where("batch_no = 1"), contract, store).count() == 0
+    assert as_set(drift.schema_changes(files.where("batch_no = 2"), contract, store)) == {("l", "m", 2, "run_id", "renamed")}
+    assert store.versions().count() == 2
 
 
 def brute_changes(files, names):
