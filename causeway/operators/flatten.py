@@ -12,11 +12,25 @@ from pyspark.sql import types as T
 
 from causeway.operators.drift import _refuse
 from causeway.operators.hierarchy import latest_state
+from causeway.session import scratch_path
 
 #: One emitted row: which table it belongs to, its own key, its parent's key, its place in the parent, and its scalar fields.
 TAGGED = "tag string, pk string, parent_pk string, ord long, payload string"
 
 
+def escaped(segment: Column) -> Column:
+    """A part of a key path with its own `~` and `/` written as ~0 and ~1, so that different paths never make the same key."""
+    return F.when(segment.contains("~") | segment.contains("/"), F.replace(F.replace(segment, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).otherwise(segment)
+
+
+def unescaped(segment: Column) -> Column:
+    return F.when(segment.contains("~"), F.replace(F.replace(segment, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))).otherwise(segment)
+
+
+def _escape(text: str) -> str:
+    return text.replace("~", "~0").replace("/", "~1")
+
+
 def _struct(tag: str, pk: Column, parent: Column, ord_: Column, payload: Column) -> Column:
     return F.struct(F.lit(tag).alias("tag"), pk.alias("pk"), parent.alias("parent_pk"), ord_.cast("long").alias("ord"), payload.alias("payload"))
 
@@ -55,14 +69,14 @@ def _child(node: Column, t: T.DataType, tag: str, parent: Column) -> list[Column
         et = t.elementType
 
         def element(x: Column, i: Column) -> Column:
-            pk = F.concat(parent, F.lit(f"/{tag.rpartition('.')[2]}/"), i.cast("string"))
+            pk = F.concat(parent, F.lit(f"/{_escape(tag.rpartition('.')[2])}/"), i.cast("string"))
             row = F.array(_struct(tag, pk, parent, i, _payload(x, et)))
             inner = _child(x, et, tag + ".item", pk) if isinstance(et, (T.ArrayType, T.MapType)) else _emit(x, et, tag, pk)
             # a null element keeps its place and makes no row
             return F.when(x.isNotNull(), F.concat(row, *inner) if inner else row)
 
         return [F.coalesce(F.flatten(F.array_compact(F.transform(node, element))), _no_rows())]
-    pk = F.concat(parent, F.lit(f"/{tag.rpartition('.')[2]}"))
+    pk = F.concat(parent, F.lit(f"/{_escape(tag.rpartition('.')[2])}"))
     row = F.array(_struct(tag, pk, parent, F.lit(0), _payload(node, t)))
     inner = _emit(node, t, tag, pk)
     return [F.when(node.isNotNull(), F.concat(row, *inner) if inner else row).otherwise(_no_rows())]
@@ -75,14 +89,14 @@ def tagged_rows(df: DataFrame, key: str, columns: list[str] | None = None) -> Da
     for each record, a row per array element, map entry and struct below
     `columns` (all but the key by default): no join and no shuffle. pk is the
     record's key followed by the path inside it, parent_pk the pk of what holds
-    it; null elements keep their place in ord and make no row; null arrays,
+    it (see escaped for keys with slashes); null elements keep their place in ord and make no row; null arrays,
     maps and structs make none. Records with a null key make no row. Copies of
     a record repeat its rows; distinct() removes them.
     """
     out: list[Column] = []
     for f in df.schema.fields:
         if f.name != key and (columns is None or f.name in columns) and _nested(f.dataType):
-            out += _child(F.col(f"`{f.name}`"), f.dataType, f.name, F.col(f"`{key}`").cast("string"))
+            out += _child(F.col(f"`{f.name}`"), f.dataType, f.name, escaped(F.col(f"`{key}`").cast("string")))
     if not out:
         return df.sparkSession.createDataFrame([], TAGGED)
     return df.where(F.col(f"`{key}`").isNotNull()).select(F.inline(F.concat(*out)))
@@ -95,10 +109,9 @@ def _visit(value, tag: str, pk: str, parent: str, ord_: int) -> Iterator[tuple[s
         x, tag, pk, parent, ord_ = stack.pop()
         if isinstance(x, dict):
             yield tag, pk, parent, ord_, json.dumps({k: v for k, v in x.items() if not isinstance(v, (dict, list))}, ensure_ascii=False)
-            stack.extend((v, f"{tag}.{k}", f"{pk}/{k}", pk, 0) for k, v in reversed(x.items()) if isinstance(v, (dict, list)))
+            stack.extend((v, f"{tag}.{k}", f"{pk}/{_escape(k)}", pk, 0) for k, v in reversed(x.items()) if isinstance(v, (dict, list)))
         elif isinstance(x, list):
-            if not isinstance(value, list) or x is not value:
-                yield tag, pk, parent, ord_, "{}"
+            yield tag, pk, parent, ord_, "{}"
             stack.extend((v, f"{tag}.item", f"{pk}/{i}", pk, i) for i, v in reversed(list(enumerate(x))) if v is not None)
         else:
             yield tag, pk, parent, ord_, json.dumps({"value": x}, ensure_ascii=False)
@@ -131,13 +144,15 @@ def fact_objects(document, path: tuple[str, ...]) -> Iterator[tuple[dict, str]]:
             stack.extend(reversed(x))
 
 
-def tagged_json(df: DataFrame, key: str, column: str, fact_path: tuple[str, ...] = ()) -> DataFrame:
+def tagged_json(df: DataFrame, key: str, column: str, fact_path: tuple[str, ...] = (), only_facts: bool = False) -> DataFrame:
     """The rows of all child tables of a column of JSON texts, as TAGGED, each text parsed once.
 
-    Tags are the paths of keys, with `.item` for the elements of arrays; damaged
-    texts make no row. With a fact_path, objects with a string pred anywhere
-    below it, wherever they are nested, are also emitted under the tag
-    `fact_path` itself, ord counting them in reading order.
+    Tags are the paths of keys, with `.item` for the elements of arrays; the
+    root has the tag `column` and the record's key as parent, also where it is
+    an array. Damaged texts make no row. With a fact_path, objects with a
+    string pred anywhere below it, wherever they are nested, are also emitted
+    under the tag `fact_path` itself, ord counting them in reading order;
+    only_facts leaves the other tags out.
     """
     fact_tag = ".".join(fact_path)
 
@@ -148,53 +163,55 @@ def tagged_json(df: DataFrame, key: str, column: str, fact_path: tuple[str, ...]
                 value = _loads(text)
                 if value is None:
                     continue
-                out += _visit(value, column, f"{k}/{column}", k, 0)
+                k = _escape(k)
+                if not only_facts:
+                    out += _visit(value, column, f"{k}/{_escape(column)}", k, 0)
                 if fact_path:
-                    out += [(fact_tag, f"{k}/{fact_tag}/{i}", k, i, json.dumps({"pred": p}, ensure_ascii=False)) for i, (_, p) in enumerate(fact_objects(value, fact_path))]
+                    out += [(fact_tag, f"{k}/{_escape(fact_tag)}/{i}", k, i, json.dumps({"pred": p}, ensure_ascii=False)) for i, (_, p) in enumerate(fact_objects(value, fact_path))]
             yield pd.DataFrame(out, columns=["tag", "pk", "parent_pk", "ord", "payload"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(column).alias("value")).where("key is not null and value is not null")
     return rows.mapInPandas(visit, TAGGED)
 
 
-def write_tables(tagged: DataFrame, path: str) -> None:
+def write_tables(tagged: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write all child tables in one go, a folder per tag."""
-    tagged.write.mode("overwrite").partitionBy("tag").parquet(path)
+    tagged.write.mode(mode).partitionBy("tag").parquet(path)
 
 
 def read_table(spark, path: str, tag: str, schema: str) -> DataFrame:
     """One child table: pk, parent_pk, ord and the payload's fields under schema. Reads only the folder of its tag."""
-    rows = spark.read.parquet(path).where(F.col("tag") == tag)
+    rows = spark.read.schema(TAGGED).parquet(path).where(F.col("tag") == tag)
     return rows.select("pk", "parent_pk", "ord", F.from_json("payload", schema).alias("p")).select("pk", "parent_pk", "ord", "p.*")
 
 
 def flat_leaves(observations: DataFrame, regulations: DataFrame) -> DataFrame:
     """(record_table, record_id, path, ord, leaf): the facts and operating systems of observations, the preconditions of regulations.
 
-    Read off the tagged rows of both tables. The os is that of context.env or,
-    where it has none, of the key `env.os` of context.extra. Of a regulation
-    the state with the latest updated_at counts, if its JSON is whole.
+    Both tables go through their visitors once, the tagged rows are written by
+    tag, and each child table is read back under its schema. The os is that of
+    context.env or, where it has none, of the key `env.os` of context.extra. Of
+    a regulation the state with the latest updated_at counts, if its JSON is
+    whole. Copies of a record make equal rows, which count once.
     """
-    pred = F.get_json_object("payload", "$.pred")
+    os = F.coalesce(F.col("context.env.os"), F.col("context.extra")["env.os"])
     obs = observations.select(
         "observation_id",
         F.transform("facts", lambda f: F.when(f.isNotNull(), F.struct(f["pred"].alias("pred")))).alias("facts"),
         # the two places of the os as one optional struct, so that the visitor emits one row
-        F.struct(F.when(F.coalesce(F.col("context.env.os"), F.col("context.extra")["env.os"]).isNotNull(), F.struct(F.coalesce(F.col("context.env.os"), F.col("context.extra")["env.os"]).alias("os"))).alias("env")).alias("context"),
+        F.struct(F.when(os.isNotNull(), F.struct(os.alias("os"))).alias("env")).alias("context"),
     )
-    rows = tagged_rows(obs, "observation_id").where(F.col("tag").isin("facts", "context.env"))
-    is_fact = F.col("tag") == "facts"
-    from_obs = rows.select(
-        F.lit("observations").alias("record_table"),
-        F.when(is_fact, F.col("parent_pk")).otherwise(F.regexp_replace("parent_pk", "/context$", "")).alias("record_id"),
-        F.when(is_fact, "facts").otherwise("context.env.os").alias("path"),
-        "ord",
-        F.when(is_fact, pred).otherwise(F.get_json_object("payload", "$.os")).alias("leaf"),
-    ).where(is_fact | F.col("leaf").isNotNull())
     now = latest_state(regulations.select("regulation_id", "updated_at", "arrived_at", "data"), "regulation_id", "updated_at", ["arrived_at"])
-    pre = tagged_json(now, "regulation_id", "data", ("pattern", "pre")).where(F.col("tag") == "pattern.pre")
-    from_reg = pre.select(F.lit("regulations").alias("record_table"), F.col("parent_pk").alias("record_id"), F.lit("pattern.pre").alias("path"), "ord", pred.alias("leaf"))
-    return from_obs.unionByName(from_reg).distinct()
+    spark = observations.sparkSession
+    path = scratch_path(spark, "child-tables")
+    # the struct that holds env has no column of its own here
+    write_tables(tagged_rows(obs, "observation_id").where("tag <> 'context'"), path)
+    write_tables(tagged_json(now, "regulation_id", "data", ("pattern", "pre"), only_facts=True), path, "append")
+    facts = read_table(spark, path, "facts", "pred string").select(F.lit("observations").alias("record_table"), "parent_pk", F.lit("facts").alias("path"), "ord", F.col("pred").alias("leaf"))
+    systems = read_table(spark, path, "context.env", "os string").select(F.lit("observations").alias("record_table"), F.regexp_replace("parent_pk", "/context$", "").alias("parent_pk"), F.lit("context.env.os").alias("path"), "ord", F.col("os").alias("leaf"))
+    pre = read_table(spark, path, "pattern.pre", "pred string").select(F.lit("regulations").alias("record_table"), "parent_pk", F.lit("pattern.pre").alias("path"), "ord", F.col("pred").alias("leaf"))
+    rows = facts.unionByName(systems).unionByName(pre)
+    return rows.select("record_table", unescaped(F.col("parent_pk")).alias("record_id"), "path", "ord", "leaf").distinct()
 
 
 def rule_sides(df: DataFrame, key: str, column: str, path: tuple[str, ...] = ("pattern",), sides: tuple[str, ...] = ("pre", "eff")) -> DataFrame:

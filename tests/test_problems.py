@@ -331,6 +331,24 @@ def test_tables_round_trip(spark, tmp_path):
     assert as_set(flatten.read_table(spark, str(tmp_path / "t"), "fs", "pred string").select("parent_pk", "ord", "pred")) == {("a", 0, "p"), ("a", 1, "q")}
 
 
+def test_keys_with_slashes(spark):
+    """Paths that would run together stay apart, and a root array is the parent of its elements."""
+    data = spark.createDataFrame([("k/1", '{"p/q": {"a": 1}, "p": {"q": {"a": 2}}}'), ("k", '[[1], {"b": 2}]'), ("e", "[]"), ("s", '"x"')], "id string, data string")
+    rows = flatten.tagged_json(data, "id", "data").collect()
+    assert len({r["pk"] for r in rows}) == len(rows)
+    own = {r["pk"] for r in rows}
+    assert all(r["parent_pk"] in own or r["parent_pk"] in ("k~11", "k", "e", "s") for r in rows) and ("data", "k/data", "k") in {(r["tag"], r["pk"], r["parent_pk"]) for r in rows}
+    df = spark.createDataFrame([("a/fs/0", [("p",)]), ("a", [("q",), ("r",)]), ("~1", [("s",)])], "id string, fs array<struct<pred:string>>")
+    got = flatten.tagged_rows(df, "id")
+    assert got.select("pk").distinct().count() == 4 and {r[0] for r in got.select(flatten.unescaped(F.col("parent_pk"))).collect()} == {"a/fs/0", "a", "~1"}
+
+
+def test_leaves_keep_odd_keys(spark):
+    obs = spark.createDataFrame([("a/context", [("p", None), None], (("x", None), None)), ("~0", None, (None, {"env.os": "y"}))], "observation_id string, facts array<struct<pred:string,args:map<string,string>>>, context struct<env:struct<os:string,arch:string>,extra:map<string,string>>")
+    reg = spark.createDataFrame([("r/1", T0, T0, '{"pattern": {"pre": [{"pred": "z"}]}}')], "regulation_id string, updated_at timestamp, arrived_at timestamp, data string")
+    assert as_set(flatten.flat_leaves(obs, reg)) == {("observations", "a/context", "facts", 0, "p"), ("observations", "a/context", "context.env.os", 0, "x"), ("observations", "~0", "context.env.os", 0, "y"), ("regulations", "r/1", "pattern.pre", 0, "z")}
+
+
 def test_preconditions(spark):
     deep = '{"pred":"d"}'
     for _ in range(300):
