@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.text import strip
-from causeway.session import materialize, scratch_path
+from causeway.session import discard, materialize, scratch_path
 
 #: What a column may hold: the pattern of its text form and the closed range of its numbers.
 Domain = dict  # {"pattern": regex or None, "low": number or None, "high": number or None}
@@ -16,56 +18,130 @@ def _as_text(col: Column, kind: str) -> Column:
     return col if kind == "string" else col.cast("string")
 
 
-def value_deltas(df: DataFrame, feed: str, load_no: str, columns: list[str]) -> DataFrame:
-    """(feed, load_no, column_name, value, n): how often each value of each column came in each load.
+def fingerprinted(df: DataFrame, feed: str, load_no: str, columns: list[str], arrival: list[str] = []) -> DataFrame:
+    """(feed, load_no, h1, h2, then the text forms of columns): the distinct rows of df, each named by 128 bits over all its columns but those in `arrival`."""
+    kinds = dict(df.dtypes)
+    own = [F.col(f"`{c}`") for c in sorted(df.columns) if c not in arrival]
+    own = [c if not kinds[n].startswith(("map", "variant")) else F.to_json(c) for c, n in zip(own, (n for n in sorted(df.columns) if n not in arrival), strict=True)]
+    marked = [x for c in own for x in (c.isNull(), c)]  # a hash passes over nulls, so their places are hashed too
+    texts = [_as_text(F.col(f"`{c}`"), kinds[c]).alias(f"v{i}") for i, c in enumerate(columns)]
+    rows = df.select(F.col(feed).alias("feed"), F.col(load_no).cast("long").alias("load_no"), F.xxhash64(*marked).alias("h1"), F.xxhash64(F.lit("second"), *marked).alias("h2"), *texts)
+    return rows.dropDuplicates(["feed", "load_no", "h1", "h2"])
+
 
-    value is the text form, null for null and blank. Exact duplicate rows of df
-    count once. One pass over df: the columns are unfolded in the map stage
-    and counted before the shuffle.
+def counted(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(feed, load_no, column_name, value, n): how often each value of each column comes in each load of fingerprinted() rows.
+
+    value is the text form, null for null and blank. The columns are unfolded
+    in the map stage and counted before the shuffle.
     """
-    kinds = dict(df.dtypes)
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _as_text(F.col(c), kinds[c]).alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("value")) for i, c in enumerate(columns)])
     value = F.col("cell.value")
     return (
-        df.dropDuplicates()
-        .select(F.col(feed).alias("feed"), F.col(load_no).cast("long").alias("load_no"), F.explode(cells).alias("cell"))
+        rows.select("feed", "load_no", F.explode(cells).alias("cell"))
         .groupBy("feed", "load_no", F.col("cell.column_name").alias("column_name"), F.when(strip(value) != "", value).alias("value"))
         .agg(F.count("*").alias("n"))
     )
 
 
+def value_deltas(df: DataFrame, feed: str, load_no: str, columns: list[str]) -> DataFrame:
+    """counted() of the distinct rows of df."""
+    return counted(fingerprinted(df, feed, load_no, columns), columns)
+
+
 _STORE = "feed string, load_no long, column_name string, value string, n long"
+_ROWS = "feed string, load_no long, h1 long, h2 long, sign int"
 
 
 class ValueCounts:
-    """A persistent table (feed, load_no, column_name, value, n), maintained by signed deltas.
-
-    apply() appends a batch of signed counts; counts() is their sum, without
-    the values whose count fell to zero; compact() rewrites the sums as one
-    batch. A correction of a load is a batch with negative counts for what was
-    wrong, so no load is ever read again.
+    """Persistent tables of value counts per feed, load and column, maintained by signed deltas.
+
+    load() takes the rows of any number of loads, leaves out those that came
+    before (in this batch or an earlier one), and appends for each load what it
+    adds to the counts; retract() takes rows out again by negative counts. So a
+    late row, a repeated one or a correction changes the counts of its load
+    without any load being read again. Beside the counts the store keeps the
+    128-bit names of the rows that are in. A batch is one folder, found by its
+    name, so a batch that is run again takes the place of its first run.
+    compact() folds everything into one generation; the older one is deleted
+    only once the new one is complete, and until then stays the one that is
+    read. One writer at a time.
     """
 
-    def __init__(self, spark, path: str | None = None) -> None:
-        self.spark, self.path = spark, path or scratch_path(spark, "value-counts")
+    def __init__(self, spark, path: str | None = None, arrival: list[str] = []) -> None:
+        self.spark, self.path, self.arrival = spark, path or scratch_path(spark, "value-counts"), arrival
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _folders(self, path: str) -> list[str]:
+        """The complete batches below path: those whose last file, _SUCCESS, is there."""
+        fs, p = self._fs(path)
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(n for n in names if fs.exists(self._fs(f"{path}/{n}/_SUCCESS")[1]))
+
+    def _generation(self) -> str:
+        fs, p = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = [int(n[1:]) for n in names if n.startswith("g") and (n == "g0" or "base" in self._folders(f"{self.path}/{n}/counts"))]
+        return f"{self.path}/g{max(done, default=0)}"
+
+    def _read(self, what: str, schema: str, but: str | None = None) -> DataFrame | None:
+        root = f"{self._generation()}/{what}"
+        parts = [f"{root}/{n}" for n in self._folders(root) if n != but]
+        return self.spark.read.schema(schema).parquet(*parts) if parts else None
+
+    def _put(self, df: DataFrame, what: str, batch: str) -> DataFrame:
+        path = f"{self._generation()}/{what}/{batch}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _inside(self, batch: str) -> DataFrame | None:
+        """The names of the rows that are in, as the batches other than this one left them."""
+        rows = self._read("rows", _ROWS, but=batch)
+        return None if rows is None else rows.groupBy("feed", "load_no", "h1", "h2").agg(F.sum("sign").alias("s")).where("s > 0").drop("s")
+
+    def load(self, df: DataFrame, feed: str, load_no: str, columns: list[str], batch: str | None = None, sign: int = 1) -> None:
+        """Add the rows of df that are not in yet, load by load. batch: a name under which the same batch is known if it is run again."""
+        batch = batch or uuid.uuid4().hex
+        rows = fingerprinted(df, feed, load_no, columns, self.arrival)
+        inside = self._inside(batch)
+        key = ["feed", "load_no", "h1", "h2"]
+        if inside is not None:
+            same = [rows[c].eqNullSafe(inside[c]) for c in key]
+            rows = rows.join(inside, same, "left_anti" if sign > 0 else "left_semi")
+        elif sign < 0:
+            return
+        texts = [f"v{i}" for i in range(len(columns))]
+        rows = materialize(rows.select(*key, *texts), "rows")
+        # the counts first: a batch without its rows is not complete and is run again under its name
+        self._put(counted(rows, columns).withColumn("n", F.col("n") * sign).select("feed", "load_no", "column_name", "value", "n"), "counts", batch)
+        self._put(rows.select(*key, F.lit(sign).alias("sign")), "rows", batch)
+        discard(rows)
+
+    def retract(self, df: DataFrame, feed: str, load_no: str, columns: list[str], batch: str | None = None) -> None:
+        """Take the rows of df that are in out again."""
+        self.load(df, feed, load_no, columns, batch, -1)
 
-    def apply(self, deltas: DataFrame, sign: int = 1) -> None:
-        deltas.select("feed", "load_no", "column_name", "value", (F.col("n") * sign).alias("n")).write.mode("append").parquet(self.path)
+    def deltas(self) -> DataFrame:
+        """The signed counts as they were applied; whoever sums them needs no counts() first."""
+        out = self._read("counts", _STORE)
+        return self.spark.createDataFrame([], _STORE) if out is None else out
 
     def counts(self) -> DataFrame:
         return self.deltas().groupBy("feed", "load_no", "column_name", "value").agg(F.sum("n").alias("n")).where("n <> 0")
 
-    def deltas(self) -> DataFrame:
-        """The signed counts as they were applied; whoever sums them needs no counts() first."""
-        return self.spark.read.schema(_STORE).parquet(self.path)
-
     def compact(self) -> None:
-        fresh = f"{self.path}-next"
-        self.counts().write.mode("overwrite").parquet(fresh)
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(fs_path(self.path), True)
-        fs.rename(fs_path(fresh), fs_path(self.path))
+        old, inside, counts = self._generation(), self._inside(""), self.counts()
+        new = f"{self.path}/g{int(old.rpartition('g')[2]) + 1}"
+        rows = self.spark.createDataFrame([], _ROWS) if inside is None else inside.withColumn("sign", F.lit(1))
+        rows.write.mode("overwrite").parquet(f"{new}/rows/base")
+        counts.write.mode("overwrite").parquet(f"{new}/counts/base")  # with its last file the generation takes over
+        fs, p = self._fs(old)
+        fs.delete(p, True)
 
 
 #: A text that is read as a number, beside the names doubles have for values that are none.

@@ -36,7 +36,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def _counts(spark: SparkSession, d: str) -> profile.ValueCounts:
     store = profile.ValueCounts(spark)
-    store.apply(profile.value_deltas(load(spark, d, "metrics"), "feed", "load_no", PROFILED))
+    store.load(load(spark, d, "metrics"), "feed", "load_no", PROFILED)
     return store
 
 

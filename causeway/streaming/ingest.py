@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from causeway.operators.pivot import attribute_key
-from causeway.operators.profile import ValueCounts, value_deltas
+from causeway.operators.profile import ValueCounts
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -28,14 +28,13 @@ def fact_counts(observations: DataFrame, late: str = "2 days", window: str = "1
 def maintain_profile(metrics: DataFrame, store: ValueCounts, columns: list[str], checkpoint: str) -> StreamingQuery:
     """Apply each micro-batch of metrics to a value-count table.
 
-    Each batch's deltas are appended under its number, so a batch that runs
-    again after a failure is recognised and not counted twice. Copies of a row
-    in different batches count once per batch.
+    A micro-batch is known by its number, so one that runs again after a
+    failure takes the place of its first run. Copies of a row count once, also
+    in different batches.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        deltas = value_deltas(batch, "feed", "load_no", columns)
-        deltas.write.mode("overwrite").parquet(f"{store.path}/batch={number}")
+        store.load(batch, "feed", "load_no", columns, batch=f"stream-{number}")
 
     return metrics.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -74,7 +74,7 @@ def test_profile_cases(spark):
     rows = [("f", 1, None if i < 5 else i / 100, str(i)) for i in range(40)] + [("f", 2, float("nan") if i == 0 else (None if i < 20 else 1.5), " " if i < 3 else "x1") for i in range(40)] + [(None, 1, 0.5, "1"), ("f", None, 0.5, "1")]
     df = spark.createDataFrame(rows, "feed string, load_no int, solve_rate double, atom_count string")
     store = profile.ValueCounts(spark)
-    store.apply(profile.value_deltas(df, "feed", "load_no", ["solve_rate", "atom_count"]))
+    store.load(df, "feed", "load_no", ["solve_rate", "atom_count"])
     domains = {k: profile.METRICS_DOMAINS[k] for k in ("solve_rate", "atom_count")}
     got = as_set(profile.load_issues(store.counts(), domains))
     assert ("f", 2, "solve_rate", "range") in got and ("f", 2, "atom_count", "pattern") in got and ("f", 2, "solve_rate", "null_rate") in got
@@ -82,15 +82,37 @@ def test_profile_cases(spark):
     assert not [r for r in got if r[1] == 1]
 
 
-def test_signed_deltas_undo_a_load(spark):
-    df = spark.createDataFrame([("f", 1, 0.5), ("f", 1, 0.6), ("f", 2, 0.5)], "feed string, load_no int, x double")
-    store = profile.ValueCounts(spark)
-    d = profile.value_deltas(df, "feed", "load_no", ["x"])
-    store.apply(d)
-    store.apply(d.where("load_no = 2"), -1)
-    assert store.counts().where("load_no = 2").count() == 0
-    store.compact()
-    assert store.counts().count() == 2
+def test_counts_are_kept_over_loads(spark, tmp_path):
+    """Loads, late and repeated rows and a correction reach the same counts as one reading of what is left."""
+    shape = "feed string, load_no int, x double, note string, arrived_at timestamp"
+    row = lambda n, x, note=None, day=0: ("f", n, x, note, T0 + dt.timedelta(days=day))
+    batches = [[row(1, 0.5), row(1, 0.5), row(1, 0.5, "b"), row(1, None)], [row(2, 0.7), row(1, 0.5), row(1, 0.9)], [row(2, 0.7, "late")]]
+    store = lambda: profile.ValueCounts(spark, str(tmp_path / "s"))  # a new object finds what is there
+    load = lambda rows, **kw: store().load(spark.createDataFrame(rows, shape), "feed", "load_no", ["x", "note"], **kw)
+    for i, b in enumerate(batches):
+        load(b, batch=f"b{i}")
+    load(batches[1], batch="b1")  # run again
+    whole = lambda rows: as_set(profile.value_deltas(spark.createDataFrame(rows, shape), "feed", "load_no", ["x", "note"]))
+    flat = [r for b in batches for r in b]
+    assert as_set(store().counts()) == whole(flat)
+    wrong = [row(1, 0.9), row(1, 7.0), row(2, 0.7)]  # the second was never in
+    store().retract(spark.createDataFrame(wrong, shape), "feed", "load_no", ["x", "note"])
+    left = [r for r in flat if r not in wrong]
+    assert as_set(store().counts()) == whole(left) and store().deltas().where("n < 0").count() > 0
+    store().compact()
+    load([row(2, 0.7, "late"), row(1, 0.9)])
+    assert as_set(store().counts()) == whole([*left, row(1, 0.9)])
+    assert profile.ValueCounts(spark).counts().count() == 0
+    spark.createDataFrame([("f", 1, "x", "9", 1)], profile._STORE).write.parquet(f"{store().path}/g2/half")  # a compaction that broke off
+    assert as_set(store().counts()) == whole([*left, row(1, 0.9)])
+
+
+def test_nulls_in_rows_do_not_run_together(spark):
+    df = spark.createDataFrame([("f", 1, None, "a"), ("f", 1, "a", None), ("f", 1, "a", None)], "feed string, load_no int, x string, y string")
+    assert profile.fingerprinted(df, "feed", "load_no", ["x"]).count() == 2
+    late = profile.ValueCounts(spark, arrival=["y"])
+    late.load(df, "feed", "load_no", ["x"])
+    assert late.counts().agg(F.sum("n")).first()[0] == 2
 
 
 def test_shift_in_bins_equals_one_bin(spark, monkeypatch):
