@@ -84,15 +84,9 @@ def cells(long: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def cell_issues(cell: DataFrame) -> DataFrame:
-    """(entity, attr, issue): untyped where a value does not fit the type, conflict where fitting values differ."""
-    issue = F.array_compact(F.array(F.when(F.col("misfits") > 0, F.lit("untyped")), F.when(F.col("low") != F.col("high"), F.lit("conflict"))))
-    return cell.select("entity", "attr", F.explode(issue).alias("issue"))
-
-
-def discover(cell: DataFrame, types: DataFrame, most: int = MAX_COLUMNS) -> list[tuple[str, str]]:
-    """The attributes that get a column, with their types, by name: the listed ones first, at most `most`."""
-    found = cell.select("attr").distinct()
+def discover(long: DataFrame, types: DataFrame, most: int = MAX_COLUMNS) -> list[tuple[str, str]]:
+    """The attributes of long (column attr) that get a column, with their types, by name: the listed ones first, at most `most`."""
+    found = long.select("attr").distinct()
     rows = (
         types.withColumn("listed", F.lit(0)).unionByName(found.join(types, "attr", "left_anti").select("attr", F.lit("text").alias("value_type"), F.lit(1).alias("listed")))
         .orderBy("listed", "attr").limit(most).collect()
@@ -108,25 +102,45 @@ def wide(cell: DataFrame, attributes: list[tuple[str, str]], entities: DataFrame
     """One row per entity with one typed column per attribute, by one conditional aggregation each.
 
     A cell with one fitting value holds it, cast to double, boolean or string;
-    a conflicting or untyped cell is null and named in the array `unfilled`.
-    Attributes beyond `attributes` go to the map `other`. entities: a frame
-    with the column entity, whose rows without any cell get a row of nulls.
-    Column names are made of the attribute's letters and digits; where two
-    attributes would clash, or hit entity, unfilled or other, the later gets a number.
+    a cell with several different ones is null and named in the array
+    `conflict`; one with a value that does not fit its type is named in
+    `untyped`, and is null if nothing fits. Attributes beyond `attributes` go
+    to the map `other`. entities: a frame with the column entity, whose rows
+    without any cell get a row of nulls. Column names are made of the
+    attribute's letters and digits; where two attributes would clash, or hit
+    entity, conflict, untyped or other, the later gets a number.
     """
     sql_type = {"number": "double", "boolean": "boolean"}
-    used, cols, names = {"entity", "unfilled", "other"}, [], [a for a, _ in attributes]
-    one = F.when(F.col("low") == F.col("high"), F.col("low"))
-    for attr, kind in attributes:
+    used, cols = {"entity", "conflict", "untyped", "other"}, []
+    # attributes are told apart by their number, not by comparing texts in each aggregation; at most MAX_COLUMNS rows
+    numbered = F.broadcast(cell.sparkSession.createDataFrame([(a, i) for i, (a, _) in enumerate(attributes)], "attr string, __i int"))
+    for i, (attr, kind) in enumerate(attributes):
         base = name = column_name(attr)
         k = 1
         while name in used:
             k += 1
             name = f"{base}_{k}"
         used.add(name)
-        cols.append(F.max(F.when(F.col("attr") == attr, F.col("one").cast(sql_type.get(kind, "string")))).alias(name))
-    rest = ~F.col("attr").isin(names) if names else F.lit(True)
-    other = F.map_from_entries(F.array_sort(F.collect_list(F.when(rest & F.col("one").isNotNull(), F.struct("attr", "one")))))
-    unfilled = F.array_sort(F.collect_list(F.when(F.col("one").isNull() | (F.col("misfits") > 0), F.col("attr"))))
-    out = cell.withColumn("one", one).groupBy("entity").agg(*cols, unfilled.alias("unfilled"), other.alias("other"))
+        cols.append(F.max(F.when(F.col("__i") == i, F.col("one").cast(sql_type.get(kind, "string")))).alias(name))
+    names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("attr"))))  # at most an entity's attributes
+    other = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("__i").isNull() & F.col("one").isNotNull(), F.struct("attr", "one")))))
+    marked = cell.join(numbered, "attr", "left").withColumn("one", F.when(F.col("low") == F.col("high"), F.col("low")))
+    out = marked.groupBy("entity").agg(*cols, names(F.col("low") != F.col("high")).alias("conflict"), names(F.col("misfits") > 0).alias("untyped"), other.alias("other"))
     return out if entities is None else entities.select("entity").where("entity is not null").distinct().join(out, "entity", "left")
+
+
+def issues(table: DataFrame) -> DataFrame:
+    """(entity, attr, issue) of a wide() table: its cells that could not be filled rightly. Spark drops the columns it does not read before the pivot."""
+    named = lambda issue: F.transform(issue, lambda a: F.struct(a.alias("attr"), F.lit(issue).alias("issue")))
+    found = F.concat(named("conflict"), named("untyped"))
+    return table.select("entity", F.explode(found).alias("c")).select("entity", "c.attr", "c.issue")
+
+
+def long_again(table: DataFrame, attributes: list[tuple[str, str]]) -> DataFrame:
+    """(entity, attr, value) of a wide() table: its filled cells as texts, and its other attributes."""
+    fixed = ("entity", "conflict", "untyped", "other")
+    cols = [c for c in table.columns if c not in fixed]
+    cells = F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"`{c}`").cast("string").alias("value")) for (a, _), c in zip(attributes, cols, strict=True)])
+    rest = F.transform(F.map_entries("other"), lambda e: F.struct(e["key"].alias("attr"), e["value"].alias("value")))
+    both = F.concat(cells, F.coalesce(rest, F.array().cast("array<struct<attr:string,value:string>>")))
+    return table.select("entity", F.explode(both).alias("c")).select("entity", "c.attr", "c.value").where("value is not null")

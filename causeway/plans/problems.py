@@ -49,21 +49,29 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feed", "load_no", "column_name", "row_count", "nulls", "valid", "distinct_valid", "pattern_violations", "range_violations", "low", "high", F.round(F.col("mean") * F.col("valid"), 6).alias("total"), F.round("entropy", 6).alias("entropy"))
 
 
-def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The wide table of all observations and its attributes."""
     types = pivot.type_list(load(spark, d, "predicates"), "pred", "value_type")
-    return pivot.cells(pivot.long_facts(load(spark, d, "observations"), "observation_id", "facts"), types), types
+    long = pivot.long_facts(load(spark, d, "observations"), "observation_id", "facts")
+    attributes = pivot.discover(long, types)
+    entities = load(spark, d, "observations").select(F.col("observation_id").alias("entity"))
+    return pivot.wide(pivot.cells(long, types), attributes, entities), attributes
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    cells, _ = _cells(spark, d)
-    return pivot.cell_issues(cells).select(F.col("entity").alias("observation_id"), F.col("attr").alias("pred"), "issue")
+    table, _ = _wide(spark, d)
+    return pivot.issues(table).select(F.col("entity").alias("observation_id"), F.col("attr").alias("pred"), "issue")
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    cells, types = _cells(spark, d)
-    cells = materialize(cells, "cells")  # read for the attribute list and for the rows
-    entities = load(spark, d, "observations").select(F.col("observation_id").alias("entity"))
-    return pivot.wide(cells, pivot.discover(cells, types), entities).withColumnRenamed("entity", "observation_id")
+    table, _ = _wide(spark, d)
+    return table.withColumnRenamed("entity", "observation_id")
+
+
+def p3_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The filled cells of the wide table, read back from its columns."""
+    table, attributes = _wide(spark, d)
+    return pivot.long_again(table, attributes).select(F.col("entity").alias("observation_id"), F.col("attr").alias("pred"), "value")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +152,7 @@ def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants,
         "p2_found": p2_found, "p2_profile": p2_profile,
-        "p3_found": p3_found, "p3_wide": p3_wide,
+        "p3_found": p3_found, "p3_wide": p3_wide, "p3_cells": p3_cells,
         "p4_found": p4_found, "p4_story_instants": p4_story_instants,
         "p5_found": p5_found, "p5_by_period": p5_by_period,
         "p6_found": p6_found, "p6_steps": p6_steps, "p6_cells": p6_cells, **{f"p6_{k}_table": _conformed(k) for k in _KINDS},

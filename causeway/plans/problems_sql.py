@@ -70,7 +70,7 @@ select o.feed, cast(o.load_no as bigint) load_no, o.column_name, count(*) row_co
 from ok o left join e on e.feed = o.feed and e.load_no = o.load_no and e.column_name = o.column_name group by o.feed, o.load_no, o.column_name
 """
 
-P3_FOUND = r"""
+_P3 = r"""
 with f as (select observation_id, unnest(facts) f from observations where observation_id is not null), t as (
   select observation_id, lower(trim(f.pred)) pred, trim(f.value) v from f where f.pred is not null and f.value is not null and trim(f.value) <> 'null'
 ), typed as (
@@ -83,10 +83,18 @@ with f as (select observation_id, unnest(facts) f from observations where observ
       when lower(s) in ('true', 'yes', 'on', 't', 'y', '1') then 'true' when lower(s) in ('false', 'no', 'off', 'f', 'n', '0') then 'false' end
     else s end c from typed
 )
+"""
+
+P3_FOUND = _P3 + """
 select observation_id, pred, 'untyped' issue from fit where c is null group by all
 union all select observation_id, pred, 'conflict' from fit group by all having count(distinct c) > 1
 """
 
+P3_CELLS = _P3 + """
+, filled as (select f.observation_id, f.pred, max(f.c) c, any_value(t.kind) kind from fit f join (select distinct pred, kind from typed) t using (pred) group by 1, 2 having count(distinct f.c) = 1)
+select observation_id, pred, case when kind = 'number' then cast(cast(c as double) as varchar) else c end "value" from filled
+"""
+
 _LINKS = (("prediction_errors", "outcome_record_id", "outcome_records"), ("prediction_errors", "caused_by_action_execution_id", "action_executions"), ("action_executions", "based_on_experiment_design_id", "experiment_designs"), ("mechanism_instances", "episode_id", "stories"))
 
 
@@ -172,6 +180,6 @@ select artifact_kind, file_name, batch_no, captured, field, text, number, cast(i
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND, "p1_paths": P1_PATHS, "p1_descendants": P1_DESCENDANTS,
-        "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND,
+        "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND, "p3_cells": P3_CELLS,
         "p5_found": P5_FOUND, "p5_by_period": P5_BY_PERIOD, "p6_found": P6_FOUND, "p6_steps": P6_STEPS, "p6_cells": P6_CELLS, "p7_found": P7_FOUND,
     }

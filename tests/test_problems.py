@@ -139,6 +139,10 @@ def cells_of(spark, facts):
     return pivot.cells(pivot.long_facts(df, "observation_id", "facts"), types), types, df
 
 
+def facts_of(df):
+    return pivot.long_facts(df, "observation_id", "facts")
+
+
 @pytest.mark.parametrize(
     "pred,value,fits",
     [("num", "49", True), ("num", '" +1,234.5e1 "', True), ("num", '"1,23"', False), ("num", "true", False), ("num", '"nan"', False), ("num", '"5%"', False), ("num", '""', False), ("num", '"1234,567"', False),
@@ -154,18 +158,19 @@ def test_pivot_conflicts_and_gaps(spark):
     cell, types, df = cells_of(spark, [
         ("a", [("NUM", "49"), (" num", '"4.9e1"'), ("flag", "true"), ("flag", '"no"'), None, ("txt", "null"), (None, "1")]), ("b", []), ("c", None), (None, [("num", "1")]), ("d", [("num", '"x"'), ("num", "7"), ("new one", '"v"')]), ("d", [("num", '"x"')]),
     ])
-    assert as_set(pivot.cell_issues(cell)) == {("a", "flag", "conflict"), ("d", "num", "untyped")}
-    attrs = pivot.discover(cell, types)
+    attrs = pivot.discover(facts_of(df), types)
+    assert as_set(pivot.issues(pivot.wide(cell, attrs))) == as_set(pivot.issues(pivot.wide(cell, attrs[:1]))) == {("a", "flag", "conflict"), ("d", "num", "untyped")}
     assert attrs == [("flag", "boolean"), ("num", "number"), ("txt", "text"), ("new one", "text")]
     wide = {r["entity"]: r for r in pivot.wide(cell, attrs, df.select(F.col("observation_id").alias("entity"))).collect()}
-    assert set(wide) == {"a", "b", "c", "d"} and wide["a"]["num"] == 49.0 and wide["a"]["flag"] is None and wide["d"]["new_one"] == "v" and wide["d"]["unfilled"] == ["num"]
+    assert set(wide) == {"a", "b", "c", "d"} and wide["a"]["num"] == 49.0 and wide["a"]["flag"] is None and wide["d"]["new_one"] == "v" and wide["d"]["untyped"] == ["num"] and wide["d"]["num"] == 7.0 and wide["a"]["conflict"] == ["flag"]
+    assert as_set(pivot.long_again(pivot.wide(cell, attrs), attrs)) == as_set(pivot.long_again(pivot.wide(cell, attrs[:1]), attrs[:1])) == {("a", "num", "49.0"), ("d", "num", "7.0"), ("d", "new one", "v")}
     few = {r["entity"]: r for r in pivot.wide(cell, attrs[:1]).collect()}
     assert few["d"]["other"] == {"num": "7.0", "new one": "v"}
 
 
 def test_pivot_empty(spark):
-    cell, types, _ = cells_of(spark, [])
-    assert cell.count() == 0 and pivot.wide(cell, pivot.discover(cell, types)).count() == 0
+    cell, types, df = cells_of(spark, [])
+    assert cell.count() == 0 and pivot.wide(cell, pivot.discover(facts_of(df), types)).count() == 0
 
 
 # -- 4
