@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.text import reference_key
-from causeway.skew import salted_join
+from causeway.session import materialize
+from causeway.skew import hot_of_counts, salted_join
 
 
 @dataclass(frozen=True)
@@ -30,41 +31,41 @@ REFERENCES = (
 )
 
 
-def _arrivals(df: DataFrame, key: str) -> DataFrame:
-    """df with the earliest arrived_at of its key in `arrived`.
+def references_of(tables: dict[str, DataFrame], references=REFERENCES) -> DataFrame:
+    """(record_table, record_id, field, target, ref, arrived): the distinct references, each with its record's arrival.
 
-    The rows of a record are few copies, but a key that holds a third of the
-    rows is combined before the shuffle and joined with salt.
-    """
-    return salted_join(df, df.groupBy(key).agg(F.min("arrived_at").alias("arrived")), [key])
-
-
-def tagged_keys(tables: dict[str, DataFrame], references=REFERENCES) -> DataFrame:
-    """Parents and children in one long form.
-
-    (target, ref, is_parent, record_table, record_id, field, arrived, deleted_at):
-    a parent row stands for a record of target, a child row for a reference to
-    it. Rows that differ only in arrived_at are one record, which arrived with
-    the first of them. Null, blank and `null` references make no row.
+    Rows that differ only in arrived_at are one record, which arrived with the
+    first of them. Null, blank and `null` references make no row. The copies of
+    all tables are combined in one shuffle; a record that still has many rows
+    is joined with its arrival under salt.
     """
     parts = []
+    for table in dict.fromkeys(r.record_table for r in references):
+        fields = [r for r in references if r.record_table == table]
+        # a record without references still has an arrival, hence the last element
+        pairs = [F.struct(F.lit(r.field).alias("field"), F.lit(r.target).alias("target"), reference_key(F.col(r.field)).alias("ref")) for r in fields]
+        pairs.append(F.struct(*[F.lit(None).cast("string").alias(c) for c in ("field", "target", "ref")]))
+        t = tables[table].where(F.col(fields[0].key).isNotNull())
+        parts.append(t.select(F.lit(table).alias("record_table"), F.col(fields[0].key).alias("record_id"), "arrived_at", F.explode(F.array(*pairs)).alias("p")).where("p.field is null or p.ref is not null"))
+    own = _union(parts).groupBy("record_table", "record_id", "p.field", "p.target", "p.ref").agg(F.min("arrived_at").alias("first"))
+    own = materialize(own, "references")
+    record = ["record_table", "record_id"]
+    arrivals = own.groupBy(*record).agg(F.min("first").alias("arrived"), F.count("*").alias("n"))
+    joined = salted_join(own.where("field is not null").drop("first"), arrivals.drop("n"), record, hot=hot_of_counts(arrivals, record, "n"))
+    return materialize(joined.select(*record, "field", "target", "ref", "arrived"), "children")
+
+
+def parents_of(tables: dict[str, DataFrame], references=REFERENCES) -> DataFrame:
+    """(target, ref, arrived, deleted_at): the rows of the tables referred to."""
+    parts = []
     for target, key in dict.fromkeys((r.target, r.key) for r in references):
         t = tables[target]
         deleted = F.col("deleted_at") if "deleted_at" in t.columns else F.lit(None).cast("timestamp")
-        parts.append(
-            t.select(reference_key(F.col(key)).alias("ref"), F.col("arrived_at").alias("arrived"), deleted.alias("deleted_at")).where("ref is not null")
-            .groupBy("ref").agg(F.min("arrived").alias("arrived"), F.min("deleted_at").alias("deleted_at"))
-            .select(F.lit(target).alias("target"), "ref", F.lit(True).alias("is_parent"), *[F.lit(None).cast("string").alias(c) for c in ("record_table", "record_id", "field")], "arrived", "deleted_at")
-        )
-    for table in dict.fromkeys(r.record_table for r in references):
-        fields = [r for r in references if r.record_table == table]
-        key = fields[0].key
-        t = tables[table].where(F.col(key).isNotNull()).select(F.col(key), "arrived_at", *dict.fromkeys(r.field for r in fields))
-        pairs = F.array(*[F.struct(F.lit(r.target).alias("target"), F.lit(r.field).alias("field"), reference_key(F.col(r.field)).alias("ref")) for r in fields])
-        parts.append(
-            _arrivals(t, key).select(F.col(key).alias("record_id"), "arrived", F.explode(pairs).alias("p")).where("p.ref is not null").distinct()
-            .select("p.target", "p.ref", F.lit(False).alias("is_parent"), F.lit(table).alias("record_table"), "record_id", "p.field", "arrived", F.lit(None).cast("timestamp").alias("deleted_at"))
-        )
+        parts.append(t.select(F.lit(target).alias("target"), reference_key(F.col(key)).alias("ref"), F.col("arrived_at").alias("arrived"), deleted.alias("deleted_at")).where("ref is not null"))
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -74,19 +75,21 @@ def tagged_keys(tables: dict[str, DataFrame], references=REFERENCES) -> DataFram
 def orphans(tables: dict[str, DataFrame], references=REFERENCES) -> DataFrame:
     """(record_table, record_id, field, reason, period): the references that point to nothing usable.
 
-    The long form of tagged_keys is grouped by target and key, combined before
-    the shuffle: a group without a parent's row is missing, and of the others
-    the parent's arrival and deletion decide. The verdict of a key goes back to
-    its references by a join in which hot keys are salted, so no group is ever
-    gathered in one task. Null deleted_at: not deleted. A reference whose own
-    arrival is null has a null period and is never late or deleted.
+    Parents and children are tagged and stacked in one long form, which is
+    grouped by target and key, combined before the shuffle: a group without a
+    parent's row is missing, and of the others the parent's arrival and
+    deletion decide. The verdict of a key goes back to its references by a join
+    in which hot keys, known from the groups' counts, are salted, so no group
+    is ever gathered in one task. Null deleted_at: not deleted. A reference
+    whose own arrival is null has a null period and is never late or deleted.
     """
-    rows = tagged_keys(tables, references)
-    keys = rows.groupBy("target", "ref").agg(
-        F.max("is_parent").alias("known"), F.min(F.when(F.col("is_parent"), F.col("arrived"))).alias("parent_arrived"), F.min("deleted_at").alias("parent_deleted")
+    children = references_of(tables, references)
+    tagged = parents_of(tables, references).withColumn("is_parent", F.lit(True)).unionByName(
+        children.select("target", "ref", F.lit(None).cast("timestamp").alias("arrived"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(False).alias("is_parent"))
     )
-    children = rows.where("not is_parent").drop("is_parent", "deleted_at")
-    judged = salted_join(children, keys, ["target", "ref"])
+    key = ["target", "ref"]
+    groups = materialize(tagged.groupBy(*key).agg(F.max("is_parent").alias("known"), F.min("arrived").alias("parent_arrived"), F.min("deleted_at").alias("parent_deleted"), F.count_if(~F.col("is_parent")).alias("n")).where("n > 0"), "keys")
+    judged = salted_join(children, groups.drop("n"), key, hot=hot_of_counts(groups, key, "n"))
     reason = F.when(~F.col("known"), "missing").when(F.col("parent_deleted") <= F.col("arrived"), "deleted").when(F.col("parent_arrived") > F.col("arrived"), "late")
     return judged.select("record_table", "record_id", "field", reason.alias("reason"), F.date_format("arrived", "yyyy-MM").alias("period")).where("reason is not null").distinct()
 

@@ -49,17 +49,17 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feed", "load_no", "column_name", "row_count", "nulls", "valid", "distinct_valid", "pattern_violations", "range_violations", "low", "high", F.round(F.col("mean") * F.col("valid"), 6).alias("total"), F.round("entropy", 6).alias("entropy"))
 
 
-def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """The wide table of all observations and its attributes."""
+def _wide(spark: SparkSession, d: str, empty: bool = True) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The wide table of all observations, those without any value only if asked for, and its attributes."""
     types = pivot.type_list(load(spark, d, "predicates"), "pred", "value_type")
     long = pivot.long_facts(load(spark, d, "observations"), "observation_id", "facts")
     attributes = pivot.discover(long, types)
     entities = load(spark, d, "observations").select(F.col("observation_id").alias("entity"))
-    return pivot.wide(pivot.cells(long, types), attributes, entities), attributes
+    return pivot.wide(pivot.cells(long, types), attributes, entities if empty else None), attributes
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = _wide(spark, d)
+    table, _ = _wide(spark, d, empty=False)
     return pivot.issues(table).select(F.col("entity").alias("observation_id"), F.col("attr").alias("pred"), "issue")
 
 
