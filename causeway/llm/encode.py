@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.rolling import code_points, window_hashes
+from causeway.session import materialize_counted
 
 #: Where the vocabulary files are; every node must have them there.
 TOKENIZERS = "/opt/tokenizers"
@@ -97,27 +98,6 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        for lo, hi in _groups(texts):
-            rows, seqs, chunks = [], [], []
-            part = texts[lo:hi]
-            whole = code_points("".join(part))
-            hashes = window_hashes(whole, WINDOW)[0]
-            at = 0
-            for i, t in enumerate(part):
-                # the last WINDOW - 1 starts of a text reach into the next one and are left out
-                a = 0
-                for seq, b in enumerate(cuts(hashes[at : at + max(0, len(t) - WINDOW + 1)], len(t))):
-                    rows.append(lo + i)
-                    seqs.append(seq)
-                    chunks.append(t[a:b])
-                    a = b
-                at += len(t)
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(rows, pa.int64())), batch.column(2).take(pa.array(rows, pa.int64())), pa.array(seqs, pa.int32()), pa.array(chunks, pa.string())], names=["doc_id", "text_key", "seq", "chunk"])
-
-
 def _int_lists(lists: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(lists) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
@@ -125,67 +105,86 @@ def _int_lists(lists: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _encode_chunks(path: str):
+#: Characters of chunks whose ids a task keeps at most, twice over.
+_KEPT_CHARS = 1 << 23
+
+
+class ChunkIds:
+    """The encoded chunks of a task: head and tail texts around the ids of the middle, between the first and last certain start.
+
+    Bounded: once the kept chunks have _KEPT_CHARS characters they become the
+    older half, from which chunks that come again are taken over, and what was
+    the older half is dropped.
+    """
+
+    def __init__(self, encode) -> None:
+        self.encode, self.new, self.old, self.size, self.encoded = encode, {}, {}, 0, 0
+
+    def get(self, chunk: str, starts: np.ndarray, begin: int) -> tuple[str, list[int] | None, str]:
+        """starts: the certain starts of the text around, in whose characters the chunk begins at `begin`."""
+        known = self.new.get(chunk)
+        if known is not None:
+            return known
+        known = self.old.get(chunk)
+        if known is None:
+            self.encoded += 1
+            # a start at the chunk's own first or last border says nothing
+            i, j = np.searchsorted(starts, begin, side="right"), np.searchsorted(starts, begin + len(chunk), side="left")
+            if j > i:
+                a, b = int(starts[i]) - begin, int(starts[j - 1]) - begin
+                known = chunk[:a], (self.encode(chunk[a:b]) if b > a else []), chunk[b:]
+            else:
+                known = chunk, None, ""
+        self.new[chunk] = known
+        self.size += len(chunk)
+        if self.size > _KEPT_CHARS:
+            self.old, self.new, self.size = self.new, {}, 0
+        return known
+
+
+def _encode_texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path).encode_ordinary
-        last, last_parts = None, None
+        kept, joint = ChunkIds(encode), lru_cache(maxsize=1 << 16)(encode)
         for batch in batches:
-            chunks = batch.column(3).to_pylist()
-            points = code_points("".join(chunks))
-            starts = certain_starts(points)
-            ends = np.cumsum([len(c) for c in chunks])
-            heads, bodies, tails = [], [], []
-            begin = 0
-            for c, end in zip(chunks, ends, strict=True):
-                if c != last:  # equal chunks are neighbours, so each is encoded once
-                    i, j = np.searchsorted(starts, (begin, end), side="right")
-                    # a start at the chunk's own first or last border says nothing
-                    while j > i and starts[j - 1] >= end:
-                        j -= 1
-                    if j > i:
-                        a, b = int(starts[i]) - begin, int(starts[j - 1]) - begin
-                        last_parts = (c[:a], encode(c[a:b]) if b > a else [], c[b:])
-                    else:
-                        last_parts = (c, None, "")
-                    last = c
-                heads.append(last_parts[0])
-                bodies.append(last_parts[1])
-                tails.append(last_parts[2])
-                begin = int(end)
-            whole = pa.array([b is None for b in bodies], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(heads, pa.string()), _int_lists([b or [] for b in bodies]), pa.array(tails, pa.string()), whole], names=["doc_id", "text_key", "seq", "head", "body", "tail", "uncut"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in _groups(texts):
+                part, out, at = texts[lo:hi], [], 0
+                points = code_points("".join(part))
+                hashes, starts = window_hashes(points, WINDOW)[0], certain_starts(points)
+                for t in part:
+                    done, pending, a = [], "", 0
+                    # the last WINDOW - 1 starts of a text reach into the next one and are left out
+                    for b in cuts(hashes[at : at + max(0, len(t) - WINDOW + 1)], len(t)):
+                        head, body, tail = kept.get(t[a:b], starts, at + a)
+                        pending += head
+                        if body is not None:  # else no certain start inside: the join reaches on into the next chunk
+                            done += joint(pending)
+                            done += body
+                            pending = tail
+                        a = b
+                    out.append(done + list(joint(pending)))
+                    at += len(t)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _int_lists(out)], names=["doc_id", "ids"])
 
     return run
 
 
-def _joined(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = lru_cache(maxsize=1 << 16)(_encoder(path).encode_ordinary)
-        for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values
-            seq = flat.field("seq").to_numpy(zero_copy_only=False)
-            head, tail, uncut = (flat.field(k).to_pylist() for k in ("head", "tail", "uncut"))
-            body = flat.field("body")
-            body_at, ids = body.offsets.to_numpy(), body.values.to_numpy(zero_copy_only=False)
-            out = []
-            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-                done, pending, seen = [], "", -1
-                for k in lo + np.argsort(seq[lo:hi], kind="stable"):
-                    if seq[k] == seen:  # a repeated row of the document
-                        continue
-                    seen = seq[k]
-                    pending += head[k]
-                    if uncut[k]:  # no certain start inside: the join reaches on into the next chunk
-                        continue
-                    done += encode(pending)
-                    done += ids[body_at[k] : body_at[k + 1]].tolist()
-                    pending = tail[k]
-                out.append(done + list(encode(pending)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _int_lists(out)], names=["doc_id", "ids"])
+def _once(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) without the repeats of equal doc_id and text.
 
-    return run
+    Only their 64-bit names are shuffled; where none repeats, which is counted,
+    the texts stay where they are, and else only those that do are moved.
+    """
+    named = rows.withColumn("text_key", F.xxhash64(F.col("text").isNull(), "text"))
+    counts = named.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
+    repeated, n = materialize_counted(counts, "repeated", n=F.count("*"))
+    if not n["n"]:
+        return rows
+    same = named["doc_id"].eqNullSafe(repeated["doc_id"]) & (named["text_key"] == repeated["text_key"])
+    single = named.join(repeated, same, "left_anti")
+    several = named.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return single.unionByName(several).select("doc_id", "text")
 
 
 def encode_corpus(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,26 +193,22 @@ def encode_corpus(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}
     1. A rolling hash over WINDOW characters cuts texts into chunks whose
        borders depend on the content only, so a passage shared by documents
        falls into the same chunks wherever it stands.
-    2. Equal chunks are brought together (by hash, in partitions that the
-       adaptive planner splits where one chunk is frequent) and each is encoded
-       once: the middle, between its first and last certain_starts().
-    3. The chunks of a document are put together again and each join repaired:
-       what stands between the last certain start of one chunk and the first
-       of the next is encoded anew, over as many chunks as it takes to reach a
-       certain start on either side. From there on both agree with the encoding
-       of the whole text, so the result is exact.
+    2. Of each chunk the middle, between its first and last certain_starts(),
+       is encoded once in a task and reused for every document that has it
+       (see ChunkIds). No text is shuffled for it.
+    3. The joins of a text's chunks are repaired: what stands between the last
+       certain start of one chunk and the first of the next is encoded anew,
+       over as many chunks as it takes to reach a certain start on either side.
+       From there on both agree with the encoding of the whole text, so the
+       result is exact.
 
     Empty and null texts give an empty list. Rows with equal doc_id and text
     give one row, equal doc_ids with different texts one row each; a null
     doc_id is kept as any other. Further columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
+    rows = _once(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    chunks = rows.mapInArrow(_chunked, f"doc_id {kind}, text_key long, seq int, chunk string")
-    gathered = chunks.withColumn("h", F.xxhash64("chunk")).hint("rebalance", "h").sortWithinPartitions("h", "chunk").drop("h")
-    parts = gathered.mapInArrow(_encode_chunks(vocabulary), f"doc_id {kind}, text_key long, seq int, head string, body array<int>, tail string, uncut boolean")
-    per_doc = parts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("seq", "head", "body", "tail", "uncut")).alias("parts")).select("doc_id", "parts")
-    return per_doc.mapInArrow(_joined(vocabulary), f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(_encode_texts(vocabulary), f"doc_id {kind}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:

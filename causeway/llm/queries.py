@@ -21,6 +21,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, d), load(spark, d, "mix_targets"))
 
 
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.marginals(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(spans.passages(load(spark, d, "documents"))).withColumnRenamed("doc", "doc_id")
 
@@ -31,8 +35,12 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p10_members(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_members(load(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict:
-    return {"p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_passages": p10_passages}
+    return {"p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_marginals": p9_marginals, "p10_found": p10_found, "p10_members": p10_members, "p10_passages": p10_passages}
 
 
 P10_FOUND = """

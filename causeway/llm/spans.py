@@ -17,8 +17,10 @@ from causeway.skew import hot_of_counts, salted_join
 #: The least length of a span, and the length of the seeds: every span holds a whole run of
 #: SPAN - SEED + 1 seeds, of which exactly one is elected.
 SPAN, SEED = 160, 80
-#: Characters handled at once in a Python worker; positions in it fit into the low bits of a word.
-_BATCH_CHARS, _POSITION_BITS = 1 << 20, 26
+#: Characters of several texts, and windows of one text, handled at once in a Python worker.
+_BATCH_CHARS, _BLOCK_WINDOWS = 1 << 20, 1 << 22
+#: Of a hash the leading bits decide an election, and the place inside the block decides ties.
+_POSITION_BITS = 26
 #: Chaining: what a match is worth per character, and what a gap costs per character of it and of its skew.
 GAP_COST, SKEW_COST = 0.05, 0.25
 #: Gaps up to this many characters on both sides are aligned; longer ones end a passage.
@@ -34,11 +36,28 @@ def elected(points: np.ndarray, ends: np.ndarray, span: int = SPAN, seed: int =
     seed's segment. Which seed a window elects depends on its characters only,
     so equal windows of two texts elect equal seeds at equal places.
     """
-    h, whole = window_hashes(points, seed, span)
-    w, bits = span - seed + 1, np.uint64((1 << _POSITION_BITS) - 1)
-    if not len(whole):
+    starts_of = np.r_[0, ends[:-1]].astype(np.int64)
+    n_windows = len(points) - span + 1
+    runs = [_runs(points, ends, lo, min(lo + _BLOCK_WINDOWS, n_windows), span, seed) for lo in range(0, max(0, n_windows), _BLOCK_WINDOWS)]
+    if not runs:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    at, text, first, last, h, head, tail = (np.concatenate(x) for x in zip(*runs, strict=True))
+    # a run that goes on in the next block is one
+    begins = np.ones(len(at), dtype=bool)
+    begins[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | (first[1:] != last[:-1] + 1)
+    ends_ = np.r_[begins[1:], True] if len(at) else begins
+    at, text, first, h, head, last, tail = at[begins], text[begins], first[begins], h[begins], head[begins], last[ends_], tail[ends_]
+    n = last - first + 1
+    # a segment is its first and last window, and how far apart they are
+    key = mix(head * np.uint64(3) + mix(tail + n.astype(np.uint64)))
+    return h, key, text, first - starts_of[text], n
+
+
+def _runs(points: np.ndarray, ends: np.ndarray, lo: int, hi: int, span: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(place of the seed, text, first window, last window, seed hash, hashes of both windows) of the runs of windows lo..hi that elect one seed."""
+    h, whole = window_hashes(points[lo : hi + span - 1], seed, span)
+    w, bits = span - seed + 1, np.uint64((1 << _POSITION_BITS) - 1)
     # the smallest (leading bits of the hash, position) of w neighbours, from those of 2, 4, 8, ...
     best, size = (h & ~bits) | np.arange(len(h), dtype=np.uint64), 1
     while size * 2 <= w:
@@ -46,15 +65,13 @@ def elected(points: np.ndarray, ends: np.ndarray, span: int = SPAN, seed: int =
     if w > size:
         best = np.minimum(best[: len(h) - w + 1], best[w - size : len(h) - size + 1])
     at = (best & bits).astype(np.int64)
-    starts_of = np.r_[0, ends[:-1]]
-    text = np.repeat(np.arange(len(ends)), ends - starts_of)[: len(at)]
-    inside = np.arange(len(at)) + span <= ends[text]
-    first = np.flatnonzero(inside & np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
-    last = np.flatnonzero(inside & np.r_[(at[1:] != at[:-1]) | (text[1:] != text[:-1]) | ~inside[1:], True])
-    n = last - first + 1
-    # a segment is its first and last window, and how far apart they are
-    key = mix(whole[first] * np.uint64(3) + mix(whole[last] + n.astype(np.uint64)))
-    return h[at[first]], key, text[first], first - starts_of[text[first]], n
+    place = np.arange(lo, hi)
+    text = np.searchsorted(ends, place, side="right")
+    inside = place + span <= ends[text]
+    change = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(inside & np.r_[True, change | ~inside[:-1]])
+    last = np.flatnonzero(inside & np.r_[change | ~inside[1:], True])
+    return at[first] + lo, text[first], first + lo, last + lo, h[at[first]], whole[first], whole[last]
 
 
 _SEEDS = "seed long, seg long, doc {kind}, start int, n int"
@@ -120,6 +137,17 @@ def needed_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(materialize(docs.distinct(), "needed"), "doc", "leftsemi")
 
 
+def shared_members(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(passage, doc, start, length): the passages that several documents hold, with every place where each holds them.
+
+    The whole relation behind shared_matches, which names one partner only: two
+    documents share a span exactly if they are in a passage together. A passage
+    is a segment or, where segments differ, a window of one; so a document has
+    no more rows than windows, and no pairs are made.
+    """
+    return _shared(docs, span, seed, doc_id, text)[1]
+
+
 def shared_matches(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, partner, a, b, n): characters a..a+n of doc are characters b..b+n of partner, n >= span.
 
@@ -137,6 +165,11 @@ def shared_matches(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id:
        windows of one member of each class are compared one by one.
     4. What a class found goes back to its members by a join with salted hot keys.
     """
+    return _shared(docs, span, seed, doc_id, text)[0]
+
+
+def _shared(docs: DataFrame, span: int, seed: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """shared_matches() and shared_members() over the same tables."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= span))
     seeds = materialize(rows.mapInArrow(_seed_rows(span, seed), _SEEDS.format(kind=kind)), "seeds")
@@ -167,9 +200,16 @@ def shared_matches(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id:
     found = salted_join(members.select("doc", "start", "seed", "seg"), runs, ["seed", "seg"], hot=hot_of_counts(classes, ["seed", "seg"], "c"))
     run = F.col("r")
     other = F.when(run["lo"]["doc"] != F.col("doc"), run["lo"]).otherwise(run["hi"])
-    return found.select("doc", "start", F.explode("runs").alias("r")).select(
+    matches = found.select("doc", "start", F.explode("runs").alias("r")).select(
         "doc", other["doc"].alias("partner"), (F.col("start") + run["j"]).alias("a"), other["start"].alias("b"), (run["n"] + span - 1).alias("n")
     )
+    # a seed of one class: the segment is the passage; of several: each window that stands in two documents
+    hot = hot_of_counts(classes, ["seed", "seg"], "c")
+    alone = classes.join(several.where("k = 1"), "seed", "leftsemi").where("lo.doc <> hi.doc").select("seed", "seg", F.lit(0).alias("j"), "lo.n", F.xxhash64("seed", "seg").alias("passage"))
+    apart = salted_join(windows.select("seed", "seg", "j", "key"), same.select("key"), ["key"], "leftsemi", hot=hot_of_counts(same, ["key"], "c")).select("seed", "seg", "j", F.lit(1).alias("n"), F.col("key").alias("passage"))
+    places = alone.unionByName(apart).groupBy("seed", "seg").agg(F.collect_list(F.struct("passage", "j", "n")).alias("places"))  # at most a segment's windows
+    held = salted_join(members.select("doc", "start", "seed", "seg"), places, ["seed", "seg"], hot=hot).select("doc", "start", F.explode("places").alias("p"))
+    return matches, held.select("p.passage", "doc", (F.col("start") + F.col("p.j")).alias("start"), (F.col("p.n") + span - 1).alias("length"))
 
 
 class Fenwick:
@@ -290,31 +330,44 @@ def aligned(x: str, y: str, chain: list[tuple[int, int, int]], span: int) -> tup
     return [m for m in blocks if m[2] >= span], wrong, length
 
 
+_CHAINED = "doc {kind}, partner {kind}, chains array<struct<chain:int,a:int,b:int,n:int>>, a_lo int, a_hi int, b_lo int, b_hi int"
+
+
 def _chain_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for doc, partner, matches in zip(pdf.doc, pdf.partner, pdf.matches, strict=True):
-            found = [(int(m["a"]), int(m["b"]), int(m["n"])) for m in matches]
-            for i, chain in enumerate(chains(merged(found))):
-                out.append((doc, partner, i, [dict(zip("abn", m, strict=True)) for m in chain]))
-        yield pd.DataFrame(out, columns=["doc", "partner", "chain", "matches"])
+            found = chains(merged([(int(m["a"]), int(m["b"]), int(m["n"])) for m in matches]))
+            every = [{"chain": i, "a": a, "b": b, "n": n} for i, c in enumerate(found) for a, b, n in c]
+            reach = [pick(m[k] + (m["n"] if pick is max else 0) for m in every) for k in "ab" for pick in (min, max)]
+            out.append((doc, partner, every, *reach))
+        yield pd.DataFrame(out, columns=["doc", "partner", "chains", "a_lo", "a_hi", "b_lo", "b_hi"])
 
 
 def _align_rows(span: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, partner, i, matches, x, y in zip(pdf.doc, pdf.partner, pdf.chain, pdf.matches, pdf.text, pdf.other, strict=True):
-                blocks, wrong, length = aligned(x, y, [(int(m["a"]), int(m["b"]), int(m["n"])) for m in matches], span)
-                if blocks:
-                    a, b = blocks[0][0], blocks[0][1]
-                    ends = (blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2])
-                    out.append((doc, partner, i, a, ends[0], b, ends[1], wrong, 1 - wrong / max(1, length), [dict(zip("an", (m[0], m[2]), strict=True)) for m in blocks]))
+            for doc, partner, found, x, a0, y, b0 in zip(pdf.doc, pdf.partner, pdf.chains, pdf.text, pdf.a_lo, pdf.other, pdf.b_lo, strict=True):
+                by: dict[int, list[tuple[int, int, int]]] = {}
+                for m in found:
+                    by.setdefault(int(m["chain"]), []).append((int(m["a"]) - a0, int(m["b"]) - b0, int(m["n"])))
+                for i, chain in by.items():
+                    blocks, wrong, length = aligned(x, y, chain, span)
+                    if blocks:
+                        a, b = blocks[0][0] + a0, blocks[0][1] + b0
+                        ends = (blocks[-1][0] + blocks[-1][2] + a0, blocks[-1][1] + blocks[-1][2] + b0)
+                        out.append((doc, partner, i, a, ends[0], b, ends[1], wrong, 1 - wrong / max(1, length), [{"a": m[0] + a0, "n": m[2]} for m in blocks]))
             yield pd.DataFrame(out, columns=["doc", "partner", "chain", "a_start", "a_end", "b_start", "b_end", "edits", "identity", "blocks"])
 
     return run
 
 
+def _stretch(text: str, lo: str, hi: str):
+    """The characters lo..hi of a text."""
+    return F.substring(F.col(text), F.col(lo) + 1, F.col(hi) - F.col(lo))
+
+
 def passages(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, partner, chain, a_start, a_end, b_start, b_end, edits, identity, blocks): passages doc shares with partner.
 
@@ -322,8 +375,11 @@ def passages(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id: str =
     both. A passage is fuzzy: its verbatim blocks, each at least `span`
     characters, may have gaps between them, which edits and identity measure.
     Every verbatim span that doc shares with any document lies in a block of
-    one of its passages. Texts go only to documents with a match; those of a
-    partner that many documents name are spread by salt.
+    one of its passages. Blocks are extended beyond their matches as far as the
+    texts agree, by at most `span` characters at either end of all that the
+    pair shares. Per pair and side one stretch of text is shipped, from a span
+    before its first match to a span after its last, cut off where the text
+    meets the pair; a partner that many documents name is spread by salt.
 
     Null, empty and short texts and null ids have no passage. Rows with equal
     doc_id are one document, so what they share with each other does not count.
@@ -332,11 +388,14 @@ def passages(docs: DataFrame, span: int = SPAN, seed: int = SEED, doc_id: str =
     found = shared_matches(docs, span, seed, doc_id, text)
     # the matches of a pair are at most as many as the document's windows
     pairs = found.groupBy("doc", "partner").agg(F.collect_set(F.struct("a", "b", "n")).alias("matches"))
-    chained = materialize(pairs.mapInPandas(_chain_rows, f"doc {kind}, partner {kind}, chain int, matches array<struct<a:int,b:int,n:int>>"), "chains")
+    chained = pairs.mapInPandas(_chain_rows, _CHAINED.format(kind=kind))
+    wider = [F.greatest(F.col(c) - span, F.lit(0)).alias(c) if c.endswith("lo") else (F.col(c) + span).alias(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi")]
+    chained = materialize(chained.select("doc", "partner", "chains", *wider), "chains")
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= span))
     # partners share with the documents that name them, so they are among these
     texts = needed_texts(rows, chained.select("doc"))
-    both = salted_join(chained, texts.select(F.col("doc").alias("partner"), F.col("text").alias("other")), ["partner"]).join(texts, "doc")
+    both = salted_join(chained, texts.select(F.col("doc").alias("partner"), F.col("text").alias("other")), ["partner"]).withColumn("other", _stretch("other", "b_lo", "b_hi"))
+    both = both.join(texts, "doc").withColumn("text", _stretch("text", "a_lo", "a_hi")).select("doc", "partner", "chains", "a_lo", "b_lo", "text", "other")
     return both.mapInPandas(_align_rows(span), f"doc {kind}, partner {kind}, chain int, a_start int, a_end int, b_start int, b_end int, edits int, identity double, blocks array<struct<a:int,n:int>>")
 
 

@@ -32,6 +32,22 @@ def test_odd_texts(spark):
         assert got[i] == _encoder(PATH).encode_ordinary(t or ""), i
 
 
+def test_chunks_are_encoded_once(monkeypatch):
+    """A passage of many texts costs one encoding in a task, also when what is kept is bounded."""
+    import pyarrow as pa
+
+    made, part = [], "We cleared the spool and drain time settled near the limit, as noted on day four. " * 60
+    own = encode.ChunkIds.__init__
+    monkeypatch.setattr(encode.ChunkIds, "__init__", lambda self, e: (made.append(self), own(self, e))[1])
+    texts = [f"{i} {part} {i}" for i in range(50)]
+    for kept in (encode._KEPT_CHARS, 6_000):
+        monkeypatch.setattr(encode, "_KEPT_CHARS", kept)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], names=["doc_id", "text"])
+        got = [ids for b in encode._encode_texts(PATH)(iter([batch])) for ids in b.column(1).to_pylist()]
+        assert got == [_encoder(PATH).encode_ordinary(t) for t in texts]
+    assert made[0].encoded < 150 and len(made) == 2
+
+
 def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "same text here", None), (1, "same text here", None), (2, "b", None), (2, "c", None), (None, "b", None)], SCHEMA)
     rows = [(r["doc_id"], tuple(r["ids"])) for r in encode_corpus(df).collect()]

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 from causeway.llm import queries, spans
 from compare import assert_same
 from conftest import DATA
@@ -60,6 +61,40 @@ def test_odd_texts(spark):
     assert found(spark, texts) == brute(texts, 160)
 
 
+def test_blocks_of_windows_elect_alike(monkeypatch):
+    """Texts longer than a block have the segments of one block."""
+    rng = random.Random(5)
+    texts = [noise(rng, n) for n in (1000, 30, 161, 160, 159, 700)] + ["a" * 400, "ab" * 300]
+    points, ends = spans.code_points("".join(texts)), np.cumsum([len(t) for t in texts])
+    whole = spans.elected(points, ends)
+    for size in (1, 7, 100, 333):
+        monkeypatch.setattr(spans, "_BLOCK_WINDOWS", size)
+        assert all((x == y).all() for x, y in zip(whole, spans.elected(points, ends), strict=True))
+    monkeypatch.undo()
+    n = (1 << spans._POSITION_BITS) + 500  # positions beyond the low bits
+    far = np.r_[np.arange(n, dtype=np.uint32) % 1009, spans.code_points(texts[0])]
+    h, key, text, start, size = spans.elected(far, np.array([len(far)]))
+    h1, *_ = spans.elected(spans.code_points(texts[0]), np.array([1000]))
+    assert set(h1.tolist()) <= set(h[start >= n - 160].tolist()) and start.max() > n
+
+
+def test_members_are_all_partners(spark):
+    """Two documents are in a passage together exactly if they share a span, and the passages cover what is shared."""
+    rng = random.Random(8)
+    pool = [noise(rng, rng.randrange(5, 40), "abc") for _ in range(8)]
+    texts = [(i, "".join(rng.choice(pool) for _ in range(rng.randrange(0, 6)))) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = spans.shared_members(df, span=20, seed=8).collect()
+    by, cover = defaultdict(set), defaultdict(set)
+    for r in rows:
+        by[r["passage"]].add(r["doc"])
+        cover[r["doc"]] |= set(range(r["start"], r["start"] + r["length"]))
+    got = {(a, b) for docs in by.values() for a in docs for b in docs if a < b}
+    grams = {d: {t[i : i + 20] for i in range(len(t) - 19)} for d, t in texts}
+    assert got == {(a, b) for a in grams for b in grams if a < b and grams[a] & grams[b]}
+    assert {d: len(c) for d, c in cover.items()} == brute(texts, 20)
+
+
 def test_repeats_within_a_document_and_empty(spark):
     t = noise(random.Random(2), 400)
     assert found(spark, [(1, t + "--" + t)]) == {}
