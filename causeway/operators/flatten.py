@@ -256,3 +256,30 @@ def rule_args(df: DataFrame, key: str, column: str, path: tuple[str, ...] = ("pa
 
     rows = df.select(F.col(key).alias("key"), F.col(column).alias("value")).where("key is not null and value is not null")
     return rows.mapInPandas(visit, f"`{key}` string, side string, pred string, args map<string,string>")
+
+
+_PATTERN = "array<struct<pred:string,val:string,args:array<struct<k:string,v:string>>>>"
+
+
+def rule_patterns(df: DataFrame, key: str, column: str, path: tuple[str, ...] = ("pattern",), sides: tuple[str, ...] = ("pre", "eff"), scope: str = "scope") -> DataFrame:
+    """(<key>, <sides>, scope): the facts of either side of a rule with their arguments as sorted pairs, in reading order, and the rule's scope as sorted pairs.
+
+    Values, arguments and scope entries are a string's content or the JSON text
+    of another value. Damaged texts make no row; a scope that is no object is empty.
+    """
+    plain = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    pairs = lambda x: [{"k": k, "v": plain(v)} for k, v in sorted(x.items())] if isinstance(x, dict) else []
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k, text in zip(pdf.key, pdf.value, strict=True):
+                value = _loads(text)
+                if value is None:
+                    continue
+                facts = [[{"pred": p, "val": plain(f.get("value")), "args": pairs(f.get("args"))} for f, p in fact_objects(value, (*path, side))] for side in sides]
+                out.append((k, *facts, pairs(value.get(scope) if isinstance(value, dict) else None)))
+            yield pd.DataFrame(out, columns=[key, *sides, "scope"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(column).alias("value")).where("key is not null and value is not null")
+    return rows.mapInPandas(visit, f"`{key}` string, " + ", ".join(f"{s} {_PATTERN}" for s in sides) + ", scope array<struct<k:string,v:string>>")

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.operators.facts import jaccard
-from causeway.session import discard, materialize, materialize_counted
+from causeway.session import materialize
 
 # Weights of evidence kinds and of rule states.
 EVIDENCE_WEIGHTS = {"intervention": 1.0, "quasi_experiment": 0.8, "observational": 0.5}
 STATUS_WEIGHTS = {"confirmed": 1.0, "hypothesis": 0.85, "candidate": 0.65, "retired": 0.1}
 
-ASSUMPTION_COST, RULE_COST = 1.2, 0.05
+#: What a rule in an unknown state weighs.
+OTHER_STATUS = 0.8
 
 
 def _lookup(col: Column, weights: dict[str, float], other: float) -> Column:
@@ -32,7 +33,7 @@ def specificity(pre: Column, eff: Column) -> Column:
 
 
 def rule_score(kind: Column, status: Column, s: Column, c: Column, pre: Column, eff: Column) -> Column:
-    raw = _lookup(kind, EVIDENCE_WEIGHTS, 0.5) * reputation(s, c) * specificity(pre, eff) * _lookup(status, STATUS_WEIGHTS, 0.65)
+    raw = _lookup(kind, EVIDENCE_WEIGHTS, 0.5) * reputation(s, c) * specificity(pre, eff) * _lookup(status, STATUS_WEIGHTS, OTHER_STATUS)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.01), raw))
 
 
@@ -46,90 +47,21 @@ def unexplained(facts: DataFrame, rule_facts: DataFrame) -> DataFrame:
     return facts.join(effects, "sig", "left_anti")
 
 
-def explain(observations: DataFrame, rules: DataFrame, beam: int = 20, top: int = 5) -> DataFrame:
-    """(observation_id, rank, score, rules, assumed): the best explanations of each observation by its rules.
-
-    observations: observation_id, sigs. rules: regulation_id, score, pre, eff
-    with plain signatures (no variables). Backward chaining with a beam: goals
-    that no rule derives are assumed at once, at ASSUMPTION_COST; of the others
-    the one first by name is either derived by a rule with that effect, whose
-    preconditions that are no known fact become goals, or assumed as well; each
-    rule costs RULE_COST. A goal that is derived or assumed is closed for good,
-    so chains end, and steps are taken until no goal is open. score = (sum of
-    log rule scores less costs) / max(1, rules). The only limit is the beam:
-    states are kept per observation by score, then by rules, at most `beam`
-    after each step. Observations that the rules cannot tell apart are searched
-    once.
-    """
-    none = F.array().cast("array<string>")
-    goals = rules.select(F.explode("eff").alias("sig")).distinct().withColumn("derivable", F.lit(1))
-    pre = rules.select("regulation_id", F.explode("pre").alias("sig")).distinct()
-    sides = pre.join(goals, "sig", "left").groupBy("regulation_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("derivable") == 1, F.col("sig")))).alias("pre"), F.array_sort(F.collect_set(F.when(F.col("derivable").isNull(), F.col("sig")))).alias("bare")
-    )
-    effect = rules.select(F.explode(F.array_distinct("eff")).alias("goal"), "regulation_id", F.log("score").alias("gain")).join(sides, "regulation_id", "left")
-    effect = materialize(effect.select("goal", "regulation_id", "gain", F.coalesce("pre", none).alias("pre"), F.coalesce("bare", none).alias("bare")), "effects")
-    # of an observation only the facts that some rule names make a difference
-    named = materialize(pre.select("sig", F.lit(1).alias("needed"), F.lit(None).cast("int").alias("derivable")).unionByName(goals.select("sig", F.lit(None).cast("int").alias("needed"), "derivable")).groupBy("sig").agg(F.max("needed").alias("needed"), F.max("derivable").alias("derivable")), "named")
-    member = observations.select("observation_id", F.explode(F.array_distinct("sigs")).alias("sig")).join(named, "sig", "left").groupBy("observation_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("needed") == 1, F.col("sig")))).alias("known"), F.array_sort(F.collect_set(F.when(F.col("derivable") == 1, F.col("sig")))).alias("open"), F.count_if(F.col("derivable").isNull()).cast("int").alias("assumed")
-    )
-    member = materialize(member, "members")
-    alike = ["known", "open", "assumed"]
-    start = materialize(member.groupBy(*alike).agg(F.min("observation_id").alias("id")), "alike")
-    state = start.select("id", "known", "open", none.alias("closed"), none.alias("rules"), (-ASSUMPTION_COST * F.col("assumed")).alias("total"), "assumed")
-    score = F.round(F.col("total") / F.greatest(F.size("rules"), F.lit(1)), 9)
-    ended = lambda df: df.where(F.size("open") == 0).select("id", score.alias("score"), F.array_join("rules", ",").alias("rules"), "assumed")
-    first = Window.partitionBy("id").orderBy(F.desc("score"), "rules", "assumed")
-    best = lambda df: df.distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
-    unknown = lambda c: F.array_except(F.array_except(c, "known"), "closed")
-    w = Window.partitionBy("id").orderBy(F.desc(score), F.array_join("rules", ","), "assumed", "open", "closed")
-    done, step, going = ended(state), state, True
-    while going:
-        pick = step.where(F.size("open") > 0).withColumn("goal", F.array_min("open")).withColumn("open", F.array_remove("open", F.col("goal"))).withColumn("closed", F.array_append("closed", F.col("goal")))
-        met = pick.join(effect, "goal").withColumn("bare", unknown("bare"))
-        derived = met.select(
-            "id", "known", F.array_union("open", unknown("pre")).alias("open"), F.array_union("closed", "bare").alias("closed"), F.array_append("rules", F.col("regulation_id")).alias("rules"),
-            (F.col("total") + F.col("gain") - RULE_COST - ASSUMPTION_COST * F.size("bare")).alias("total"), (F.col("assumed") + F.size("bare")).alias("assumed"),
-        )
-        assumed = pick.select("id", "known", "open", "closed", "rules", (F.col("total") - ASSUMPTION_COST).alias("total"), (F.col("assumed") + 1).alias("assumed"))
-        next_, seen = materialize_counted(derived.unionByName(assumed).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= beam).drop("__r"), "beam", going=F.count_if(F.size("open") > 0))
-        going = seen["going"] > 0
-        # of the ended chains only the best are kept, so that files and plans stay small over any number of steps
-        kept = materialize(best(done.unionByName(ended(next_))).drop("rank"), "ended")
-        discard(step)
-        discard(done)
-        done, step = kept, next_
-    best = best(done).withColumnRenamed("assumed", "n")
-    same = member.join(start, alike).select("observation_id", "id")
-    return same.join(best, "id").select("observation_id", F.col("rank").cast("long").alias("rank"), "score", "rules", F.col("n").cast("long").alias("assumed"))
-
-
-def permuted(facts: DataFrame) -> DataFrame:
-    """(observation_id, pred, val): facts with the values of each predicate moved on by one in hash order, the last to the first.
-
-    The order is by bucket, then inside it, which bounds what one task sorts;
-    the last of a bucket takes the first value of the next one that has any.
-    """
-    f = facts.withColumn("bucket", F.pmod(F.xxhash64("observation_id"), F.lit(64)))
-    order = [F.xxhash64("observation_id", "ord", F.lit(42)), F.col("observation_id"), F.col("ord")]
-    first = f.groupBy("pred", "bucket").agg(F.min_by("val", F.struct(*order)).alias("first"))
-    w = Window.partitionBy("pred").orderBy("bucket")
-    after = first.select("pred", "bucket", F.coalesce(F.lead("first").over(w), F.first("first").over(w)).alias("after"))
-    moved = f.withColumn("next", F.lead("val").over(Window.partitionBy("pred", "bucket").orderBy(*order)))
-    return moved.join(after, ["pred", "bucket"]).select("observation_id", "pred", F.coalesce("next", "after").alias("val"))
-
-
-def candidates(observations: DataFrame, rules: DataFrame) -> DataFrame:
-    """(observation_id, regulation_id, confidence, missing): rules of which an observation has some predicate of the preconditions.
+def candidates(observations: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
+    """(observation_id, regulation_id, confidence, missing): the rules that share a predicate with an observation.
 
-    confidence: share of the predicates times the rule's credibility; missing: how many it has not.
+    observations: observation_id, preds. items: regulation_id, side, pred, sig,
+    the distinct facts of rules. confidence: the share of the preconditions
+    whose predicate is known times the rule's credibility (0.3 without
+    support), so 0 for a rule of which only effects are known; missing: the
+    preconditions whose predicate is not known.
     """
-    r = rules.where(F.size("pre_preds") > 0)
-    n = observations.select("observation_id", F.explode("preds").alias("p")).join(r.select("regulation_id", F.explode("pre_preds").alias("p")), "p").groupBy("observation_id", "regulation_id").agg(F.count("*").alias("k"))
+    per = items.join(rules.select("regulation_id", "s", "c"), "regulation_id").groupBy("regulation_id", "s", "c", "pred").agg(F.count_if(F.col("side") == "pre").alias("k"))
+    need = items.where("side = 'pre'").groupBy("regulation_id").agg(F.count("*").alias("need"))
+    n = observations.select("observation_id", F.explode("preds").alias("pred")).join(per, "pred").groupBy("observation_id", "regulation_id", "s", "c").agg(F.sum("k").alias("k"))
     cred = F.when(F.col("s") > 0, F.col("s") / (F.col("s") + F.col("c") + 1)).otherwise(0.3)
-    c = n.join(r.select("regulation_id", "s", "c", F.size("pre_preds").alias("need")), "regulation_id")
-    return c.select("observation_id", "regulation_id", F.round(F.col("k") / F.col("need") * cred, 9).alias("confidence"), (F.col("need") - F.col("k")).alias("missing"))
+    c = n.join(need, "regulation_id", "left").withColumn("need", F.coalesce("need", F.lit(0)))
+    return c.select("observation_id", "regulation_id", F.round(F.col("k") / F.greatest("need", F.lit(1)) * cred, 9).alias("confidence"), (F.col("need") - F.col("k")).alias("missing"))
 
 
 def similar_pairs(sets: DataFrame, key: str, members: str, least: float) -> DataFrame:

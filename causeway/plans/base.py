@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators import explain, reasoning
+from causeway.operators.flatten import rule_patterns as rule_patterns_of
 from causeway.operators.flatten import rule_sides
 from causeway.operators.hierarchy import latest_state
 from causeway.operators.pivot import attribute_key, json_scalar
@@ -20,6 +22,51 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("val", val).drop("s").where("observation_id is not null").distinct().withColumn("sig", F.concat_ws("|", "pred", "val"))
 
 
+def context_entries() -> Column:
+    """The context of an observation as a map of dotted keys, without nulls; a key of `extra` counts where its proper place has nothing."""
+    c = F.col("context")
+    own = {"shift": c.shift, "env.os": c.env.os, "env.arch": c.env.arch, "env.runtime.name": c.env.runtime["name"], "env.runtime.level": c.env.runtime.level.cast("string")}
+    place = F.map_filter(F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    extra = F.map_filter(F.coalesce(c.extra, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull() & ~F.map_contains_key(place, k))
+    return F.when(c.isNotNull(), F.map_concat(place, extra)).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def contexts(spark: SparkSession, d: str) -> DataFrame:
+    """(observation_id, key, value): the distinct context entries of each observation."""
+    o = load(spark, d, "observations").where("observation_id is not null")
+    return o.select("observation_id", F.explode(context_entries()).alias("key", "value")).distinct()
+
+
+def observation_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """(observation_id, goals, known, context): of each observation the goals (its focus, else all its facts), what is known (facts, then context) and its context, in the form of explain.
+
+    Facts without pred or value are none. Copies of a record are equal but for their arrival, so any of them counts.
+    """
+    o = load(spark, d, "observations").where("observation_id is not null").groupBy("observation_id").agg(F.first(F.struct("facts", "focus_facts", "context")).alias("o"))
+    o = o.select("observation_id", "o.facts", "o.focus_facts", "o.context").withColumn("entries", explain.pairs(context_entries()))
+    none = F.array().cast(f"array<{explain.FACT}>")
+
+    def read(facts: str, args) -> Column:
+        def one(f: Column) -> Column:
+            s = json_scalar(f["value"])
+            return F.when(s["kind"] != "null", explain.fact(attribute_key(f["pred"]), F.when(s["kind"] == "string", F.trim(s["text"])).otherwise(s["text"]), args(f)))
+
+        return F.filter(F.transform(facts, one), lambda f: f["pred"].isNotNull())
+
+    facts = F.coalesce(read("facts", lambda f: explain.pairs(f["args"])), none)
+    focus = read("focus_facts", lambda f: F.array().cast(explain.PAIRS))
+    about = F.transform("entries", lambda e: explain.fact(e["k"], e["v"], F.array().cast(explain.PAIRS)))
+    # a focus names facts without their arguments: they are those of the first such fact
+    meant = F.transform(focus, lambda g: F.coalesce(F.get(F.filter(facts, lambda f: (f["pred"] == g["pred"]) & f["val"].eqNullSafe(g["val"])), F.lit(0)), g))
+    return o.select("observation_id", F.coalesce(meant, facts).alias("goals"), F.concat(facts, about).alias("known"), F.col("entries").alias("context"))
+
+
+def rule_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """(regulation_id, score, scope, pre, eff) of the rules that are not retired, in the form of explain."""
+    sets = reasoning.scored(rule_sets(spark, d)).where("status is null or status <> 'retired'").select("regulation_id", "score")
+    return sets.join(rule_patterns_of(_latest(spark, d), "regulation_id", "data"), "regulation_id").select("regulation_id", "score", "scope", "pre", "eff")
+
+
 def rules(spark: SparkSession, d: str) -> DataFrame:
     """(regulation_id, status, kind, s, c, updated_at): the latest state of each rule whose JSON is whole, with its evidence counts."""
     now = _latest(spark, d)
@@ -102,5 +149,11 @@ edges as (
   select a.sig src, b.sig dst, 'causes' kind, max(case when s + c > 0 then s / (s + c) else 0.3 end) weight, cast(sum(s) as bigint) evidence, case when max(case when status = 'confirmed' then 1 else 0 end) = 1 then 'compiled' else 'tentative' end as mode
   from (select distinct regulation_id, sig from rule_facts where side = 'pre') a join (select distinct regulation_id, sig from rule_facts where side = 'eff') b using (regulation_id) join rules r using (regulation_id) where status <> 'retired' and a.sig <> b.sig group by 1, 2
 ),
-story as (select distinct on (id) * from stories where id is not null order by id, arrived_at)
+story as (select distinct on (id) * from stories where id is not null order by id, arrived_at),
+ctx_rows as (select observation_id, unnest([{k: 'shift', v: context.shift}, {k: 'env.os', v: context.env.os}, {k: 'env.arch', v: context.env.arch}, {k: 'env.runtime.name', v: context.env.runtime.name}, {k: 'env.runtime.level', v: cast(context.env.runtime.level as varchar)}]) e from observations where observation_id is not null),
+ctx_own as (select distinct observation_id, e.k k, e.v v from ctx_rows where e.v is not null),
+ctx as (select * from ctx_own union select x.observation_id, x.e.key, x.e.value from (select observation_id, unnest(map_entries(context.extra)) e from observations where observation_id is not null) x left join ctx_own o on o.observation_id = x.observation_id and o.k = x.e.key where x.e.value is not null and o.k is null),
+scope as (select regulation_id, t.key k, json_extract_string(t.value, '$') v from reg_latest, json_each(json_extract(data, '$.scope')) t where json_type(json_extract(data, '$.scope')) = 'OBJECT'),
+goal_rows as (select observation_id, unnest(case when focus_facts is not null then list_transform(focus_facts, lambda x: {'pred': x.pred, 'value': x.value}) else list_transform(facts, lambda x: {'pred': x.pred, 'value': x.value}) end) f from observations where observation_id is not null),
+goals as (select distinct observation_id, pred, val, pred || '|' || val sig from (select observation_id, lower(trim(f.pred)) pred, trim(case when json_type(f.value) = 'VARCHAR' then cast(f.value as json) ->> '$' else f.value end) val from goal_rows where f.pred is not null and f.value is not null and trim(f.value) <> 'null'))
 """

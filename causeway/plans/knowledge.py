@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import text_features as tx
 from causeway.operators import facts as fx
-from causeway.operators import graph, reasoning
+from causeway.operators import explain, graph, reasoning
 from causeway.plans import base
 from causeway.plans.base import SQL
 from causeway.tables import load
@@ -218,7 +218,7 @@ def gra_can_merge(spark, d):
 
 # -- scores and explanation
 
-_SCORE = "least(1.0, greatest(0.01, case kind when 'intervention' then 1.0 when 'quasi_experiment' then 0.8 else 0.5 end * greatest(0.05, greatest(0.05, 1 - exp(-s / 5.0)) * exp(-c)) * least(1.0, 0.4 + 0.05 * (len(pre) + len(eff))) * case status when 'confirmed' then 1.0 when 'hypothesis' then 0.85 when 'candidate' then 0.65 when 'retired' then 0.1 else 0.65 end))"
+_SCORE = "least(1.0, greatest(0.01, case kind when 'intervention' then 1.0 when 'quasi_experiment' then 0.8 else 0.5 end * greatest(0.05, greatest(0.05, 1 - exp(-s / 5.0)) * exp(-c)) * least(1.0, 0.4 + 0.05 * (len(pre) + len(eff))) * case status when 'confirmed' then 1.0 when 'hypothesis' then 0.85 when 'candidate' then 0.65 when 'retired' then 0.1 else 0.8 end))"
 
 
 @query(f"select regulation_id, round({_SCORE}, 9) score, round(greatest(0.05, greatest(0.05, 1 - exp(-s / 5.0)) * exp(-c)), 9) reputation, round(least(1.0, 0.4 + 0.05 * (len(pre) + len(eff))), 9) specificity from rule_sets")
@@ -227,34 +227,27 @@ def exp_rule_scores(spark, d):
     return r.select("regulation_id", F.round("score", 9).alias("score"), F.round(reasoning.reputation(F.col("s"), F.col("c")), 9).alias("reputation"), F.round(reasoning.specificity(F.col("pre"), F.col("eff")), 9).alias("specificity"))
 
 
-@query("select f.observation_id, count(*) n from (select distinct observation_id, sig from facts) f where sig not in (select sig from rule_facts where side = 'eff' and sig is not null) group by 1")
-def exp_unexplained(spark, d):
-    return reasoning.unexplained(base.facts(spark, d).select("observation_id", "sig").distinct(), base.rule_facts(spark, d)).groupBy("observation_id").agg(F.count("*").alias("n"))
-
-
-@query("select o.observation_id, goal, candidates from (select observation_id, f.sig goal, coalesce(n, 0) candidates, row_number() over (partition by observation_id order by coalesce(n, 0), f.sig) rn from (select distinct observation_id, sig from facts) f left join (select sig, count(distinct regulation_id) n from rule_facts where side = 'eff' group by 1) r on r.sig = f.sig) o where rn = 1")
-def exp_choose_goal(spark, d):
-    """The goal of each observation that the fewest rules could derive."""
-    n = base.rule_facts(spark, d).where("side = 'eff'").groupBy("sig").agg(F.count_distinct("regulation_id").alias("n"))
-    f = base.facts(spark, d).select("observation_id", "sig").distinct().join(n, "sig", "left")
-    best = f.groupBy("observation_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("candidates"), F.col("sig").alias("goal"))).alias("b"))
-    return best.select("observation_id", "b.goal", "b.candidates")
+@query()
+def exp_explain(spark, d):
+    """The five best explanations of every observation by the rules that are not retired: at most eight steps, a beam of 20."""
+    return explain.explain(base.observation_patterns(spark, d), base.rule_patterns(spark, d))
 
 
 @query()
-def exp_explain(spark, d):
-    """The five best explanations of every observation by the rules that are not retired, by beam search."""
-    rules = reasoning.scored(base.rule_sets(spark, d).where("status is null or status <> 'retired'")).select("regulation_id", "score", "pre", "eff")
-    return reasoning.explain(base.observation_sets(spark, d).select("observation_id", "sigs"), rules)
+def exp_scored_explain(spark, d):
+    """The ten likeliest chains of each observation: the product of the rules' scores, without costs of length."""
+    t = explain.explain(base.observation_patterns(spark, d), base.rule_patterns(spark, d), beam=30, depth=5, top=10, length_cost=0.0, most_assumptions=5, normalised=False)
+    return t.select("observation_id", "rank", F.round(F.exp("score"), 9).alias("probability"), "rules", "assumed")
 
 
 @query()
 def exp_detect(spark, d):
-    """Observations that no chain explains well enough, with the reason."""
-    best = exp_explain(spark, d).where("rank = 1")
-    poor = (F.col("score") < -2.2) | (F.col("assumed") > 0)
-    reason = F.when(F.col("rules") == "", "no_covering_rule").when(F.col("assumed") > 0, "pre_not_satisfied").otherwise("low_score")
-    return best.where(poor).select("observation_id", reason.alias("reason"), "score")
+    """Observations that no chain explains well enough, with the reason the best one fails by; none where no chain ends."""
+    o = base.observation_patterns(spark, d)
+    best = explain.explain(o, base.rule_patterns(spark, d)).where("rank = 1")
+    poor = F.col("score").isNull() | (F.col("score") < -2.2) | (F.col("assumed") > 0)
+    reason = F.when(F.col("score").isNull(), "no_chain").when(F.col("score") < -2.2, "low_score").when(F.col("assumed") > 0, "pre_not_satisfied").when(F.col("rules") == "", "no_covering_rule").otherwise("unknown")
+    return o.where(F.size("goals") > 0).select("observation_id").join(best, "observation_id", "left").where(poor).select("observation_id", reason.alias("reason"), "score", "assumed")
 
 
 @query(""", c as (select preds, min(observation_id) observation_id from observation_sets where len(preds) > 0 group by 1)
@@ -312,35 +305,6 @@ def exp_merge_conditions(spark, d):
     return e.join(base.rules(spark, d), "regulation_id").groupBy(F.col("sig").alias("eff")).agg(F.count("*").alias("n"), F.sum("s").alias("support")).where("n > 1")
 
 
-@query()
-def exp_refute(spark, d):
-    """Placebo test: each rule's effect is compared with its rate among all observations of the rule's predicates.
-
-    passed: the effect is at least twice as frequent when the preconditions hold as over all.
-    """
-    rules, obs = base.rule_sets(spark, d), base.observation_sets(spark, d)
-    f = base.facts(spark, d)
-    hits = fx.satisfying(rules, obs, f).join(rules.select("regulation_id", "eff"), "regulation_id").join(obs.select("observation_id", "sigs"), "observation_id")
-    real = hits.groupBy("regulation_id").agg(F.count("*").alias("n"), F.count_if(F.arrays_overlap("sigs", "eff")).alias("k"))
-    total = obs.count()
-    base_rate = f.select("observation_id", "sig").distinct().groupBy("sig").agg((F.count("*") / F.lit(max(1, total))).alias("rate"))
-    placebo = rules.select("regulation_id", F.explode("eff").alias("sig")).join(base_rate, "sig", "left").groupBy("regulation_id").agg(F.max(F.coalesce("rate", F.lit(0.0))).alias("placebo"))
-    return real.join(placebo, "regulation_id").select("regulation_id", "n", "k", F.round("placebo", 9).alias("placebo"), (F.col("k") / F.col("n") >= 2 * F.col("placebo")).alias("passed"))
-
-
-@query("select o.observation_id, r.regulation_id, round(len(list_intersect(o.preds, r.pre_preds)) / len(r.pre_preds) * case when s > 0 then s / (s + c + 1) else 0.3 end, 9) confidence from (select * from observation_sets where project = 'quartz-works') o join (select * from rule_sets where len(pre_preds) > 0 and status = 'confirmed') r on len(list_intersect(o.preds, r.pre_preds)) > 0")
-def exp_diagnosis_candidates(spark, d):
-    """Confirmed rules that the known predicates of one project's observations point to, with their confidence."""
-    o = base.observation_sets(spark, d).where("project = 'quartz-works'")
-    return reasoning.candidates(o, base.rule_sets(spark, d).where("status = 'confirmed'")).drop("missing")
-
-
-@query()
-def exp_diagnosis_candidates_all(spark, d):
-    """exp_diagnosis_candidates over the observations of all projects and of none, by all rules that are not retired."""
-    return reasoning.candidates(base.observation_sets(spark, d), base.rule_sets(spark, d).where("status is null or status <> 'retired'")).drop("missing")
-
-
 @query("select pred, count(distinct regulation_id) n from rule_facts where side = 'pre' group by 1 order by n desc, pred limit 5")
 def exp_first_questions(spark, d):
     return base.rule_facts(spark, d).where("side = 'pre'").groupBy("pred").agg(F.count_distinct("regulation_id").alias("n")).orderBy(F.desc("n"), "pred").limit(5)

@@ -181,62 +181,6 @@ def gra_invalidate_shortcuts(spark, d):
 # -- rules: refutation, causes, evaluation
 
 
-@query()
-def exp_subset_test(spark, d):
-    """Support ratio of each rule on a 70 % sample of observations drawn by hash against the whole; passed within 0.3."""
-    rules, obs = base.rule_sets(spark, d), base.observation_sets(spark, d)
-    hits = fx.satisfying(rules, obs, base.facts(spark, d)).join(rules.select("regulation_id", "eff"), "regulation_id").join(obs.select("observation_id", "sigs"), "observation_id")
-    inside = reasoning.seeded_index(42, F.lit(10), F.col("observation_id")) < 7
-    some = F.arrays_overlap("sigs", "eff")
-    g = hits.groupBy("regulation_id").agg(F.count("*").alias("n"), F.count_if(some).alias("k"), F.count_if(inside).alias("n7"), F.count_if(inside & some).alias("k7"))
-    ok = (F.col("n") < 3) | (F.col("n7") == 0) | (F.abs(F.col("k") / F.col("n") - F.col("k7") / F.greatest("n7", F.lit(1))) <= 0.3)
-    return g.select("regulation_id", "n", "k", "n7", "k7", ok.alias("passed"))
-
-
-@query()
-def exp_permutation_test(spark, d):
-    """Each rule's support with the facts' values permuted within their predicate; passed if it falls below half of the real one.
-
-    Values move to the next observation in hash order of the same predicate, the
-    last to the first, so every predicate keeps its distribution.
-    """
-    rules, f = base.rule_sets(spark, d), base.facts(spark, d).select("observation_id", "pred", "val", "ord")
-    p = reasoning.permuted(f).withColumn("sig", F.concat_ws("|", "pred", "val"))
-    p = materialize(p, "permuted")
-    sets = p.groupBy("observation_id").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
-    count = lambda o, facts, n: fx.satisfying(rules, o, facts).join(rules.select("regulation_id", "eff"), "regulation_id").join(o.select("observation_id", "sigs"), "observation_id").where(F.arrays_overlap("sigs", "eff")).groupBy("regulation_id").agg(F.count("*").alias(n))
-    real = count(base.observation_sets(spark, d), base.facts(spark, d), "k")
-    fake = count(sets, p, "k_permuted")
-    both = real.join(fake, "regulation_id", "left").select("regulation_id", "k", F.coalesce("k_permuted", F.lit(0)).alias("k_permuted"))
-    return both.withColumn("passed", F.col("k_permuted") < 0.5 * F.col("k"))
-
-
-_CAUSES = """, o as (select * from (select distinct observation_id, pred, val, sig from facts where project = 'quartz-works')),
-e as (select distinct regulation_id, sig from rule_facts where side = 'eff'), hit as (select o.observation_id, e.regulation_id, count(*) k from (select distinct observation_id, sig from o) o join e on e.sig = o.sig group by 1, 2),
-n as (select regulation_id, count(*) n from e group by 1)
-select h.observation_id, h.regulation_id, round(k / n.n * s / (s + c + 1), 9) score from hit h join n using (regulation_id) join rules using (regulation_id)"""
-
-
-def _causes(spark, d, facts):
-    o = facts.select("observation_id", "sig").distinct()
-    e = base.rule_facts(spark, d).where("side = 'eff'").select("regulation_id", "sig").distinct()
-    hit = o.join(e, "sig").groupBy("observation_id", "regulation_id").agg(F.count("*").alias("k"))
-    n = e.groupBy("regulation_id").agg(F.count("*").alias("n"))
-    return hit.join(n, "regulation_id").join(base.rules(spark, d), "regulation_id").select("observation_id", "regulation_id", F.round(F.col("k") / F.col("n") * F.col("s") / (F.col("s") + F.col("c") + 1), 9).alias("score"))
-
-
-@query(_CAUSES)
-def exp_suggest_causes(spark, d):
-    """Rules whose effects an observation of one project shows, by share of effects times credibility."""
-    return _causes(spark, d, base.facts(spark, d).where("project = 'quartz-works'"))
-
-
-@query()
-def exp_suggest_causes_all(spark, d):
-    """exp_suggest_causes over the observations of all projects and of none."""
-    return _causes(spark, d, base.facts(spark, d))
-
-
 @query("select problem_class_id, w word, n from (select problem_class_id, w, count(distinct id) n, any_value(t) t from (select distinct id, problem_class_id, unnest(list_distinct(list_filter(string_split(lower(regexp_replace(raw_input, '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda x: len(x) > 2))) w from stories where problem_class_id is not null and raw_input is not null) join (select problem_class_id, count(distinct id) t from stories where raw_input is not null group by 1) using (problem_class_id) group by 1, 2) where n >= 2 and n / t >= 0.5", False)
 def exp_analyze_batch(spark, d):
     """Words that at least half of the stories of a problem class have in common."""
@@ -246,25 +190,6 @@ def exp_analyze_batch(spark, d):
     return w.join(t, "problem_class_id").where("n >= 2 and n / t >= 0.5").select("problem_class_id", "word", "n")
 
 
-@query("select observation_id, case when best > 0.6 and missing = 0 then 'converged' when best is null then 'insufficient' else 'gathering' end stage from (select o.observation_id, max(round(len(list_intersect(o.preds, r.pre_preds)) / len(r.pre_preds) * case when s > 0 then s / (s + c + 1) else 0.3 end, 9)) best, min(len(r.pre_preds) - len(list_intersect(o.preds, r.pre_preds))) missing from (select * from observation_sets where project = 'quartz-works') o left join (select * from rule_sets where len(pre_preds) > 0 and status = 'confirmed') r on len(list_intersect(o.preds, r.pre_preds)) > 0 group by 1)")
-def exp_diagnose(spark, d):
-    """How far the diagnosis of each observation of one project has come, by confirmed rules."""
-    o = base.observation_sets(spark, d).where("project = 'quartz-works'")
-    return _stages(o, base.rule_sets(spark, d).where("status = 'confirmed'"))
-
-
-@query()
-def exp_diagnose_all(spark, d):
-    """exp_diagnose over the observations of all projects and of none, by all rules that are not retired."""
-    return _stages(base.observation_sets(spark, d), base.rule_sets(spark, d).where("status is null or status <> 'retired'"))
-
-
-def _stages(o, r):
-    best = reasoning.candidates(o, r).groupBy("observation_id").agg(F.max("confidence").alias("best"), F.min("missing").alias("missing"))
-    stage = F.when((F.col("best") > 0.6) & (F.col("missing") == 0), "converged").when(F.col("best").isNull(), "insufficient").otherwise("gathering")
-    return o.select("observation_id").join(best, "observation_id", "left").select("observation_id", stage.alias("stage"))
-
-
 @query("select observation_id, count(*) up from (select distinct observation_id, pred from facts where lower(val) in ('true', 'improved', 'fixed', 'resolved') or contains(lower(val), 'improv')) group by 1")
 def prj_improved(spark, d):
     v = F.lower("val")

@@ -80,52 +80,6 @@ def test_similar_pairs_brute(spark):
     assert leaders == lead
 
 
-def test_explain_small(spark):
-    obs = spark.createDataFrame([("o", ["e|1", "k|1"]), ("empty", []), ("alone", ["z|1"])], "observation_id string, sigs array<string>")
-    rules = spark.createDataFrame([("r1", 0.9, ["k|1"], ["e|1"]), ("r2", 0.5, ["m|1"], ["e|1"]), ("r3", 0.8, [], ["k|1"])], "regulation_id string, score double, pre array<string>, eff array<string>")
-    best = {r["observation_id"]: r for r in reasoning.explain(obs, rules).where("rank = 1").collect()}
-    assert best["o"]["rules"] == "r1,r3" and best["o"]["assumed"] == 0 and best["alone"]["assumed"] == 1 and "empty" not in best
-
-
-def test_explain_closes_every_goal(spark):
-    """Without a limit but the beam: six goals, a chain of twelve rules, five ranks, and all chains of small random rules."""
-    import math
-    import random
-
-    obs = [("many", [f"g{i}|1" for i in range(6)]), ("deep", ["c00|1"])]
-    rules = [(f"r{i}", 0.9, [], [f"g{i}|1"]) for i in range(6)] + [(f"s{i:02d}", 0.9, [f"c{i + 1:02d}|1"] if i < 11 else [], [f"c{i:02d}|1"]) for i in range(12)]
-    shape = "observation_id string, sigs array<string>", "regulation_id string, score double, pre array<string>, eff array<string>"
-    got = reasoning.explain(spark.createDataFrame(obs, shape[0]), spark.createDataFrame(rules, shape[1])).collect()
-    best = {r["observation_id"]: r for r in got if r["rank"] == 1}
-    assert best["many"]["assumed"] == best["deep"]["assumed"] == 0 and len(best["deep"]["rules"].split(",")) == 12
-    assert sum(r["observation_id"] == "many" for r in got) == 5
-
-    rng = random.Random(3)
-    names = "abcdefgh"
-    rules = [(f"r{i}", rng.uniform(0.2, 1), rng.sample(names, rng.randrange(0, 3)), rng.sample(names[:5], rng.randrange(1, 3))) for i in range(6)]
-    obs = [(f"o{i}", sorted(rng.sample(names, rng.randrange(1, 5)))) for i in range(8)]
-    heads = {e for r in rules for e in r[3]}
-
-    def ends(known, open_, closed, used, total, assumed):
-        for g in sorted(open_ - heads):
-            open_, closed, total, assumed = open_ - {g}, closed | {g}, total - reasoning.ASSUMPTION_COST, assumed + 1
-        if not open_:
-            yield round(total / max(1, len(used)), 9), ",".join(used), assumed
-            return
-        g = min(open_)
-        rest, closed = open_ - {g}, closed | {g}
-        yield from ends(known, rest, closed, used, total - reasoning.ASSUMPTION_COST, assumed + 1)
-        for k, score, pre, eff in rules:
-            if g in eff:
-                yield from ends(known, rest | (set(pre) - known - closed), closed, [*used, k], total + math.log(score) - reasoning.RULE_COST, assumed)
-
-    got = reasoning.explain(spark.createDataFrame(obs, shape[0]), spark.createDataFrame(rules, shape[1]), beam=100000, top=100000).collect()
-    for k, sigs in obs:
-        want = sorted(set(ends(set(sigs), set(sigs), set(), [], 0.0, 0)), key=lambda x: (-x[0], x[1], x[2]))
-        have = [(r["rules"], r["assumed"]) for r in sorted((r for r in got if r["observation_id"] == k), key=lambda r: r["rank"])]
-        assert sorted(have) == sorted((x[1], x[2]) for x in want) and have[0] == want[0][1:]
-
-
 def test_store_and_audit(spark, tmp_path):
     s = stores.ObjectStore(spark, str(tmp_path / "s"), "id", "seq")
     s.save(spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), (None, 1, "x")], "id string, seq int, v string"))
