@@ -43,6 +43,18 @@ def scope_compatible(scope: Column, context: Column) -> Column:
     return F.coalesce(F.forall(F.map_entries(scope), lambda e: context[e["key"]].eqNullSafe(e["value"])), F.lit(True))
 
 
+def improved(val: Column) -> Column:
+    """Whether a value says that something got better."""
+    low = F.lower(val)
+    return low.isin("true", "improved", "fixed", "resolved") | low.contains("improv")
+
+
+def degraded(val: Column) -> Column:
+    """Whether a value says that something got worse."""
+    low = F.lower(val)
+    return low.isin("false", "degraded", "broken", "failed") | low.contains("degrad") | low.contains("fail")
+
+
 def subset(small: Column, large: Column) -> Column:
     return F.size(F.array_except(small, large)) == 0
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.operators.facts import jaccard
 from causeway.session import materialize
+from causeway.skew import hot_keys, salted_join
 
 # Weights of evidence kinds and of rule states.
 EVIDENCE_WEIGHTS = {"intervention": 1.0, "quasi_experiment": 0.8, "observational": 0.5}
@@ -138,7 +139,9 @@ def chain_compositions(rule_sets: DataFrame) -> DataFrame:
     """
     a = rule_sets.select(F.col("regulation_id").alias("first"), F.col("pre").alias("pre1"), F.col("eff").alias("eff1"), F.col("s").alias("s1"), F.explode("eff").alias("bridge"))
     b = rule_sets.select(F.col("regulation_id").alias("second"), F.col("pre").alias("pre2"), F.col("eff").alias("eff2"), F.col("s").alias("s2"), F.explode("pre").alias("bridge"))
-    j = a.join(b, "bridge").where("first <> second").drop("bridge").distinct()
+    # a frequent signature makes many pairs: its rules are spread over tasks
+    hot = hot_keys(a, ["bridge"], least=1000)
+    j = salted_join(a, b, ["bridge"], hot=hot).where("first <> second").drop("bridge").distinct()
     pre = F.array_sort(F.array_union("pre1", F.array_except("pre2", "eff1")))
     return j.select("first", "second", F.array_join(pre, ";").alias("pre"), F.array_join("eff2", ";").alias("eff"), F.least("s1", "s2").alias("support"))
 

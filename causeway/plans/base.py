@@ -67,6 +67,11 @@ def rule_patterns(spark: SparkSession, d: str) -> DataFrame:
     return sets.join(rule_patterns_of(_latest(spark, d), "regulation_id", "data"), "regulation_id").select("regulation_id", "score", "scope", "pre", "eff")
 
 
+def rule_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """(regulation_id, scope): the scope of each rule as sorted pairs."""
+    return rule_patterns_of(_latest(spark, d), "regulation_id", "data").select("regulation_id", "scope")
+
+
 def rules(spark: SparkSession, d: str) -> DataFrame:
     """(regulation_id, status, kind, s, c, updated_at): the latest state of each rule whose JSON is whole, with its evidence counts."""
     now = _latest(spark, d)

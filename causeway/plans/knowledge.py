@@ -10,6 +10,8 @@ from causeway.operators import facts as fx
 from causeway.operators import explain, graph, reasoning
 from causeway.plans import base
 from causeway.plans.base import SQL
+from causeway.session import materialize
+from causeway.skew import ranked
 from causeway.tables import load
 
 Q: dict = {}
@@ -169,27 +171,11 @@ def gra_stats(spark, d):
     return base.edges(spark, d).groupBy("mode").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 9).alias("mean_weight"), F.sum("evidence").alias("evidence"))
 
 
-@query("select a.sig || ' & ' || b.sig pair, count(*) n from (select distinct observation_id, sig from facts where val in ('true', 'false')) a join (select distinct observation_id, sig from facts where val in ('true', 'false')) b on a.observation_id = b.observation_id and a.sig < b.sig group by 1 having count(*) >= 2")
+@query(", atoms as (select observation_id, sig from facts union select observation_id, k || '|' || v from ctx) select a.sig || ' & ' || b.sig pair, count(*) n from atoms a join atoms b on a.observation_id = b.observation_id and a.sig < b.sig group by 1")
 def gra_ingest_cooccurrence(spark, d):
-    """Co-occurrence edges between the facts of one observation."""
-    f = base.facts(spark, d).where(F.col("val").isin("true", "false")).groupBy("observation_id").agg(F.collect_set("sig").alias("sigs"))
-    return fx.pair_counts(f, "observation_id", "sigs").where("n >= 2").select(F.concat("a", F.lit(" & "), "b").alias("pair"), "n")
-
-
-@query()
-def gra_ingest_cooccurrence_all(spark, d):
-    """Co-occurrence edges between all facts and context entries of one observation, single ones too.
-
-    An entry of the context counts beside the facts; where both have the same text they are one atom.
-    """
+    """Co-occurrence edges between all facts and context entries of one observation, single ones too; where both have the same text they are one atom."""
     facts = base.facts(spark, d).select("observation_id", "sig")
-    o = load(spark, d, "observations").where("observation_id is not null")
-    c = F.col("context")
-    entries = F.map_concat(
-        F.create_map(*[x for k, v in (("shift", c.shift), ("env.os", c.env.os), ("env.arch", c.env.arch), ("env.runtime.name", c.env.runtime["name"]), ("env.runtime.level", c.env.runtime.level.cast("string"))) for x in (F.lit(k), v)]),
-        F.coalesce(F.transform_keys(c.extra, lambda k, _: F.concat(F.lit("extra."), k)), F.create_map().cast("map<string,string>")),
-    )
-    context = o.select("observation_id", F.explode(entries)).where("value is not null").select("observation_id", F.concat_ws("|", "key", "value").alias("sig"))
+    context = base.contexts(spark, d).select("observation_id", F.concat_ws("|", "key", "value").alias("sig"))
     sets = facts.unionByName(context).groupBy("observation_id").agg(F.collect_set("sig").alias("sigs"))
     return fx.pair_counts(sets, "observation_id", "sigs").select(F.concat("a", F.lit(" & "), "b").alias("pair"), "n")
 
@@ -250,10 +236,14 @@ def exp_detect(spark, d):
     return o.where(F.size("goals") > 0).select("observation_id").join(best, "observation_id", "left").where(poor).select("observation_id", reason.alias("reason"), "score", "assumed")
 
 
-@query(""", c as (select preds, min(observation_id) observation_id from observation_sets where len(preds) > 0 group by 1)
-select a.observation_id a, b.observation_id b, round(len(list_intersect(a.preds, b.preds)) / len(list_distinct(list_concat(a.preds, b.preds))), 9) similarity from c a join c b on a.observation_id < b.observation_id and len(list_intersect(a.preds, b.preds)) / len(list_distinct(list_concat(a.preds, b.preds))) >= 0.8""")
+@query(""", c as (select preds, min(observation_id) observation_id, count(*) n from observation_sets where len(preds) > 0 group by 1)
+select a.observation_id a, b.observation_id b, a.n a_size, b.n b_size, round(len(list_intersect(a.preds, b.preds)) / len(list_distinct(list_concat(a.preds, b.preds))), 9) similarity from c a join c b on a.observation_id < b.observation_id and len(list_intersect(a.preds, b.preds)) / len(list_distinct(list_concat(a.preds, b.preds))) >= 0.8""")
 def exp_similar_observations(spark, d):
-    return reasoning.similar_pairs(base.observation_sets(spark, d), "observation_id", "preds", 0.8)
+    """Pairs of alike predicate sets, each named by its first observation, with how many observations have it; exp_observation_classes names them all."""
+    sets = base.observation_sets(spark, d)
+    size = sets.where(F.size("preds") > 0).groupBy("preds").agg(F.min("observation_id").alias("id"), F.count("*").alias("n")).select("id", "n")
+    pairs = reasoning.similar_pairs(sets, "observation_id", "preds", 0.8)
+    return pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("a_size")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("b_size")), "b").select("a", "b", "a_size", "b_size", "similarity")
 
 
 @query()
@@ -262,10 +252,11 @@ def exp_leader_clusters(spark, d):
     return reasoning.led(base.observation_sets(spark, d), "observation_id", "preds", 0.8)
 
 
-@query()
+@query("select observation_id, min(observation_id) over (partition by preds) class_id, count(*) over (partition by preds) size from observation_sets where len(preds) > 0")
 def exp_observation_classes(spark, d):
-    """The class of every observation with facts: the smallest id with the same predicates, which stands for it in exp_similar_observations."""
-    return reasoning.classes(base.observation_sets(spark, d), "observation_id", "preds").select("observation_id", "class_id")
+    """The class of every observation with facts: the smallest id with the same predicates, which stands for it in exp_similar_observations, and how many have it."""
+    sets = base.observation_sets(spark, d).where(F.size("preds") > 0).select("observation_id", "preds")
+    return sets.join(sets.groupBy("preds").agg(F.min("observation_id").alias("class_id"), F.count("*").alias("size")), "preds").select("observation_id", "class_id", "size")
 
 
 _INDUCE = """, ex as (select distinct sig from rule_facts where side = 'eff' and sig is not null), u as (select distinct project, observation_id, sig from facts where project is not null and sig not in (select sig from ex)),
@@ -294,6 +285,15 @@ def exp_promote(spark, d):
 _CHAINED = """select distinct a.regulation_id first, b.regulation_id as second, array_to_string(list_sort(list_distinct(list_concat(a.pre, list_filter(b.pre, lambda x: not list_contains(a.eff, x))))), ';') pre, array_to_string(b.eff, ';') eff, least(a.s, b.s) support from rule_sets a join rule_sets b on a.regulation_id <> b.regulation_id and len(list_intersect(a.eff, b.pre)) > 0"""
 
 
+@query(f"select pre, eff, min(first || '>' || second) chain from ({_CHAINED}) x where (pre, eff) not in (select array_to_string(pre, ';'), array_to_string(eff, ';') from rule_sets) group by 1, 2 order by chain, pre, eff limit 20")
+def exp_discover_compositions(spark, d):
+    """The first twenty compositions whose preconditions and effects are those of no rule yet, repeats left out; all are of the level above their parts."""
+    sets = base.rule_sets(spark, d)
+    have = sets.select(F.array_join("pre", ";").alias("pre"), F.array_join("eff", ";").alias("eff")).distinct()
+    new = reasoning.chain_compositions(sets).join(have, ["pre", "eff"], "left_anti")
+    return new.groupBy("pre", "eff").agg(F.min(F.concat_ws(">", "first", "second")).alias("chain")).orderBy("chain", "pre", "eff").limit(20)
+
+
 @query(_CHAINED)
 def exp_chain_compose(spark, d):
     return reasoning.chain_compositions(base.rule_sets(spark, d))
@@ -324,21 +324,21 @@ def exp_suggest_exploration(spark, d):
 
 
 _INTER = """, p as (select distinct pred from facts), co as (select a.p a, b.p b, count(*) n from (select observation_id, unnest(preds) p from observation_sets) a join (select observation_id, unnest(preds) p from observation_sets) b on a.observation_id = b.observation_id and a.p < b.p group by 1, 2)
-select a.pred a, count(*) unseen from p a join p b on a.pred < b.pred left join co on co.a = a.pred and co.b = b.pred where coalesce(n, 0) = 0 group by 1"""
+select a.pred a, b.pred b, coalesce(n, 0) n, round(1.0 / (coalesce(n, 0) + 1), 9) score from p a join p b on a.pred < b.pred left join co on co.a = a.pred and co.b = b.pred where coalesce(n, 0) <= 1 order by n, a, b limit 5"""
 
 
 @query(_INTER)
 def exp_suggest_interaction(spark, d):
-    """For each parameter the number of later ones it was never seen with: by counting, without making the unseen pairs."""
-    p = base.facts(spark, d).select("pred").distinct()
-    # ranks in two levels, by first letter and within it, so that no task sorts all names
-    p = p.withColumn("c", F.substring("pred", 1, 1))
-    per = p.groupBy("c").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("h"))  # a row per character
-    after = per.select(F.explode("h").alias("x"), "h").select("x.c", F.aggregate(F.filter("h", lambda y: y["c"] > F.col("x.c")), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("after"))
-    here = F.count("*").over(Window.partitionBy("c").orderBy(F.desc("pred")).rowsBetween(Window.unboundedPreceding, -1))
-    later = p.withColumn("here", here).join(after, "c").select("pred", (F.col("here") + F.col("after")).alias("later"))
-    seen = fx.pair_counts(base.observation_sets(spark, d), "observation_id", "preds").groupBy(F.col("a").alias("pred")).agg(F.count("*").alias("seen"))
-    return later.join(seen, "pred", "left").select(F.col("pred").alias("a"), (F.col("later") - F.coalesce("seen", F.lit(0))).alias("unseen")).where("unseen > 0")
+    """The five pairs of parameters that were met least, once at most: by counting the unmet ones of each parameter, of which only the first five parameters are then paired with all."""
+    p = materialize(base.facts(spark, d).select("pred").distinct(), "parameters")
+    later = ranked(p.withColumn("one", F.lit(1)), ["one"], ["pred"], "place")
+    n = p.count()
+    met = materialize(fx.pair_counts(base.observation_sets(spark, d), "observation_id", "preds"), "met")
+    seen = met.groupBy(F.col("a").alias("pred")).agg(F.count("*").alias("seen"))
+    first = later.join(seen, "pred", "left").where(F.lit(n) - F.col("place") - F.coalesce("seen", F.lit(0)) > 0).orderBy("pred").limit(5).select(F.col("pred").alias("a"))
+    unmet = p.join(F.broadcast(first), F.col("pred") > F.col("a")).select("a", F.col("pred").alias("b")).join(met, ["a", "b"], "left_anti").select("a", "b", F.lit(0).cast("long").alias("n"))  # five rows against all
+    few = unmet.unionByName(met.where("n = 1").select("a", "b", "n"))
+    return few.orderBy("n", "a", "b").limit(5).select("a", "b", "n", F.round(1.0 / (F.col("n") + 1), 9).alias("score"))
 
 
 @query("select regulation_id, s from rules where c = 0 and s >= 3 order by regulation_id limit 5")

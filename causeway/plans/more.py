@@ -11,6 +11,7 @@ from causeway.operators import facts as fx
 from causeway.plans import base, problems_sql, texts
 from causeway.plans.base import SQL
 from causeway.session import materialize
+from causeway.skew import ranked
 from causeway.tables import load
 
 Q: dict = {}
@@ -192,8 +193,12 @@ def exp_analyze_batch(spark, d):
 
 @query("select observation_id, count(*) up from (select distinct observation_id, pred from facts where lower(val) in ('true', 'improved', 'fixed', 'resolved') or contains(lower(val), 'improv')) group by 1")
 def prj_improved(spark, d):
-    v = F.lower("val")
-    return base.facts(spark, d).where(v.isin("true", "improved", "fixed", "resolved") | v.contains("improv")).select("observation_id", "pred").distinct().groupBy("observation_id").agg(F.count("*").alias("up"))
+    return base.facts(spark, d).where(fx.improved(F.col("val"))).select("observation_id", "pred").distinct().groupBy("observation_id").agg(F.count("*").alias("up"))
+
+
+@query("select observation_id, count(*) down from (select distinct observation_id, pred from facts where lower(val) in ('false', 'degraded', 'broken', 'failed') or contains(lower(val), 'degrad') or contains(lower(val), 'fail')) group by 1")
+def prj_degraded(spark, d):
+    return base.facts(spark, d).where(fx.degraded(F.col("val"))).select("observation_id", "pred").distinct().groupBy("observation_id").agg(F.count("*").alias("down"))
 
 
 @query("select distinct observation_id, coalesce(nullif(array_to_string(raw_refs, ' '), ''), project, '') raw_input from observations where observation_id is not null", False)
@@ -254,12 +259,14 @@ def txt_keyword_score(spark, d):
     return load(spark, d, "documents").where(F.col("text").isNotNull() & some).select("doc_id", F.round(10.0 * total / (3 * sum(words.values())), 1).alias("score"))
 
 
-@query()
+@query("""with s as (select distinct on (id) id, client, outcome from stories where id is not null order by id, arrived_at), k as (select * from s where client is not null and outcome is not null),
+p as (select *, row_number() over (partition by client order by id) <= ceil(0.8 * count(*) over (partition by client)) train from k), m as (select client, arg_max(outcome, (n, outcome)) guess from (select client, outcome, count(*) n from p where train group by 1, 2) group by 1)
+select count(*) n, count(guess) hits, round(avg(case when guess = outcome then 1.0 else 0.0 end), 6) accuracy from p left join m using (client) where not train""", False)
 def ent_evaluate(spark, d):
     """Learn the most common outcome of each client on the training part of the stories and score it on the rest."""
     s = base.stories(spark, d).where("client is not null and outcome is not null").select("id", "client", "outcome")
-    w = Window.partitionBy("client")
-    split = s.withColumn("train", F.row_number().over(w.orderBy("id")) <= F.ceil(0.8 * F.count("*").over(w)))
+    size = s.groupBy("client").agg(F.count("*").alias("size"))
+    split = materialize(ranked(s, ["client"], ["id"], "rn").join(size, "client").withColumn("train", F.col("rn") <= F.ceil(0.8 * F.col("size"))), "split")
     model = split.where("train").groupBy("client", "outcome").agg(F.count("*").alias("n")).groupBy("client").agg(F.max_by("outcome", F.struct("n", "outcome")).alias("guess"))
     return split.where("not train").join(model, "client", "left").agg(F.count("*").alias("n"), F.count("guess").alias("hits"), F.round(F.avg(F.when(F.col("guess") == F.col("outcome"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
 

@@ -11,6 +11,7 @@ from causeway.operators.orphans import Reference
 from causeway.plans import base
 from causeway.plans.base import SQL
 from causeway.session import materialize
+from causeway.skew import hot_keys, ranked, salted_join
 from causeway.tables import load
 
 Q: dict = {}
@@ -197,22 +198,25 @@ def prj_argument_kinds(spark, d):
     return t.groupBy(F.when(fx.is_wildcard(slot), "wildcard").when(fx.is_variable(slot), "variable").otherwise("constant").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("select distinct o.observation_id, e.k pred, e.v val from (select observation_id, unnest([{k: 'shift', v: context.shift}, {k: 'env.os', v: context.env.os}, {k: 'env.arch', v: context.env.arch}]) e from observations where observation_id is not null) o where e.v is not null")
+@query("select observation_id, k pred, v val from ctx", True)
 def prj_context_to_facts(spark, d):
-    c = F.create_map(F.lit("shift"), F.col("context.shift"), F.lit("env.os"), F.col("context.env.os"), F.lit("env.arch"), F.col("context.env.arch"))
-    return load(spark, d, "observations").where("observation_id is not null").select("observation_id", F.explode(c).alias("pred", "val")).where("val is not null").distinct()
+    """All context entries of each observation as facts."""
+    return base.contexts(spark, d).select("observation_id", F.col("key").alias("pred"), F.col("value").alias("val"))
 
 
-@query("select r.regulation_id, count(distinct o.observation_id) n from (select regulation_id, json_extract_string(data, '$.scope.\"env.os\"') os from reg_latest) r join observations o on r.os is null or o.context.env.os = r.os where o.observation_id is not null group by 1", True)
+@query(""", n as (select count(distinct observation_id) n from observations where observation_id is not null), need as (select r.regulation_id, count(s.k) need from reg_latest r left join scope s using (regulation_id) group by 1),
+hit as (select regulation_id, count(*) n from (select s.regulation_id, c.observation_id from scope s join ctx c on c.k = s.k and c.v = s.v join need using (regulation_id) group by 1, 2, need having count(*) = need) group by 1)
+select regulation_id, case when need = 0 then (select n from n) else coalesce(hit.n, 0) end n from need left join hit using (regulation_id)""", True)
 def prj_scope_compatible(spark, d):
-    """For each rule the number of observations its scope fits: counted per operating system, then joined."""
-    os = F.get_json_object("data", "$.scope['env.os']")
-    r = base._latest(spark, d).where(F.get_json_object("data", "$").isNotNull()).select("regulation_id", os.alias("os"))
-    o = load(spark, d, "observations").where("observation_id is not null").groupBy("observation_id", F.col("context.env.os").alias("os")).agg(F.lit(1).alias("one"))
-    per = o.groupBy("os").agg(F.count_distinct("observation_id").alias("n")).where("os is not null")
-    whole = o.agg(F.count_distinct("observation_id").alias("n")).withColumn("os", F.lit("*"))
-    sizes = per.unionByName(whole.select("os", "n"))
-    return r.withColumn("os", F.coalesce("os", F.lit("*"))).join(sizes, "os").select("regulation_id", "n")
+    """For each rule the number of observations its scope fits: counted per distinct scope, then given to its rules."""
+    r = base.rule_scopes(spark, d)
+    sets = materialize(base.contexts(spark, d).groupBy("observation_id").agg(F.array_sort(F.collect_set(F.concat_ws("|", "key", "value"))).alias("sigs")), "contexts")
+    scopes = r.where(F.size("scope") > 0).groupBy(F.transform("scope", lambda e: F.concat_ws("|", e["k"], e["v"])).alias("pre")).agg(F.min("regulation_id").alias("regulation_id"))
+    facts = sets.select("observation_id", F.explode("sigs").alias("sig"))
+    hit = fx.satisfying(scopes, sets, facts).groupBy("regulation_id").agg(F.count("*").alias("k")).join(scopes, "regulation_id").select("pre", "k")
+    whole = load(spark, d, "observations").agg(F.count_distinct("observation_id").alias("n")).first()["n"]  # one value
+    own = r.withColumn("pre", F.transform("scope", lambda e: F.concat_ws("|", e["k"], e["v"])))
+    return own.join(hit, "pre", "left").select("regulation_id", F.when(F.size("pre") == 0, F.lit(whole)).otherwise(F.coalesce("k", F.lit(0))).alias("n"))
 
 
 @query("select r.regulation_id, count(*) support from (select regulation_id, pre from rule_sets where len(pre) > 0) r join observation_sets o on list_has_all(o.sigs, r.pre) group by 1", True)
@@ -230,13 +234,12 @@ def exp_validate_rules(spark, d):
     return hits.groupBy("regulation_id").agg(F.count_if(some).alias("support"), F.count_if(~some).alias("conflicts"))
 
 
-@query("select a.regulation_id left_id, b.regulation_id right_id from rule_sets a join rule_sets b on a.pre = b.pre and a.eff = b.eff and a.regulation_id < b.regulation_id", True)
+@query("select first, regulation_id as copy from (select regulation_id, min(regulation_id) over (partition by pre, eff) first from rule_sets) where first <> regulation_id", True)
 def prj_duplicate_rules(spark, d):
-    t = base.rule_sets(spark, d).withColumn("k", F.xxhash64("pre", "eff")).select("regulation_id", "pre", "eff", "k")
-    # every copy is linked to the first of its class, and only classes are joined
-    first = t.groupBy("pre", "eff").agg(F.array_sort(F.collect_list("regulation_id")).alias("ids")).where(F.size("ids") > 1)
-    pairs = F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("left_id"), y.alias("right_id")))))
-    return first.select(F.explode(pairs).alias("p")).select("p.left_id", "p.right_id")
+    """Each rule that repeats another's preconditions and effects, with the first of them: two rules are equal exactly if they have one first."""
+    t = base.rule_sets(spark, d).select("regulation_id", "pre", "eff")
+    first = t.groupBy("pre", "eff").agg(F.min("regulation_id").alias("first"))
+    return t.join(first, ["pre", "eff"]).where("first <> regulation_id").select("first", F.col("regulation_id").alias("copy"))
 
 
 # -- time
@@ -340,10 +343,15 @@ def agg_discriminative_patterns(spark, d):
     return s.where("lift > 1").withColumn("rank", rank.cast("long")).where("rank <= 5").select("project", "sig", F.round("support", 9).alias("support"), F.round("lift", 9).alias("lift"), "rank")
 
 
-@query("select project, count(distinct context.shift) shifts, min(context.shift) shift from observations where project is not null group by 1 having count(distinct context.shift) = 1")
+@query(""", cl as (select * from (select *, count(*) over (partition by cluster_key) n from (select observation_id, array_to_string(preds, '+') || '@' || coalesce(project, '') cluster_key from observation_sets)) where n >= 3)
+select cluster_key, k "key", min(v) "value", count(distinct observation_id) n from cl join ctx using (observation_id) group by 1, 2 having count(distinct v) = 1""", True)
 def agg_constant_context(spark, d):
-    t = load(spark, d, "observations").where("project is not null").select("project", F.col("context.shift").alias("shift"))
-    return t.groupBy("project").agg(F.count_distinct("shift").alias("shifts"), F.min("shift").alias("shift")).where("shifts = 1")
+    """The context entries that are constant over all observations of a cluster that have them."""
+    t = base.observation_sets(spark, d).select("observation_id", F.concat(F.array_join("preds", "+"), F.lit("@"), F.coalesce("project", F.lit(""))).alias("cluster_key"))
+    big = t.groupBy("cluster_key").agg(F.count("*").alias("n")).where("n >= 3").select("cluster_key")
+    c = base.contexts(spark, d).join(t.join(big, "cluster_key", "leftsemi"), "observation_id")
+    same = c.groupBy("cluster_key", "key").agg(F.min("value").alias("value"), F.max("value").alias("other"), F.count_distinct("observation_id").alias("n"))
+    return same.where("value = other").select("cluster_key", "key", "value", "n")
 
 
 @query("select cluster_key, count(*) n, min(observation_id) first_id from (select observation_id, array_to_string(preds, '+') || '@' || coalesce(project, '') cluster_key from observation_sets) group by 1 having count(*) >= 3", True)
@@ -362,7 +370,7 @@ def agg_parameter_frequency(spark, d):
     return base.facts(spark, d).groupBy("pred").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pred").limit(20)
 
 
-_TRADE = """, b as (select observation_id, project, pred, max(case when lower(val) in ('true', 'yes', 'on') then 1 else 0 end) up, max(case when lower(val) in ('false', 'no', 'off') then 1 else 0 end) down from facts where project is not null group by 1, 2, 3)
+_TRADE = """, b as (select observation_id, project, pred, max(case when lower(val) in ('true', 'improved', 'fixed', 'resolved') or contains(lower(val), 'improv') then 1 else 0 end) up, max(case when lower(val) in ('false', 'degraded', 'broken', 'failed') or contains(lower(val), 'degrad') or contains(lower(val), 'fail') then 1 else 0 end) down from facts where project is not null group by 1, 2, 3)
 select i.pred improved, g.pred degraded, count(*) n from b i join b g on i.project = g.project and i.observation_id <> g.observation_id and i.pred <> g.pred where i.up = 1 and g.down = 1 group by 1, 2"""
 
 
@@ -374,8 +382,8 @@ def agg_tradeoffs(spark, d):
     per project, less the pairs inside one observation.
     """
     f = base.facts(spark, d).where("project is not null")
-    up = f.where(F.lower("val").isin("true", "yes", "on")).select("project", "observation_id", "pred").distinct()
-    down = f.where(F.lower("val").isin("false", "no", "off")).select("project", "observation_id", "pred").distinct()
+    up = f.where(fx.improved(F.col("val"))).select("project", "observation_id", "pred").distinct()
+    down = f.where(fx.degraded(F.col("val"))).select("project", "observation_id", "pred").distinct()
     u = up.groupBy("project", F.col("pred").alias("improved")).agg(F.count("*").alias("nu"))
     w = down.groupBy("project", F.col("pred").alias("degraded")).agg(F.count("*").alias("nd"))
     every = u.join(w, "project").where("improved <> degraded").groupBy("improved", "degraded").agg(F.sum(F.col("nu") * F.col("nd")).alias("n"))
@@ -407,8 +415,8 @@ def _pairs(top: DataFrame) -> DataFrame:
     return one.select(F.explode(pairs).alias("q")).select("q.a", "q.b", "q.possible")
 
 
-_CONFLICT = """, c as (select pre_preds, e.pred, min(r.regulation_id) id, min(e.val) low, max(e.val) high from rule_sets r join rule_facts e on e.regulation_id = r.regulation_id and e.side = 'eff' and e.val is not null where len(pre_preds) > 0 group by 1, 2)
-select a.id left_id, b.id right_id, a.pred from c a join c b on a.pred = b.pred and (a.id < b.id or (a.id = b.id and a.pre_preds = b.pre_preds)) where not (a.low = a.high and b.low = b.high and a.low = b.low)
+_CONFLICT = """, c as (select pre_preds, e.pred, min(r.regulation_id) id, count(distinct r.regulation_id) n, min(e.val) low, max(e.val) high from rule_sets r join rule_facts e on e.regulation_id = r.regulation_id and e.side = 'eff' and e.val is not null where len(pre_preds) > 0 group by 1, 2)
+select a.id left_id, b.id right_id, a.pred, a.n left_n, b.n right_n from c a join c b on a.pred = b.pred and (a.id < b.id or (a.id = b.id and a.pre_preds = b.pre_preds)) where not (a.low = a.high and b.low = b.high and a.low = b.low)
 and len(list_intersect(a.pre_preds, b.pre_preds)) / len(list_distinct(list_concat(a.pre_preds, b.pre_preds))) >= 0.3"""
 
 
@@ -423,17 +431,18 @@ def agg_conflicting_rules(spark, d):
     """
     s = base.rule_sets(spark, d).where(F.size("pre_preds") > 0).select("regulation_id", "pre_preds")
     e = base.rule_facts(spark, d).where("side = 'eff' and val is not null").select("regulation_id", "pred", "val").distinct()
-    c = s.join(e, "regulation_id").groupBy("pre_preds", "pred").agg(F.min("regulation_id").alias("id"), F.min("val").alias("low"), F.max("val").alias("high"))
+    c = s.join(e, "regulation_id").groupBy("pre_preds", "pred").agg(F.min("regulation_id").alias("id"), F.count_distinct("regulation_id").alias("n"), F.min("val").alias("low"), F.max("val").alias("high"))
     c = materialize(c, "rule-classes")
-    keyed = c.select("pred", F.explode("pre_preds").alias("k"), F.struct("id", "pre_preds", "low", "high").alias("c"))
-    pairs = keyed.withColumnRenamed("c", "a").join(keyed.withColumnRenamed("c", "b"), ["pred", "k"])
+    keyed = c.select("pred", F.explode("pre_preds").alias("k"), "id", F.struct("id", "n", "pre_preds", "low", "high").alias("c"))
+    # each side of a hot key is cut into as many parts, so that its pairs are made by many tasks
+    pairs = salted_join(keyed.withColumnRenamed("c", "a"), keyed.drop("id").withColumnRenamed("c", "b"), ["pred", "k"], hot=hot_keys(keyed, ["pred", "k"], least=1000)).drop("id")
     mine = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") == F.col("b.id")) & (F.col("a.pre_preds") == F.col("b.pre_preds")))
     same = (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low"))
     found = pairs.where(mine & ~same & (fx.jaccard(F.col("a.pre_preds"), F.col("b.pre_preds")) >= 0.3))
-    return found.groupBy("pred", "a", "b").agg(F.lit(1)).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "pred")
+    return found.groupBy("pred", "a", "b").agg(F.lit(1)).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "pred", F.col("a.n").alias("left_n"), F.col("b.n").alias("right_n"))
 
 
-@query()
+@query(", e as (select distinct r.regulation_id, pre_preds, f.pred, f.val from rule_sets r join rule_facts f on f.regulation_id = r.regulation_id and f.side = 'eff' and f.val is not null where len(pre_preds) > 0) select regulation_id, pred, val, min(regulation_id) over (partition by pre_preds, pred) class_id from e", True)
 def agg_conflict_classes(spark, d):
     """The class of every rule and effect predicate in agg_conflicting_rules, with the values the rule predicts."""
     s = base.rule_sets(spark, d).where(F.size("pre_preds") > 0).select("regulation_id", "pre_preds")
@@ -539,8 +548,10 @@ def sto_by_claim(spark, d):
 
 @query(f"select id, client from (select id, client, row_number() over (partition by client order by id) rn, count(*) over (partition by client) n from {_STORY}) where rn <= ceil(0.8 * n)")
 def ent_split_train(spark, d):
-    w = Window.partitionBy("client")
-    t = base.stories(spark, d).select("id", "client", F.row_number().over(w.orderBy("id")).alias("rn"), F.count("*").over(w).alias("n"))
+    """The first four fifths of each client's stories, by id."""
+    s = base.stories(spark, d).select("id", "client")
+    n = s.groupBy(F.col("client").alias("__client")).agg(F.count("*").alias("n"))
+    t = ranked(s, ["client"], ["id"], "rn").join(n, F.col("client").eqNullSafe(F.col("__client")))
     return t.where(F.col("rn") <= F.ceil(0.8 * F.col("n"))).select("id", "client")
 
 

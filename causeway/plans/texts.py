@@ -216,36 +216,40 @@ def _jaccard_row(i: int, q: str) -> Column:
     return F.struct(F.lit(i).alias("qid"), common.alias("common"), F.round(common / (F.size("t") + len(words) - common) * 100).alias("score"))
 
 
-@query("select a.pred, b.id, least(100, round((1 - levenshtein(a.pred, b.w) / greatest(len(a.pred), len(b.w))) * 100)) ratio from (select distinct split_part(lower(trim(pred)), '.', 1) pred from predicates) a join (select distinct id, split_part(raw_input, ' ', 1) w from stories where raw_input is not null and id is not null) b on levenshtein(a.pred, b.w) <= 2 and len(a.pred) > 0 and len(b.w) > 0")
+@query("select a.pred, b.id, b.w word, least(100, round((1 - levenshtein(a.pred, b.w) / greatest(len(a.pred), len(b.w))) * 100)) ratio from (select distinct split_part(lower(trim(pred)), '.', 1) pred from predicates) a join (select distinct id, unnest(string_split(raw_input, ' ')) w from stories where raw_input is not null and id is not null) b on levenshtein(a.pred, b.w) <= 2 and len(a.pred) > 0 and len(b.w) > 0")
 def txt_edit_matches(spark, d):
-    """Stories whose first word is within two edits of a device name: compared per distinct word only."""
-    s = load(spark, d, "stories").where("raw_input is not null and id is not null").select("id", F.split("raw_input", " ")[0].alias("w")).distinct()
+    """The words of stories within two edits of a device name: compared per distinct word only."""
+    s = load(spark, d, "stories").where("raw_input is not null and id is not null").select("id", F.explode(F.split("raw_input", " ")).alias("w")).distinct()
     p = load(spark, d, "predicates").select(F.split(F.lower(F.trim("pred")), "[.]")[0].alias("pred")).distinct()
     # at most two edits leave one of three parts whole, which stands within two places
     words = s.select("w").where(F.length("w") > 0).distinct()
     a, b = _parts(p.where(F.length("pred") > 0), "pred"), _parts(words, "w", 2)
     hits = a.join(b, ["size", "part", "at"]).select("pred", "w").distinct().where(F.levenshtein("pred", "w") <= 2)
-    return hits.join(s, "w").select("pred", "id", tx.edit_ratio(F.col("pred"), F.col("w")).alias("ratio"))
+    return hits.join(s, "w").select("pred", "id", F.col("w").alias("word"), tx.edit_ratio(F.col("pred"), F.col("w")).alias("ratio"))
 
 
-def _parts(df: DataFrame, col: str, slack: int = 0) -> DataFrame:
-    """The three parts of each word, cut by its length, with their places; with slack, also for lengths and places off by so much."""
+def _parts(df: DataFrame, col: str, slack: int = 0, edits: int = 2) -> DataFrame:
+    """One part more of each word than edits, cut by its length, with their places; with slack, also for lengths and places off by so much. One of them is left whole by so many edits."""
     n = F.length(col)
     sizes = F.explode(F.sequence(n - slack, n + slack)) if slack else F.explode(F.array(n))
-    k = df.select(col, sizes.alias("size")).where("size > 0").select(col, "size", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
-    lo, hi = F.floor(F.col("i") * F.col("size") / 3), F.floor((F.col("i") + 1) * F.col("size") / 3)
+    k = df.select(col, sizes.alias("size")).where("size > 0").select(col, "size", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i"))
+    lo, hi = F.floor(F.col("i") * F.col("size") / (edits + 1)), F.floor((F.col("i") + 1) * F.col("size") / (edits + 1))
     k = k.select(col, "size", lo.cast("int").alias("at"), (hi - lo).cast("int").alias("len"))
     off = F.explode(F.sequence(F.lit(-slack), F.lit(slack))) if slack else F.explode(F.array(F.lit(0)))
     return k.select(col, "size", "at", "len", off.alias("off")).select(col, "size", "at", F.substring(F.col(col), F.col("at") + F.col("off") + 1, F.col("len")).alias("part")).distinct()
 
 
-@query("select a, b, round((1 - levenshtein(a, b) / greatest(len(a), len(b))) * 100) ratio from (select distinct lower(trim(pred)) a from predicates) join (select distinct lower(trim(pred)) b from predicates) on a < b and levenshtein(a, b) <= 3")
+_NAMES = "(select distinct lower(trim(f.pred)) p from (select unnest(facts) f from observations) where f.pred is not null and len(trim(f.pred)) > 0 union select distinct lower(trim(pred)) from predicates where len(trim(pred)) > 0)"
+
+
+@query(f"select a.p a, b.p b, round((1 - levenshtein(a.p, b.p) / greatest(len(a.p), len(b.p))) * 100) ratio from {_NAMES} a join {_NAMES} b on a.p < b.p and levenshtein(a.p, b.p) <= 3")
 def txt_similar_predicates(spark, d):
-    """Pairs of predicate names within three edits. The list of predicates is a bounded dimension."""
-    p = load(spark, d, "predicates").select(F.lower(F.trim("pred")).alias("a")).distinct()
-    one = p.agg(F.array_sort(F.collect_set("a")).alias("p"))
-    pairs = F.flatten(F.transform("p", lambda x: F.transform(F.filter("p", lambda y: (y > x) & (F.levenshtein(x, y) <= 3)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return one.select(F.explode(pairs).alias("q")).select("q.a", "q.b", tx.edit_ratio(F.col("q.a"), F.col("q.b")).alias("ratio"))
+    """Pairs of predicate names, listed or observed, within three edits: those that share one of four parts near its place are compared."""
+    seen = load(spark, d, "observations").select(F.explode("facts").alias("f")).select(F.lower(F.trim("f.pred")).alias("p"))
+    names = materialize(seen.unionByName(load(spark, d, "predicates").select(F.lower(F.trim("pred")).alias("p"))).where(F.length("p") > 0).distinct(), "names")
+    a, b = _parts(names.withColumnRenamed("p", "a"), "a", edits=3), _parts(names.withColumnRenamed("p", "b"), "b", 3, edits=3)
+    hits = a.join(b, ["size", "part", "at"]).where("a < b").select("a", "b").distinct().where(F.levenshtein("a", "b") <= 3)
+    return hits.select("a", "b", tx.edit_ratio(F.col("a"), F.col("b")).alias("ratio"))
 
 
 @query()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.session import materialize
+
 #: The most keys that are treated as hot; every other key holds less than 1 / HOT_KEYS of the rows.
 HOT_KEYS = 512
 #: Below this many rows a key is never worth splitting.
@@ -49,6 +51,22 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return out.select(*[f"`{c}`" for c in left.columns], *[f"`{c}`" for c in rest])
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """df with the rank of each row, from 1, among those with equal keys, in order of the columns `order`.
+
+    The rows are range partitioned, so the ranks come from the place inside a
+    range and the sizes of the ranges before it: no task sorts a whole group,
+    however large.
+    """
+    spread = materialize(df.repartitionByRange(*keys, *order).withColumn("__b", F.spark_partition_id()), "ranges")
+    per = spread.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    starts = per.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__at"), before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__b") == F.col("__at")]
+    return spread.withColumn("__p", place).join(starts, same).select(*df.columns, (F.col("__p") + F.col("__before")).alias(name))
+
+
 def _plain(df: DataFrame) -> list[str]:
     """Columns fit for hashing into a salt."""
     return [n for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary", "variant"))]

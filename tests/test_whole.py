@@ -1,27 +1,8 @@
-"""Queries that do the whole of what a query with SQL does for a part: against that SQL without its restriction."""
+"""Queries on classes: every row has one, and pairs of classes give back the pairs of rows."""
 
-import pytest
 from compare import assert_same
 from conftest import DATA
-from test_queries import QUERIES, SQL
-
-
-@pytest.mark.parametrize("name", ["exp_suggest_causes", "exp_diagnosis_candidates", "exp_diagnose"])
-def test_all_projects(spark, duck, name):
-    sql = SQL[name].replace("project = 'quartz-works'", "true").replace("status = 'confirmed')", "status is distinct from 'retired')")
-    assert "quartz" not in sql and sql.count("is distinct from") == (name != "exp_suggest_causes")
-    assert_same(QUERIES[f"{name}_all"](spark, DATA), duck.execute(sql).df())
-
-
-def test_cooccurrence_of_all_atoms(spark, duck):
-    """Every pair of facts and context entries, counted in SQL."""
-    from causeway.plans.base import SQL as PRELUDE
-
-    entries = "[{k: 'shift', v: context.shift}, {k: 'env.os', v: context.env.os}, {k: 'env.arch', v: context.env.arch}, {k: 'env.runtime.name', v: context.env.runtime.name}, {k: 'env.runtime.level', v: cast(context.env.runtime.level as varchar)}]"
-    sql = PRELUDE + f""", atoms as (select observation_id, sig from facts union select observation_id, e.k || '|' || e.v from (select observation_id, unnest({entries}) e from observations where observation_id is not null) where e.v is not null
-    union select observation_id, 'extra.' || e.key || '|' || e.value from (select observation_id, unnest(map_entries(context.extra)) e from observations where observation_id is not null) where e.value is not null)
-    select a.sig || ' & ' || b.sig pair, count(*) n from atoms a join atoms b on a.observation_id = b.observation_id and a.sig < b.sig group by 1"""
-    assert_same(QUERIES["gra_ingest_cooccurrence_all"](spark, DATA), duck.execute(sql).df())
+from test_queries import QUERIES
 
 
 def test_every_row_has_a_leader_or_class(spark, duck):
@@ -46,13 +27,3 @@ def test_every_row_has_a_leader_or_class(spark, duck):
     want = duck.execute(PRELUDE + """, e as (select distinct regulation_id id, pred, val, pre_preds from rule_facts join rule_sets using (regulation_id) where side = 'eff' and val is not null and len(pre_preds) > 0)
     select distinct a.id, b.id, a.pred from e a join e b on a.id < b.id and a.pred = b.pred and a.val <> b.val where len(list_intersect(a.pre_preds, b.pre_preds)) / len(list_distinct(list_concat(a.pre_preds, b.pre_preds))) >= 0.3""").fetchall()
     assert got == {tuple(r) for r in want}
-
-
-def test_few_values_are_permuted(spark):
-    """Every value moves, also where a predicate has fewer facts than there are buckets."""
-    from causeway.operators import reasoning
-
-    facts = [(f"o{i}", p, f"{p}{i}", 0) for p, n in (("few", 7), ("many", 300), ("one", 1)) for i in range(n)]
-    got = {(r["pred"], r["observation_id"]): r["val"] for r in reasoning.permuted(spark.createDataFrame(facts, "observation_id string, pred string, val string, ord long")).collect()}
-    assert len(got) == len(facts) and sorted(got.values()) == sorted(v for _, _, v, _ in facts)
-    assert [v for o, p, v, _ in facts if got[p, o] == v] == ["one0"]
