@@ -122,6 +122,32 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     ).select("src", "dst", "kind", "weight", "evidence", F.when(F.col("__c") == 1, "compiled").otherwise("tentative").alias("mode"))
 
 
+def typed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, kind, weight, evidence, mode): the graph with all kinds of edges.
+
+    A precondition causes, prevents (effects that are false, no or off) or, by
+    observation only, indicates an effect; a fact is_a predicate, a predicate
+    is part_of its device, and the predicates of a confirmed rule's effects
+    require those of its preconditions. Parallel edges of one kind are one, as
+    in edges().
+    """
+    f = rule_facts(spark, d).select("regulation_id", "side", "sig", "pred", "val").distinct()
+    r = rules(spark, d).where("status <> 'retired'")
+    weight = F.when(F.col("s") + F.col("c") > 0, F.col("s") / (F.col("s") + F.col("c"))).otherwise(0.3)
+    kind = F.when(F.col("kind") == "observational", "indicates").when(F.col("val").isin("false", "no", "off"), "prevents").otherwise("causes")
+    pre, eff = f.where("side = 'pre'"), f.where("side = 'eff'")
+    row = ["src", "dst", "kind", "w", "s", "m"]
+    both = pre.select("regulation_id", F.col("sig").alias("src")).distinct().join(eff.select("regulation_id", F.col("sig").alias("dst"), "val").distinct(), "regulation_id").join(r, "regulation_id").where("src <> dst")
+    out = both.select("src", "dst", kind.alias("kind"), weight.alias("w"), "s", (F.col("status") == "confirmed").cast("int").alias("m"))
+    fixed = lambda t, k: t.distinct().select("src", "dst", F.lit(k).alias("kind"), F.lit(1.0).alias("w"), F.lit(0).cast("long").alias("s"), F.lit(1).alias("m"))
+    out = out.unionByName(fixed(f.where("sig <> pred").select(F.col("sig").alias("src"), F.col("pred").alias("dst")), "is_a"))
+    out = out.unionByName(fixed(f.where(F.col("pred").contains(".")).select(F.col("pred").alias("src"), F.split("pred", "[.]")[0].alias("dst")), "part_of"))
+    needs = eff.select("regulation_id", F.col("pred").alias("src")).distinct().join(pre.select("regulation_id", F.col("pred").alias("dst")).distinct(), "regulation_id").join(r.where("status = 'confirmed'"), "regulation_id").where("src <> dst")
+    out = out.unionByName(needs.select("src", "dst", F.lit("requires").alias("kind"), weight.alias("w"), "s", F.lit(1).alias("m")).select(*row))
+    g = out.groupBy("src", "dst", "kind").agg(F.max("w").alias("weight"), F.sum("s").alias("evidence"), F.max("m").alias("m"))
+    return g.select("src", "dst", "kind", "weight", "evidence", F.when(F.col("m") == 1, "compiled").otherwise("tentative").alias("mode"))
+
+
 def stories(spark: SparkSession, d: str) -> DataFrame:
     """One row per story: the first to arrive of its copies."""
     t = load(spark, d, "stories").where("id is not null")

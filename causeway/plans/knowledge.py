@@ -133,34 +133,6 @@ def gra_reachable(spark, d):
     return graph.reachable(base.edges(spark, d), _starts(spark, d), 3).select("start", "node", F.col("distance").cast("long").alias("distance"))
 
 
-_PATHS = f""", walk(start, node, path, weight) as (select node, node, [node], cast(1.0 as double) from {_STARTS} union all select w.start, e.dst, list_append(w.path, e.dst), w.weight * e.weight from walk w join edges e on e.src = w.node where len(w.path) <= 3 and not list_contains(w.path, e.dst))
-select start, node, array_to_string(path, ' > ') path, round(weight, 9) weight from walk where len(path) > 1"""
-
-
-@query(_PATHS)
-def gra_paths(spark, d):
-    e = base.edges(spark, d)
-    return graph.simple_paths(e, _starts(spark, d), 3).select("start", "node", F.array_join("path", " > ").alias("path"), F.round("weight", 9).alias("weight"))
-
-
-@query(f""", walk(start, node, path, weight) as (select node, node, [node], cast(1.0 as double) from {_STARTS} union all select w.start, e.dst, list_append(w.path, e.dst), w.weight * e.weight from walk w join edges e on e.src = w.node where len(w.path) <= 2 and not list_contains(w.path, e.dst))
-select start, path, weight from (select start, array_to_string(path, ' > ') path, round(weight, 9) weight, row_number() over (partition by start order by round(weight, 9) desc, array_to_string(path, ' > ')) rn from walk where len(path) > 1) where rn <= 10""")
-def gra_explore(spark, d):
-    """The ten best legal paths from each start: legality is checked hop by hop."""
-    p = graph.simple_paths(base.edges(spark, d), _starts(spark, d), 2, legal=True).select("start", F.array_join("path", " > ").alias("path"), F.round("weight", 9).alias("weight"))
-    rn = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("weight"), "path"))
-    return p.withColumn("rn", rn).where("rn <= 10").select("start", "path", "weight")
-
-
-_STRONG = """, strong as (select * from edges where mode = 'compiled' and weight >= 0.6 and evidence >= 3),
-walk(start, node, path, weight) as (select distinct src, src, [src], cast(1.0 as double) from strong union all select w.start, e.dst, list_append(w.path, e.dst), w.weight * e.weight from walk w join strong e on e.src = w.node where len(w.path) <= 3 and not list_contains(w.path, e.dst))"""
-
-
-@query(_STRONG + " select start src, node dst, via, cast(hops as bigint) hops, weight from (select *, len(path) - 1 hops, array_to_string(path, ' > ') via, row_number() over (partition by start, node order by len(path), array_to_string(path, ' > ')) rn from (select start, node, path, round(weight, 9) weight from walk) where len(path) > 2) where rn = 1")
-def gra_shortcuts(spark, d):
-    return graph.shortcuts(base.edges(spark, d))
-
-
 @query("select src, dst, mode from edges where not (mode = 'tentative' and weight < 0.5)")
 def gra_prune(spark, d):
     return base.edges(spark, d).where("not (mode = 'tentative' and weight < 0.5)").select("src", "dst", "mode")
@@ -427,15 +399,6 @@ def pat_fingerprints(spark, d):
     return graph.degrees(base.edges(spark, d)).where("n_out >= 2 and n_in >= 1").select("node", "n_out", "n_in")
 
 
-@query("select a.src cause, a.dst middle, b.dst effect, round(0.6 + 0.4 * least(a.weight, b.weight), 9) score from edges a join edges b on a.dst = b.src and a.src <> b.dst where a.mode = 'compiled' and b.mode = 'compiled'")
-def pat_match_chain(spark, d):
-    """Matches of a template with three slots and two arrows: a compiled cause of a compiled cause."""
-    e = base.edges(spark, d).where("mode = 'compiled'")
-    a = e.select(F.col("src").alias("cause"), F.col("dst").alias("middle"), F.col("weight").alias("w1"))
-    b = e.select(F.col("src").alias("middle"), F.col("dst").alias("effect"), F.col("weight").alias("w2"))
-    return a.join(b, "middle").where("cause <> effect").select("cause", "middle", "effect", F.round(0.6 + 0.4 * F.least("w1", "w2"), 9).alias("score"))
-
-
 def queries() -> dict:
     return dict(Q)
 

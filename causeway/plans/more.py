@@ -169,16 +169,6 @@ def gra_expand_preconditions(spark, d):
     return r.select(F.array_join("pre", " & ").alias("conjunction"), F.explode("pre").alias("part"))
 
 
-@query()
-def gra_invalidate_shortcuts(spark, d):
-    """Shortcuts that still hold once tentative edges with weight below 0.8 change: those whose hops are all untouched."""
-    e = base.edges(spark, d)
-    s = materialize(graph.shortcuts(e), "shortcuts").withColumn("hop", F.explode(F.transform(F.sequence(F.lit(0), (F.col("hops") - 1).cast("int")), lambda i: F.struct(F.split("via", " > ")[i].alias("src"), F.split("via", " > ")[i + 1].alias("dst")))))
-    changed = e.where("weight < 0.8").select("src", "dst")
-    hit = s.select(F.col("src").alias("a"), F.col("dst").alias("b"), "hop.src", "hop.dst").join(changed, ["src", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    return s.select("src", "dst", "via").distinct().join(hit, ["src", "dst"], "left_anti")
-
-
 # -- rules: refutation, causes, evaluation
 
 

@@ -341,16 +341,6 @@ def src_wide_to_facts(spark, d):
     return t.unpivot("id", ["status", "outcome", "operator"], "pred", "val").where("val is not null and val not in ('unknown', 'none', 'other', 'medium')")
 
 
-@query("select s.id, c.class, least(1.0, c.hits / 2.0) confidence from (select distinct id, lower(raw_input) t from stories where raw_input is not null and id is not null) s, lateral (select 'thermal' as class, (case when contains(t, 'kiln') then 1 else 0 end) + (case when contains(t, 'furnace') then 1 else 0 end) hits union all select 'pace', (case when contains(t, 'slow') then 1 else 0 end) + (case when contains(t, 'step') then 1 else 0 end)) c where c.hits > 0")
-def pat_classify(spark, d):
-    """Problem classes by their signatures: each text is compared with the fixed list in one projection."""
-    classes = {"thermal": ["kiln", "furnace"], "pace": ["slow", "step"]}
-    t = F.lower("raw_input")
-    rows = F.array(*[F.struct(F.lit(k).alias("class"), sum((F.when(t.contains(w), 1).otherwise(0) for w in ws), F.lit(0)).alias("hits")) for k, ws in classes.items()])
-    s = load(spark, d, "stories").where("raw_input is not null and id is not null").select("id", F.explode(rows).alias("c")).distinct()
-    return s.where("c.hits > 0").select("id", "c.class", F.least(F.lit(1.0), F.col("c.hits") / 2.0).alias("confidence"))
-
-
 def queries() -> dict:
     return dict(Q)
 

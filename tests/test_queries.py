@@ -1,11 +1,11 @@
 """Every query with SQL against DuckDB, and every other runs."""
 
 import pytest
-from causeway.plans import knowledge, learning, more, problems, records, texts
+from causeway.plans import knowledge, learning, more, problems, records, texts, typed
 from compare import assert_same
 from conftest import DATA
 
-PARTS = (problems, records, knowledge, learning, texts, more)
+PARTS = (problems, records, knowledge, learning, texts, more, typed)
 QUERIES = {k: f for p in PARTS for k, f in p.queries().items()}
 SQL = {k: q for p in PARTS for k, q in p.oracle_sql().items()}
 
