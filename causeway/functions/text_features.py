@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that are no keywords.
 STOPWORDS = (
-    "the and for are but not you all can her was one our out day get has him his how "
-    "man new now old see two way who boy did its let put say she too use this that with "
-    "have from they been will more when your said each which their there would about could other"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our", "out", "day", "get", "has", "him", "his", "how",
+    "man", "new", "now", "old", "see", "two", "way", "who", "boy", "did", "its", "let", "put", "say", "she", "too", "use", "this", "that", "with",
+    "have", "from", "they", "been", "will", "more", "when", "your", "said", "each", "which", "their", "there", "would", "about", "could", "other",
+)
 
 # Error types by name.
 ERROR_TYPES = (
@@ -37,8 +41,12 @@ DIRECTIONS = {
     "improved": "升|提升|涨|提高|improve|increase|better|higher|faster|fix|修复|解决|resolve|pass|成功|green",
 }
 
+# The patterns of versions, files, numbers with units, modules and connectives.
 VERSION = r"v?([0-9]+\.[0-9]+(?:\.[0-9]+)?)"
 FILE = r"[A-Za-z0-9_/]+\.(?:py|js|ts|java|cpp|c|h|go|rs)"
+NUMBER_UNIT = r"([0-9.]+)\s*(%|px|ms|s|fps|MB|GB|KB|hz|Hz)"
+MODULE = r"(?:(?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+|(?:[A-Za-z0-9_-]+\.){1,5}[A-Za-z0-9_-]+(?:\.(?:ts|js|py|rs|go|java|c|cpp|h|hpp))?)"
+CAUSE_EFFECT = r"(?i)[，,]\s*(?:导致|结果|然后|之后|后来|所以|因此|hence|then|so|resulting|caused|led\s+to|→|->)"
 
 
 def tokens(text: Column) -> Column:
@@ -115,3 +123,73 @@ def token_jaccard(a: Column, b: Column) -> Column:
     ta, tb = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
     union = F.size(F.array_union(ta, tb))
     return F.when(union > 0, F.round(F.size(F.array_intersect(ta, tb)) / union * 100)).otherwise(F.lit(0.0))
+
+
+def hybrid(text: Column, most: int) -> Column:
+    """The patterns of a text, then its keywords by number and first place, `most` in all, each marked as what it is."""
+    words = keywords(text)
+    # counted over the text's own words, in order of their first place
+    distinct = F.array_distinct(words)
+    counted = F.transform(distinct, lambda w, i: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
+    best = F.transform(F.slice(F.array_sort(counted), 1, most), lambda x: F.concat(F.lit("keyword "), x["w"]))
+    return F.slice(F.concat(F.transform(error_patterns(text), lambda p: F.concat(F.lit("pattern "), p)), best), 1, most)
+
+
+def cause_and_effect(text: Column) -> tuple[Column, Column]:
+    """What stands before and after the connectives of a text, else its commas; the text for both if it has neither."""
+    a = F.split(text, CAUSE_EFFECT)
+    b = F.filter(F.split(text, r"[，,；;]\s*"), lambda x: F.length(F.trim(x)) > 0)
+    rest = lambda x: F.trim(F.array_join(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), "，"))
+    first = F.when(F.size(a) >= 2, F.trim(F.get(a, F.lit(0)))).when(F.size(b) >= 2, F.trim(F.get(b, F.lit(0)))).otherwise(text)
+    return first, F.when(F.size(a) >= 2, rest(a)).when(F.size(b) >= 2, rest(b)).otherwise(text)
+
+
+def magnitude(text: Column) -> Column:
+    """struct(from_, to_, unit): the first two numbers with a unit, one of them, or the first two without."""
+    number = lambda x: F.regexp_extract(x, r"[0-9]*\.?[0-9]*", 0).try_cast("double")
+    u, k = (F.regexp_extract_all(text, F.lit(NUMBER_UNIT), F.lit(i)) for i in (1, 2))
+    n = F.regexp_extract_all(text, F.lit("[0-9.]+"), F.lit(0))
+    at = lambda c, i: F.get(c, F.lit(i))
+    low = F.when(F.size(u) >= 2, number(at(u, 0))).when((F.size(u) == 0) & (F.size(n) >= 2), number(at(n, 0)))
+    to = F.when(F.size(u) >= 2, number(at(u, 1))).when(F.size(u) == 1, number(at(u, 0))).when(F.size(n) >= 2, number(at(n, 1))).otherwise(number(at(n, 0)))
+    unit = F.when(F.size(u) >= 2, at(k, 1)).when(F.size(u) == 1, at(k, 0))
+    return F.struct(low.alias("from_"), to.alias("to_"), unit.alias("unit"))
+
+
+def module(text: Column) -> Column:
+    """The first path or dotted name of more than three characters that is no number; null if there is none."""
+    found = F.regexp_extract_all(text, F.lit(MODULE), F.lit(0))
+    return F.get(F.filter(found, lambda m: (F.length(m) > 3) & ~m.rlike(r"\A[0-9]+\.[0-9]+\z")), F.lit(0))
+
+
+def fuzzy_score(query: Column, text: Column, token_set: float = 1.5, partial: float = 1.0) -> Column:
+    """0 to 100: 100 for the query itself, 90 where it is contained, else the better of both likenesses by their weights."""
+    q, t = F.lower(query), F.lower(text)
+    best = F.greatest(token_set * token_set_ratio(q, t), partial * partial_ratio(q, t)) / max(token_set, partial)
+    return F.when(t == q, 100.0).when(t.contains(q), 90.0).otherwise(F.round(F.least(F.lit(100.0), best)))
+
+
+def packed(text: str, size: int = 200) -> list[tuple[int, str]]:
+    """(start, chunk): the sentences of each paragraph put together until they have `size` characters; chunks of up to ten characters are left out."""
+    out, at = [], 0
+    for para in re.split(r"(\n{2,})", text):
+        if re.fullmatch(r"\n{2,}", para):
+            at += len(para)
+            continue
+        start, end = at, at
+        for sentence in re.finditer(r".*?(?:[。！？.!?]\s*|\Z)", para, re.S):
+            end = at + sentence.end()
+            if end - start >= size:
+                out.append((start, text[start:end]))
+                start = end
+        if end > start:
+            out.append((start, text[start:end]))
+        at += len(para)
+    return [(s + len(c) - len(c.lstrip()), c.strip()) for s, c in out if len(c.strip()) > 10]
+
+
+def packed_rows(batches):
+    """packed() of the texts of (doc_id, text) frames."""
+    for pdf in batches:
+        rows = [(doc, i, start, len(c), hashlib.md5(c.encode()).hexdigest()) for doc, text in zip(pdf.doc_id, pdf.text, strict=True) for i, (start, c) in enumerate(packed(text))]
+        yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "size", "text_md5"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import text_features as tx
 from causeway.functions.text import strip
-from causeway.operators import reasoning
+from causeway.operators.learning import hashed
 from causeway.session import materialize
 from causeway.tables import load
 
@@ -105,15 +105,6 @@ def txt_keyword_similarity(spark, d):
     return q.join(b, "word").where("doc_id <> other").groupBy("doc_id", "other").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).where("cosine >= 0.3")
 
 
-@query(f"select source, word, n from (select source, word, n, row_number() over (partition by source order by n desc, word) rn from (select lower(trim(source)) source, word, count(distinct doc_id) n from {_W} join (select doc_id, source from documents where source is not null) using (doc_id) group by 1, 2)) where rn <= 5")
-def txt_cluster_predicates(spark, d):
-    """The keywords that most documents of a source have in common."""
-    s = load(spark, d, "documents").where("source is not null").select("doc_id", F.lower(strip(F.col("source"))).alias("source"))
-    c = _words(spark, d).select("doc_id", "word").distinct().join(s, "doc_id").groupBy("source", "word").agg(F.count("*").alias("n"))
-    rn = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "word"))
-    return c.withColumn("rn", rn).where("rn <= 5").select("source", "word", "n")
-
-
 # -- extraction
 
 
@@ -167,28 +158,6 @@ def txt_canonicalize(spark, d):
     return load(spark, d, "stories").where("raw_input is not null and id is not null").select("id", tx.canonical(F.col("raw_input")).alias("canonical")).distinct()
 
 
-@query("select id, try_cast(x[1] as double) from_, try_cast(x[2] as double) to_ from (select distinct id, regexp_extract_all(raw_input, '[0-9]+(?:\\.[0-9]+)?') x from stories where raw_input is not null and id is not null)")
-def txt_magnitudes(spark, d):
-    """The first two numbers of each story's text."""
-    x = F.regexp_extract_all("raw_input", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    t = load(spark, d, "stories").where("raw_input is not null and id is not null").select("id", x.alias("x")).distinct()
-    return t.select("id", F.get("x", F.lit(0)).cast("double").alias("from_"), F.get("x", F.lit(1)).cast("double").alias("to_"))
-
-
-@query("select id, trim(split_part(raw_input, ' after ', 1)) effect, nullif(trim(split_part(raw_input, ' after ', 2)), '') cause from (select distinct id, raw_input from stories where raw_input is not null and id is not null)")
-def txt_split_cause_effect(spark, d):
-    t = load(spark, d, "stories").where("raw_input is not null and id is not null").select("id", "raw_input").distinct()
-    parts = F.split("raw_input", " after ")
-    cause = F.trim(F.get(parts, F.lit(1)))
-    return t.select("id", F.trim(parts[0]).alias("effect"), F.when(cause != "", cause).alias("cause"))
-
-
-@query(f"select doc_id, coalesce(nullif(regexp_extract(text, '[A-Za-z_]+\\.[a-z_]+', 0), ''), 'none') module from {_D}")
-def txt_modules(spark, d):
-    m = F.regexp_extract("text", r"[A-Za-z_]+\.[a-z_]+", 0)
-    return _docs(spark, d).select("doc_id", F.when(m != "", m).otherwise("none").alias("module"))
-
-
 @query(f"select doc_id, nullif(regexp_extract(text, '[A-Za-z0-9_]*(?:ERROR|Error)[^\\n]{{0,200}}', 0), '') snippet from {_D}")
 def txt_error_snippets(spark, d):
     s = F.regexp_extract("text", r"[A-Za-z0-9_]*(?:ERROR|Error)[^\n]{0,200}", 0)
@@ -252,15 +221,6 @@ def txt_similar_predicates(spark, d):
     return hits.select("a", "b", tx.edit_ratio(F.col("a"), F.col("b")).alias("ratio"))
 
 
-@query()
-def txt_fuzzy_search(spark, d):
-    """The ten stories most like a query by token sets and pieces."""
-    q = F.lit("kiln slow after step 7")
-    s = load(spark, d, "stories").where("raw_input is not null and id is not null").select("id", F.lower("raw_input").alias("t")).distinct()
-    score = F.greatest(tx.token_set_ratio(q, F.col("t")), tx.partial_ratio(q, F.col("t")), F.when(F.col("t").contains(q), 100.0).otherwise(0.0))
-    return s.select("id", score.alias("score")).where("score >= 30").orderBy(F.desc("score"), "id").limit(10)
-
-
 @query("select * from (select 'kiln slow' query, id, least(100, 80.0 * (case when contains(t, 'kiln') then 1 else 0 end + case when contains(t, 'slow') then 1 else 0 end) / 2 + case when contains(t, 'kiln slow') then 20 else 0 end) score from (select distinct id, lower(raw_input) t from stories where raw_input is not null and id is not null)) where score >= 30")
 def txt_inline_match(spark, d):
     """Share of the query's tokens that occur in a text, and a bonus if it occurs whole."""
@@ -309,16 +269,6 @@ def txt_evidence_sample(spark, d):
     return counts.select("doc_id", F.explode(best).alias("b")).select("doc_id", F.col("b.i").cast("long").alias("chunk"), (-F.col("b.neg")).alias("score"))
 
 
-@query()
-def txt_stratified_sample(spark, d):
-    """One window of 200 characters per fifth of each text, at a place drawn from the document's id."""
-    seg = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    t = _docs(spark, d).where(F.length("text") >= 1000).select("doc_id", "text", seg.alias("segment"))
-    width = F.floor(F.length("text") / 5)
-    start = (F.col("segment") * width + reasoning.seeded_index(42, F.greatest(width - 199, F.lit(1)), F.col("doc_id"), F.col("segment"))).cast("long")
-    return t.select("doc_id", F.col("segment").cast("long").alias("segment"), start.alias("start"), F.xxhash64(F.substring("text", (start + 1).cast("int"), F.lit(200))).alias("window_hash"))
-
-
 @query()
 def txt_markdown_tables(spark, d):
     """Rows of Markdown tables in texts, with their cells."""
@@ -341,6 +291,148 @@ def src_wide_to_facts(spark, d):
     return t.unpivot("id", ["status", "outcome", "operator"], "pred", "val").where("val is not null and val not in ('unknown', 'none', 'other', 'medium')")
 
 
+# -- features, clusters, facts of lines, windows
+
+
+@query(_TFIDF + f""", src as (select doc_id, lower(trim(source)) source from documents where source is not null), n as (select source, count(distinct doc_id) docs from src join (select distinct doc_id from w) using (doc_id) group by 1),
+c as (select source, word, count(*) k, avg(tfidf) m from s join src using (doc_id) group by 1, 2)
+select source, word, round(k / docs, 9) coverage, round(k / docs * m, 6) score from (select *, row_number() over (partition by source order by round(k / docs * m, 6) desc, word) rn from c join n using (source) where k / docs >= 0.5) where rn <= 5""")
+def txt_cluster_predicates(spark, d):
+    """The five terms of each source that at least half of its documents have, by coverage times mean weight."""
+    s = load(spark, d, "documents").where("source is not null").select("doc_id", F.lower(strip(F.col("source"))).alias("source"))
+    t = materialize(_tfidf(spark, d).join(s, "doc_id"), "weighted-words")
+    n = t.groupBy("source").agg(F.count_distinct("doc_id").alias("docs"))
+    c = t.groupBy("source", "word").agg(F.count("*").alias("k"), F.avg("tfidf").alias("m")).join(n, "source").withColumn("coverage", F.col("k") / F.col("docs")).where("coverage >= 0.5")
+    c = c.withColumn("score", F.round(F.col("coverage") * F.col("m"), 6))
+    rn = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "word"))  # two terms per keyword of a document at most
+    return c.withColumn("rn", rn).where("rn <= 5").select("source", "word", F.round("coverage", 9).alias("coverage"), "score")
+
+
+@query(f"""with p as ({_PATTERNS}), k as (select doc_id, word, row_number() over (partition by doc_id order by n desc, pos) rank from (select doc_id, word, count(*) n, min(pos) pos from {_W} group by 1, 2)),
+pn as (select doc_id, count(*) n from p group by 1)
+select d.doc_id, coalesce(pn.n, 0) patterns, least(15 - least(15, coalesce(pn.n, 0)), coalesce(kn.n, 0)) keywords from {_D} d left join pn using (doc_id) left join (select doc_id, count(*) n from k where rank <= 15 group by 1) kn using (doc_id)""")
+def txt_hybrid_features(spark, d):
+    """How many of the fifteen features of a text, patterns first and then its most frequent keywords, are of either kind."""
+    t = _docs(spark, d).select("doc_id", tx.hybrid(F.col("text"), 15).alias("f"))
+    return t.select("doc_id", F.size(F.filter("f", lambda x: x.startswith("pattern "))).cast("long").alias("patterns"), F.size(F.filter("f", lambda x: x.startswith("keyword "))).cast("long").alias("keywords"))
+
+
+_LINES = "(select doc_id, i - 1 line, trim(l) l from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) i from (select doc_id, text from documents where text is not null)) where len(trim(l)) > 0)"
+
+
+def _lines(spark, d) -> DataFrame:
+    """(doc_id, line, l): the lines of each text that are not blank."""
+    return _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).select("doc_id", F.col("line").cast("long").alias("line"), F.trim("l").alias("l")).where(F.length("l") > 0)
+
+
+_CE = tx.CAUSE_EFFECT.replace("'", "''")
+
+
+@query(rf"""select doc_id, line, case when len(a) >= 2 then trim(a[1]) when len(b) >= 2 then trim(b[1]) else l end cause, case when len(a) >= 2 then trim(array_to_string(a[2:], '，')) when len(b) >= 2 then trim(array_to_string(b[2:], '，')) else l end effect
+from (select *, regexp_split_to_array(l, '{_CE}') a, list_filter(regexp_split_to_array(l, '[，,；;]\s*'), lambda x: len(trim(x)) > 0) b from {_LINES})""")
+def txt_split_cause_effect(spark, d):
+    """Each line at its connectives, else at its commas, into what comes first and what follows; a line without either is both."""
+    cause, effect = tx.cause_and_effect(F.col("l"))
+    return _lines(spark, d).select("doc_id", "line", cause.alias("cause"), effect.alias("effect"))
+
+
+@query(rf"""select doc_id, line, case when len(u) >= 2 then try_cast(u[1] as double) when len(u) = 0 and len(n) >= 2 then try_cast(n[1] as double) end from_, case when len(u) >= 2 then try_cast(u[2] as double) when len(u) = 1 then try_cast(u[1] as double) when len(n) >= 2 then try_cast(n[2] as double) else try_cast(n[1] as double) end to_, case when len(u) >= 2 then k[2] when len(u) = 1 then k[1] end unit
+from (select *, list_transform(regexp_extract_all(l, '{tx.NUMBER_UNIT}', 1), lambda x: regexp_extract(x, '[0-9]*\.?[0-9]*')) u, regexp_extract_all(l, '{tx.NUMBER_UNIT}', 2) k, list_transform(regexp_extract_all(l, '[0-9.]+'), lambda x: regexp_extract(x, '[0-9]*\.?[0-9]*')) n from {_LINES}) where len(n) > 0""")
+def txt_magnitudes(spark, d):
+    """The first two numbers with a unit of each line, or without where none has one: from what, to what, in which unit."""
+    m = tx.magnitude(F.col("l"))
+    return _lines(spark, d).where(F.col("l").rlike("[0-9.]")).select("doc_id", "line", m["from_"].alias("from_"), m["to_"].alias("to_"), m["unit"].alias("unit"))
+
+
+@query(f"select doc_id, line, list_filter(regexp_extract_all(l, '{tx.MODULE}'), lambda m: len(m) > 3 and not regexp_full_match(m, '[0-9]+\\.[0-9]+'))[1] module from {_LINES} where len(list_filter(regexp_extract_all(l, '{tx.MODULE}'), lambda m: len(m) > 3 and not regexp_full_match(m, '[0-9]+\\.[0-9]+'))) > 0")
+def txt_modules(spark, d):
+    """The first path or dotted name of each line that is longer than three characters and no number."""
+    return _lines(spark, d).withColumn("module", tx.module(F.col("l"))).where("module is not null").select("doc_id", "line", "module")
+
+
+@query(rf"""with t as (select doc_id, line, cause, effect, l from (select *, case when len(a) >= 2 then trim(a[1]) when len(b) >= 2 then trim(b[1]) else l end cause, case when len(a) >= 2 then trim(array_to_string(a[2:], '，')) when len(b) >= 2 then trim(array_to_string(b[2:], '，')) else l end effect
+  from (select *, regexp_split_to_array(l, '{_CE}') a, list_filter(regexp_split_to_array(l, '[，,；;]\s*'), lambda x: len(trim(x)) > 0) b from {_LINES})))
+select doc_id, line, 'cause' pred, left(cause, 200) val from t union all select doc_id, line, 'effect', left(effect, 200) from t union all select doc_id, line, 'direction', {_DIR.replace("lower(text)", "lower(l)")} from t where {_DIR.replace("lower(text)", "lower(l)")} <> 'unknown'""")
+def txt_line_facts(spark, d):
+    """The facts of each line: its cause, its effect and, where it shows one, its direction."""
+    cause, effect = tx.cause_and_effect(F.col("l"))
+    way = tx.first_matching(F.col("l"), tx.DIRECTIONS, "unknown")
+    facts = F.array(F.struct(F.lit("cause").alias("pred"), F.substring(cause, 1, 200).alias("val")), F.struct(F.lit("effect").alias("pred"), F.substring(effect, 1, 200).alias("val")), F.struct(F.lit("direction").alias("pred"), F.when(way != "unknown", way).alias("val")))
+    return _lines(spark, d).select("doc_id", "line", F.inline(facts)).where("val is not null")
+
+
+_FUZZ_TOK = lambda c: f"list_sort(list_distinct(list_filter(string_split(lower(regexp_replace({c}, '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda w: len(w) > 2)))"
+_RATIO = lambda a, b: f"case when greatest(len({a}), len({b})) > 0 then round((1 - levenshtein({a}, {b}) / greatest(len({a}), len({b}))) * 100) else 100 end"
+# DuckDB measures edits in bytes: characters beyond ASCII, of which the queries have none, stand as one byte
+_FUZZ = rf"""with x as (select q.qid, lower(q.q) q, s.id, s.t from (select distinct id, regexp_replace(lower(raw_input), '[^\x00-\x7F]', '~', 'g') t from stories where raw_input is not null and id is not null) s, {_QV}),
+y as (select *, {_FUZZ_TOK('q')} tq, {_FUZZ_TOK('t')} tt from x), z as (select *, array_to_string(list_sort(list_intersect(tq, tt)), ' ') both_ from y),
+v as (select *, trim(both_ || ' ' || array_to_string(list_sort(list_filter(tq, lambda w: not list_contains(tt, w))), ' ')) wq, trim(both_ || ' ' || array_to_string(list_sort(list_filter(tt, lambda w: not list_contains(tq, w))), ' ')) wt, case when len(q) <= len(t) then q else t end sh, case when len(q) <= len(t) then t else q end lg from z),
+r as (select *, greatest({_RATIO('both_', 'wq')}, {_RATIO('both_', 'wt')}, {_RATIO('wq', 'wt')}) ts, case when len(sh) = 0 then case when len(lg) = 0 then 100 else 0 end else list_max(list_transform(range(1, len(lg) - len(sh) + 2), lambda i: round((1 - levenshtein(sh, substr(lg, i, len(sh))) / len(sh)) * 100))) end pr from v),
+sc as (select qid, id, case when t = q then 100.0 when contains(t, q) then 90.0 else round(least(100.0, greatest(1.5 * ts, pr) / 1.5)) end score from r)"""
+
+
+def _fuzzy(spark, d) -> DataFrame:
+    s = load(spark, d, "stories").where("raw_input is not null and id is not null").select("id", F.lower("raw_input").alias("t")).distinct()
+    rows = F.array(*[F.struct(F.lit(i).alias("qid"), tx.fuzzy_score(F.lit(q), F.col("t")).alias("score")) for i, q in enumerate(_QUERIES)])
+    return s.select("id", F.explode(rows).alias("r")).select("r.qid", "id", "r.score")
+
+
+@query(_FUZZ + " select qid, id, score from (select *, row_number() over (partition by qid order by score desc, id) rn from sc where score >= 30) where rn <= 10")
+def txt_fuzzy_search(spark, d):
+    """The ten stories most like each query of the query set: contained, alike in tokens, or alike in a piece; from 30 on."""
+    rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return _fuzzy(spark, d).where("score >= 30").withColumn("rn", rn).where("rn <= 10").select("qid", "id", "score")
+
+
+@query(_FUZZ + " select qid, id, score from sc")
+def txt_similarity_matrix(spark, d):
+    """The score of every story for each query of the query set."""
+    return _fuzzy(spark, d)
+
+
+_HASH = "cast('0x' || substr(md5({0}), 1, 8) as bigint)".format
+_STRAT = f"""with t as (select doc_id, text, length(text) n, unnest(case when length(text) >= 1000 then range(0, 5) else range(0, 1) end) seg from {_D} where length(text) > 0),
+st as (select doc_id, seg, cast(case when n >= 1000 then seg * floor(n / 5) + {_HASH("doc_id || '|' || seg || '|stratum'")} % greatest(cast(floor(n / 5) as bigint) - 199, 1) else 0 end as bigint) start, case when n >= 1000 then 200 else n end size from t)"""
+
+
+def _strata(spark, d) -> DataFrame:
+    """(doc_id, segment, start, size): a window per fifth of each text; a text of less than 1,000 characters is one window."""
+    n = F.length("text")
+    long = n >= 1000
+    t = _docs(spark, d).where(n > 0).select("doc_id", n.cast("long").alias("n"), F.explode(F.when(long, F.sequence(F.lit(0), F.lit(4))).otherwise(F.array(F.lit(0)))).alias("segment"))
+    width = F.floor(F.col("n") / 5).cast("long")
+    start = F.when(F.col("n") >= 1000, F.col("segment") * width + hashed(F.col("doc_id"), F.col("segment"), F.lit("stratum")) % F.greatest(width - 199, F.lit(1))).otherwise(F.lit(0))
+    return t.select("doc_id", "n", F.col("segment").cast("long").alias("segment"), start.cast("long").alias("start"), F.when(F.col("n") >= 1000, F.lit(200)).otherwise(F.col("n")).cast("long").alias("size"))
+
+
+@query(_STRAT + " select doc_id, seg segment, start, size from st")
+def txt_stratified_sample(spark, d):
+    """One window of 200 characters per fifth of each text, at a place drawn from the document's id; a short text is its own window."""
+    return _strata(spark, d).select("doc_id", "segment", "start", "size")
+
+
+_GAUSS = _STRAT + f""", seed as (select doc_id, start from st where seg < 2 and size = 200), n as (select doc_id, length(text) n from {_D}), r as (select unnest(range(1, 3)) r), k as (select unnest(range(0, 3)) k),
+g as (select doc_id, start seed, r, k, n, ({_HASH("doc_id || '|' || start || '|' || r || '|' || k || '|u'")} + 1) / 4294967297.0 u, {_HASH("doc_id || '|' || start || '|' || r || '|' || k || '|v'")} / 4294967296.0 v from seed join n using (doc_id), r, k)
+select doc_id, seed, r "round", k draw, cast(least(greatest(floor(seed + 100 + n / 20.0 / pow(2, r - 1) * sqrt(-2 * ln(u)) * cos(2 * pi() * v)) - 100, 0), n - 200) as bigint) start from g"""
+
+
+@query(_GAUSS)
+def txt_gaussian_sample(spark, d):
+    """Two rounds of three windows around the first two strata of each long text, at distances from a bell curve that halves its width each round."""
+    seed = _strata(spark, d).where("size = 200 and segment < 2")
+    t = seed.select("doc_id", "n", F.col("start").alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("round")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("draw"))
+    part = lambda x: hashed(F.col("doc_id"), F.col("seed"), F.col("round"), F.col("draw"), F.lit(x))
+    u, v = (part("u") + 1) / 4294967297.0, part("v") / 4294967296.0
+    center = F.floor(F.col("seed") + 100 + F.col("n") / 20.0 / F.pow(F.lit(2.0), F.col("round") - 1) * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)) - 100
+    return t.select("doc_id", "seed", F.col("round").cast("long").alias("round"), F.col("draw").cast("long").alias("draw"), F.least(F.greatest(center, F.lit(0)), F.col("n") - 200).cast("long").alias("start"))
+
+
+@query()
+def txt_packed_chunks(spark, d):
+    """Each text in chunks of whole sentences, 200 characters or more where the paragraph has them; chunks of up to ten characters are left out."""
+    return _docs(spark, d).mapInPandas(tx.packed_rows, "doc_id long, chunk long, start long, size long, text_md5 string")
+
+
 def queries() -> dict:
     return dict(Q)
 
