@@ -125,16 +125,6 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.round(F.size(F.array_intersect(ta, tb)) / union * 100)).otherwise(F.lit(0.0))
 
 
-def hybrid(text: Column, most: int) -> Column:
-    """The patterns of a text, then its keywords by number and first place, `most` in all, each marked as what it is."""
-    words = keywords(text)
-    # counted over the text's own words, in order of their first place
-    distinct = F.array_distinct(words)
-    counted = F.transform(distinct, lambda w, i: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
-    best = F.transform(F.slice(F.array_sort(counted), 1, most), lambda x: F.concat(F.lit("keyword "), x["w"]))
-    return F.slice(F.concat(F.transform(error_patterns(text), lambda p: F.concat(F.lit("pattern "), p)), best), 1, most)
-
-
 def cause_and_effect(text: Column) -> tuple[Column, Column]:
     """What stands before and after the connectives of a text, else its commas; the text for both if it has neither."""
     a = F.split(text, CAUSE_EFFECT)

@@ -200,9 +200,15 @@ def proof_products(rule_items: DataFrame, weights: DataFrame, k: int = 3) -> tup
     pre = items.where("side = 'pre'").join(value, "sig", "left")
     per = pre.groupBy("regulation_id").agg(F.product(F.coalesce("best", F.lit(1.0))).alias("product"), F.bool_and(F.coalesce("some", F.lit(True))).alias("all"))
     both = weights.join(per, "regulation_id", "left").select("regulation_id", ((F.col("w") > 0) & F.coalesce("all", F.lit(True))).alias("possible"), F.round(F.col("w") * F.coalesce("product", F.lit(1.0)), 9).alias("likeliest"))
-    # only the k + 1 best proofs of a precondition can be among its k best without the rule itself
-    top = concluded.withColumn("r", F.row_number().over(Window.partitionBy("sig", F.pmod(F.xxhash64("by"), F.lit(32))).orderBy(F.desc("w"), "by"))).where(F.col("r") <= k + 1)
-    top = top.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("w"), "by"))).where(F.col("r") <= k + 1).drop("r")
+    # only the k + 1 best proofs of a precondition can be among its k best without the rule itself; if that weighs nothing all are equal, and the first by name count
+    salt = F.pmod(F.xxhash64("by"), F.lit(32))
+
+    def first(t: DataFrame, *order: Column | str) -> DataFrame:
+        for group in (["sig", salt], ["sig"]):
+            t = t.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("r") <= k + 1).drop("r")
+        return t
+
+    top = first(concluded, F.desc("w"), "by").unionByName(first(concluded, "by")).distinct()
     chained = items.where("side = 'pre'").select("regulation_id", "sig").join(weights, "regulation_id").withColumnRenamed("w", "own").join(top, "sig").where("by <> regulation_id")
     chained = chained.select("regulation_id", "sig", F.concat_ws(">", "by", "regulation_id").alias("proof"), F.round(F.col("w") * F.col("own"), 9).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("regulation_id", "sig").orderBy(F.desc("weight"), "proof"))

@@ -95,6 +95,27 @@ def similar_pairs(sets: DataFrame, key: str, members: str, least: float) -> Data
     return pairs.where(F.col("similarity") >= least - 1e-12).select("a", "b", F.round("similarity", 9).alias("similarity")).distinct()
 
 
+def cosine_pairs(vectors: DataFrame, key: str, member: str, weight: str, least: float) -> DataFrame:
+    """(a, b, cosine): pairs a < b of vectors (rows of key, member, weight) whose cosine is at least `least`.
+
+    Members are taken in order of rarity. The rest of a unit vector, from where
+    its length falls below `least`, cannot make a pair alone, so two vectors
+    that are alike enough share a member of the parts before: only those meet,
+    which leaves the frequent members out. `least` must be above 0.
+    """
+    norm = vectors.groupBy(key).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
+    n = vectors.groupBy(member).agg(F.count("*").alias("n"))
+    unit = vectors.join(norm, key).where("norm > 0").join(n, member).select(key, F.struct("n", F.col(member).alias("m"), (F.col(weight) / F.col("norm")).alias("w")).alias("x"))
+    v = materialize(unit.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("v")), "vectors")  # a row's members
+    rest = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+    head = F.filter("v", lambda x, i: rest(i) >= least * least - 1e-12)
+    p = v.select(key, "v", F.explode(head).alias("x")).select(key, "v", F.col("x.m").alias("m"))
+    a, b = p.withColumnsRenamed({key: "a", "v": "va"}), p.withColumnsRenamed({key: "b", "v": "vb"})
+    dot = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.get(F.filter("vb", lambda y: y["m"] == x["m"]), F.lit(0))["w"], F.lit(0.0)))
+    both = salted_join(a, b, ["m"], hot=hot_keys(p, ["m"], least=1000)).where("a < b").withColumn("cosine", F.round(dot, 9))
+    return both.where(F.col("cosine") >= least - 1e-9).select("a", "b", "cosine").distinct()
+
+
 def leader_clusters(pairs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """(<key>, leader): greedy leader clustering over similar pairs, in order of keys.
 

@@ -62,6 +62,8 @@ def matches(nodes: DataFrame, degrees: DataFrame, edges: DataFrame, slots: DataF
         met = 0
         for a in lines:
             x, y = a["from_role"], a["to_role"]
+            if x == y:  # no node has an arrow to itself
+                continue
             e = edges.where((F.col("kind") == a["kind"]) & (F.col("src") != F.col("dst")))
             e = e.join(here.where(F.col("role") == x).select(F.col("node").alias("src")), "src", "leftsemi").join(here.where(F.col("role") == y).select(F.col("node").alias("dst")), "dst", "leftsemi").select(F.col("src").alias(x), F.col("dst").alias(y))
             if bound is None:

@@ -233,9 +233,17 @@ def rct_search(spark, d):
 
 @query()
 def txt_keyword_clusters(spark, d):
-    """The leader of every document with keywords: greedy leader clusters of its leading keywords at Jaccard similarity 0.5."""
-    sets = texts.txt_tfidf(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    return reasoning.led(materialize(sets, "keyword-sets"), "doc_id", "words", 0.5)
+    """The leader of every document with keywords: greedy leader clusters of the vectors of its ten leading keywords at cosine 0.3.
+
+    Documents with the same vector are one class, which is clustered by its first.
+    """
+    top = materialize(texts.txt_tfidf(spark, d).where("tfidf > 0"), "keyword-vectors")
+    sets = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "tfidf"))).alias("v"))
+    own = materialize(sets.join(sets.groupBy("v").agg(F.min("doc_id").alias("class_id")), "v").select("doc_id", "class_id"), "classes")
+    one = own.where("doc_id = class_id").select("doc_id")
+    pairs = reasoning.cosine_pairs(top.join(one, "doc_id", "leftsemi"), "doc_id", "word", "tfidf", 0.3)
+    leaders = reasoning.leader_clusters(pairs.select("a", "b"), one, "doc_id").withColumnRenamed("doc_id", "class_id")
+    return own.join(leaders, "class_id").select("doc_id", "leader")
 
 
 @query("select doc_id, round(10.0 * sum(idf * least(3, n)) / (3 * sum(idf)), 1) score from (select doc_id, w, idf, (length(lower(text)) - length(replace(lower(text), w, ''))) / length(w) n from documents, (values ('rule', 1.0), ('support', 2.0), ('writer', 1.5)) k(w, idf) where text is not null) group by 1 having sum(n) > 0", False)

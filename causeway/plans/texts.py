@@ -313,8 +313,10 @@ pn as (select doc_id, count(*) n from p group by 1)
 select d.doc_id, coalesce(pn.n, 0) patterns, least(15 - least(15, coalesce(pn.n, 0)), coalesce(kn.n, 0)) keywords from {_D} d left join pn using (doc_id) left join (select doc_id, count(*) n from k where rank <= 15 group by 1) kn using (doc_id)""")
 def txt_hybrid_features(spark, d):
     """How many of the fifteen features of a text, patterns first and then its most frequent keywords, are of either kind."""
-    t = _docs(spark, d).select("doc_id", tx.hybrid(F.col("text"), 15).alias("f"))
-    return t.select("doc_id", F.size(F.filter("f", lambda x: x.startswith("pattern "))).cast("long").alias("patterns"), F.size(F.filter("f", lambda x: x.startswith("keyword "))).cast("long").alias("keywords"))
+    patterns = _docs(spark, d).select("doc_id", F.size(tx.error_patterns(F.col("text"))).cast("long").alias("patterns"))
+    words = _words(spark, d).select("doc_id", "word").distinct().groupBy("doc_id").agg(F.count("*").alias("words"))
+    room = F.lit(15) - F.least(F.lit(15), F.col("patterns"))
+    return patterns.join(words, "doc_id", "left").select("doc_id", "patterns", F.least(room, F.coalesce("words", F.lit(0))).cast("long").alias("keywords"))
 
 
 _LINES = "(select doc_id, i - 1 line, trim(l) l from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) i from (select doc_id, text from documents where text is not null)) where len(trim(l)) > 0)"

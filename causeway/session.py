@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_scratch: dict[str, list[str]] = {}
 
 
 def get_session(cores: int | str = "*", app: str = "causeway") -> SparkSession:
@@ -58,10 +59,24 @@ def _delete(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the session ends."""
     path = f"{shared_dir(spark)}/causeway-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = []
+        atexit.register(release, spark)
+    _scratch[app].append(path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all scratch tables written so far: to be called between queries, once the results of those before are read, by a session that lives long."""
+    try:
+        paths = _scratch.get(spark.sparkContext.applicationId, [])
+    except Exception:  # the session is gone
+        return
+    while paths:
+        _delete(spark, paths.pop())
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once to the shared folder and return a scan of it.
 
@@ -92,3 +107,6 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_causeway_path", None)
     if path:
         _delete(df.sparkSession, path)
+        own = _scratch.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in own:
+            own.remove(path)

@@ -17,7 +17,16 @@ def test_every_row_has_a_leader_or_class(spark, duck):
     have = {r[0] for r in duck.execute(PRELUDE + "select observation_id from observation_sets where len(preds) > 0").fetchall()}
     assert set(led) == set(own) == have and all(led[k] == led[c] for k, c in own.items())
     docs = QUERIES["txt_keyword_clusters"](spark, DATA)
-    assert docs.count() == QUERIES["txt_tfidf"](spark, DATA).select("doc_id").distinct().count()
+    assert docs.count() == QUERIES["txt_tfidf"](spark, DATA).where("tfidf > 0").select("doc_id").distinct().count()
+    vectors = {}
+    for r in QUERIES["txt_tfidf"](spark, DATA).where("tfidf > 0").collect():
+        vectors.setdefault(r["doc_id"], {})[r["word"]] = r["tfidf"]
+    size = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in vectors.items()}
+    lead = {}
+    for k in sorted(vectors):
+        alike = (l for l in sorted(lead) if lead[l] == l and sum(x * vectors[l].get(w, 0) for w, x in vectors[k].items()) / size[k] / size[l] >= 0.3 - 1e-9)
+        lead[k] = next(alike, k)
+    assert {r["doc_id"]: r["leader"] for r in docs.collect()} == lead
 
     m, p = QUERIES["agg_conflict_classes"](spark, DATA).collect(), QUERIES["agg_conflicting_rules"](spark, DATA).collect()
     by = {}
