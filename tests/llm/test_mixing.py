@@ -77,3 +77,14 @@ def test_reference_shares(spark):
     rows = {r["source"]: r for r in queries.p9_shares(spark, DATA).collect()}
     assert len(rows) == 9 and abs(sum(r["actual_share"] for r in rows.values()) - 1) < 1e-9
     assert all(r["max_copies"] <= r["max_repeats"] for r in rows.values())
+
+
+def test_the_place_of_the_fit_does_not_matter(spark):
+    """A source at its cap, another that still fills up, and one whose cap is 0 with a large goal: the same weights and rounds on the driver and on the cluster."""
+    cells = pd.DataFrame([("a", "en", "x", 900), ("a", "de", "x", 10), ("b", "en", "x", 40), ("b", "de", "y", 700), ("c", "en", "y", 50)], columns=["source", "lang", "topic", "tokens"])
+    targets = pd.DataFrame([("a", 0.6, 1), ("b", 0.3, 3), ("c", 0.1, 0)], columns=["source", "target_share", "max_repeats"])
+    for total in (2500.0, 1e10):
+        here = mixing.rake(cells, targets, total)
+        there = mixing.rake_on_cluster(mixing._frame(spark, cells, "source string, lang string, topic string, tokens long"), mixing._frame(spark, targets, "source string, target_share double, max_repeats int"), total)
+        a, b = (x.set_index(["source", "lang", "topic"]).weight.sort_index() for x in (here.weights, there.weights.toPandas()))
+        assert here.rounds == there.rounds and here.converged == there.converged and np.isfinite(a).all() and np.allclose(a, b, rtol=1e-11, atol=0)
