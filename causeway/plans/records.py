@@ -219,10 +219,16 @@ def prj_scope_compatible(spark, d):
     return own.join(hit, "pre", "left").select("regulation_id", F.when(F.size("pre") == 0, F.lit(whole)).otherwise(F.coalesce("k", F.lit(0))).alias("n"))
 
 
+def _members(spark, d):
+    """(key, sig): the distinct facts of each observation."""
+    return base.facts(spark, d).select(F.col("observation_id").alias("key"), "sig").distinct()
+
+
 @query("select r.regulation_id, count(*) support from (select regulation_id, pre from rule_sets where len(pre) > 0) r join observation_sets o on list_has_all(o.sigs, r.pre) group by 1", True)
 def agg_count_support(spark, d):
-    hits = fx.satisfying(base.rule_sets(spark, d), base.observation_sets(spark, d), base.facts(spark, d))
-    return hits.groupBy("regulation_id").agg(F.count("*").alias("support"))
+    rules = materialize(base.rule_sets(spark, d).select("regulation_id", F.col("pre").alias("need")), "rules")
+    held = fx.containing(rules, _members(spark, d))
+    return rules.join(held, "need").select("regulation_id", F.col("n").alias("support"))
 
 
 @query("select r.regulation_id, count(*) filter (len(list_intersect(o.sigs, r.eff)) > 0) support, count(*) filter (len(list_intersect(o.sigs, r.eff)) = 0) conflicts from (select regulation_id, pre, eff from rule_sets where len(pre) > 0) r join observation_sets o on list_has_all(o.sigs, r.pre) group by 1", True)
