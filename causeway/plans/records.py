@@ -234,10 +234,23 @@ def agg_count_support(spark, d):
 @query("select r.regulation_id, count(*) filter (len(list_intersect(o.sigs, r.eff)) > 0) support, count(*) filter (len(list_intersect(o.sigs, r.eff)) = 0) conflicts from (select regulation_id, pre, eff from rule_sets where len(pre) > 0) r join observation_sets o on list_has_all(o.sigs, r.pre) group by 1", True)
 def exp_validate_rules(spark, d):
     """Support and conflicts of every rule over all observations that satisfy its preconditions."""
-    rules, obs = base.rule_sets(spark, d), base.observation_sets(spark, d)
-    hits = fx.satisfying(rules, obs, base.facts(spark, d)).join(rules.select("regulation_id", "eff"), "regulation_id").join(obs.select("observation_id", "sigs"), "observation_id")
-    some = F.arrays_overlap("sigs", "eff")
-    return hits.groupBy("regulation_id").agg(F.count_if(some).alias("support"), F.count_if(~some).alias("conflicts"))
+    every = materialize(base.rule_sets(spark, d).select("regulation_id", "pre", "eff").where(F.size("pre") > 0), "rules")
+    # the parts of more effects than these are too many: such rules meet their observations
+    wide = F.size(F.array_except("eff", "pre")) > fx.ENUMERATED
+    rules, obs = every.where(~wide), base.observation_sets(spark, d)
+    hits = fx.satisfying(every.where(wide), obs, base.facts(spark, d)).join(every, "regulation_id").join(obs.select("observation_id", "sigs"), "observation_id")
+    hits = hits.groupBy("regulation_id").agg(F.count_if(F.arrays_overlap("sigs", "eff")).alias("support"), F.count_if(~F.arrays_overlap("sigs", "eff")).alias("conflicts"))
+    # who shows some of the effects: by inclusion and exclusion over those that are no preconditions
+    free = F.array_except("eff", "pre")
+    parts = F.aggregate(free, F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, x))))
+    sign = F.when(F.size("part") % 2 == 1, 1).otherwise(-1)
+    met = rules.select("regulation_id", "pre", (F.size("eff") > F.size(free)).alias("always"), F.explode(parts).alias("part"))
+    met = materialize(met.select("regulation_id", "always", F.when(F.size("part") > 0, sign).otherwise(0).alias("sign"), F.array_sort(F.concat("pre", "part")).alias("need")), "needs")
+    held = fx.containing(met, _members(spark, d))
+    n = met.join(held, "need").groupBy("regulation_id", "always").agg(F.sum(F.when(F.col("sign") == 0, F.col("n"))).alias("n"), F.sum(F.col("n") * F.col("sign")).alias("some"))
+    some = F.when(F.col("always"), F.col("n")).otherwise(F.col("some"))
+    out = n.select("regulation_id", some.alias("support"), (F.col("n") - some).alias("conflicts"))
+    return out.unionByName(hits) if every.where(wide).limit(1).count() else out
 
 
 @query("select first, regulation_id as copy from (select regulation_id, min(regulation_id) over (partition by pre, eff) first from rule_sets) where first <> regulation_id", True)
