@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.operators import reasoning
 from causeway.operators.explain import candidate_counts, fits
-from causeway.operators.facts import jaccard, satisfying
+from causeway.operators.facts import containing, jaccard
 from causeway.session import materialize
 from causeway.skew import salted_join
 
@@ -142,15 +142,16 @@ def refuted(rules: DataFrame, observations: DataFrame, facts: DataFrame) -> Data
     hashes. Without preconditions all observations support a rule.
     """
     facts = materialize(facts.select("observation_id", "ord", "pred", "val", "sig").distinct(), "facts")
-    observations = materialize(observations.select("observation_id", "sigs"), "observation-sets")
+    observations = observations.select("observation_id")
     ranked, sizes = value_ranks(facts)
     ranked, sizes = materialize(ranked, "values"), materialize(sizes, "value-counts")
     rounds = F.explode(F.sequence(F.lit(1), F.lit(ROUNDS)))
     plain = rules.select("regulation_id", F.transform("items", lambda x: x["sig"]).alias("pre"))
-    real = materialize(satisfying(plain, observations, facts), "supporters")
     inside = hashed(F.col("observation_id"), F.lit("subset")) % 10 < SUBSET_SHARE
     all_ = observations.agg(F.count("*").alias("n"), F.count_if(inside).alias("n7")).first()  # one row
-    real_n = real.groupBy("regulation_id").agg(F.count("*").alias("support"), F.count_if(inside).alias("subset"))
+    members = facts.select(F.col("observation_id").alias("key"), "sig").distinct()
+    held = containing(plain.select(F.col("pre").alias("need")), members, subset=hashed(F.col("key"), F.lit("subset")) % 10 < SUBSET_SHARE)
+    real_n = plain.join(held, plain["pre"] == held["need"]).select("regulation_id", F.col("n").alias("support"), "subset")
     # placebo: another value for each precondition; a predicate with one value keeps it
     p = rules.select("regulation_id", F.explode("items").alias("p")).select("regulation_id", "p.*", rounds.alias("round"))
     p = p.join(sizes, "pred", "left").join(ranked.withColumnRenamed("idx", "own"), ["pred", "val"], "left")
@@ -158,15 +159,16 @@ def refuted(rules: DataFrame, observations: DataFrame, facts: DataFrame) -> Data
     drawn = hashed(F.col("regulation_id"), F.col("sig"), F.col("round")) % F.greatest(others, F.lit(1))
     p = p.withColumn("idx", F.when(others > 0, drawn + F.when(F.col("own").isNotNull() & (drawn >= F.col("own")), 1).otherwise(0)))
     p = p.join(ranked.select("pred", F.col("val").alias("other"), "idx"), ["pred", "idx"], "left").withColumn("sig", F.when(F.col("other").isNotNull(), F.concat_ws("|", "pred", "other")).otherwise(F.col("sig")))
-    fake = p.groupBy(F.concat_ws("#", "regulation_id", "round").alias("regulation_id")).agg(F.array_sort(F.collect_set("sig")).alias("pre"))
-    of_rule = F.regexp_replace("regulation_id", "#[0-9]+$", "").alias("regulation_id")
-    placebo_n = satisfying(fake, observations, facts).groupBy(of_rule).agg(F.count("*").alias("placebo"))
+    fake = materialize(p.groupBy("regulation_id", "round").agg(F.array_sort(F.collect_set("sig")).alias("need")), "placebos")
+    placebo_n = fake.join(containing(fake, members), "need").groupBy("regulation_id").agg(F.sum("n").alias("placebo"))
     # permutation: another observation per round, with values drawn for its facts
     f = facts.select("observation_id", "ord", "pred", rounds.alias("round")).join(sizes, "pred").withColumn("idx", hashed(F.col("observation_id"), F.col("ord"), F.col("round")) % F.col("n"))
-    f = f.join(ranked, ["pred", "idx"]).select(F.concat_ws("#", "observation_id", "round").alias("observation_id"), F.concat_ws("|", "pred", "val").alias("sig")).distinct()
-    f = materialize(f, "permuted")
-    sets = f.groupBy("observation_id").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
-    permuted_n = satisfying(plain, sets, f).groupBy("regulation_id").agg(F.count("*").alias("permuted"))
+    # only what some rule asks for
+    needed = rules.select(F.explode("items").alias("p")).select("p.sig").distinct()
+    ranked = ranked.withColumn("sig", F.concat_ws("|", "pred", "val")).join(needed, "sig", "leftsemi").select("pred", "idx", "sig")
+    f = f.join(ranked, ["pred", "idx"]).select(F.struct("observation_id", "round").alias("key"), "sig").distinct()
+    moved = containing(plain.select(F.col("pre").alias("need")), f)
+    permuted_n = plain.join(moved, plain["pre"] == moved["need"]).select("regulation_id", F.col("n").alias("permuted"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     bare = F.size("pre") == 0
     n, n7 = F.lit(all_["n"]), F.lit(all_["n7"])
