@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.operators import walks
 from causeway.session import materialize, materialize_counted
 
 # Kinds of edges with family, transitivity and default force.
@@ -169,12 +170,17 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int, legal: bool =
 def paths_between(edges: DataFrame, pairs: DataFrame, depth: int = 5, most: int = 50) -> DataFrame:
     """(start, end, path, weight): the `most` heaviest simple paths of at most depth edges between each pair (columns start, end).
 
-    First the ends are searched backwards, so that the walk from the starts
-    only enters nodes from which its end can still be reached in the steps
-    that are left. A path stops at its end.
+    Up to walks.MAX_EDGES edges the paths are taken heaviest first by a worker
+    that holds the graph, so only those are made that can be among the `most`.
+    Beyond, all are made by joins: first the ends are searched backwards, so
+    that the walk from the starts only enters nodes from which its end can
+    still be reached in the steps that are left. A path stops at its end.
     """
-    e = edges.groupBy(F.col("src").alias("node"), "dst").agg(F.max("weight").alias("w"))
+    e, counts = materialize_counted(edges.groupBy("src", "dst").agg(F.max("weight").alias("w")), "heaviest-edges", n=F.count("*"))
     pairs = pairs.select("start", "end").where("start <> end").distinct()
+    if 0 < counts["n"] <= walks.MAX_EDGES:
+        return walks.heaviest_paths(walks.hold(e), pairs, depth, most).withColumn("weight", F.round("weight", 9))
+    e = e.withColumnRenamed("src", "node")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     near = reachable(back, pairs.select(F.col("end").alias("start")).distinct(), depth - 1)
     near = materialize(near.select(F.col("start").alias("end"), F.col("node").alias("dst"), "distance").unionByName(pairs.select("end", F.col("end").alias("dst"), F.lit(0).alias("distance")).distinct()), "distances")
