@@ -197,16 +197,30 @@ def paths_between(edges: DataFrame, pairs: DataFrame, depth: int = 5, most: int
     return out.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
-def shortcuts(edges: DataFrame, least: float = 0.6, evidence: int = 3) -> DataFrame:
-    """(src, dst, via, hops, weight): for each pair joined by compiled edges with enough weight and evidence, its shortest chain of two hops or more, first by name.
+def shortcuts(edges: DataFrame, least: float = 0.6, evidence: int = 3, touched: DataFrame | None = None, named: bool = True) -> DataFrame:
+    """(src, dst, via, hops, weight), or (src, dst, hops) unless named: for each pair joined by compiled edges with enough weight and evidence, its shortest chain of two hops or more, first by name.
 
-    Chains have any length: each pair is entered once, at its least distance,
-    and from there goes on, until a level finds no new pair.
+    Chains have any length. With touched (src, dst), those over one of its
+    hops are left out, as by valid_shortcuts. Up to walks.MAX_EDGES edges each
+    start is walked from by a worker that holds the graph; beyond, and where
+    names would order otherwise than paths, by joins.
     """
-    strong = edges.where((F.col("mode") == "compiled") & (F.col("weight") >= least) & (F.col("evidence") >= evidence)).groupBy("src", "dst").agg(F.max("weight").alias("w"))
-    strong = materialize(strong, "strong-edges")
+    strong = edges.where((F.col("mode") == "compiled") & (F.col("weight") >= least) & (F.col("evidence") >= evidence) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.max("weight").alias("w"))
+    if touched is not None:
+        strong = strong.join(touched.select("src", "dst").distinct().withColumn("bad", F.lit(True)), ["src", "dst"], "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    strong, counts = materialize_counted(strong, "strong-edges", n=F.count("*"))
+    if 0 < counts["n"] <= walks.MAX_EDGES and (held := walks.hold(strong)).plain:
+        out = walks.chains(held, edges.sparkSession, named)
+        return out.withColumn("weight", F.round("weight", 9)) if named else out
+    out = _joined_shortcuts(strong)
+    out = out if touched is None else valid_shortcuts(out, touched)
+    return out if named else out.select("src", "dst", "hops")
+
+
+def _joined_shortcuts(strong: DataFrame) -> DataFrame:
+    """shortcuts() of strong (src, dst, w): each pair is entered once, at its least distance, and from there goes on, until a level finds no new pair."""
     e = strong.select(F.col("src").alias("node"), F.col("dst").alias("next"), "w")
-    front = strong.where("src <> dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.concat_ws(" > ", "src", "dst").alias("via"), F.col("w").alias("weight"), F.lit(1).cast("long").alias("hops"))
+    front = strong.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.concat_ws(" > ", "src", "dst").alias("via"), F.col("w").alias("weight"), F.lit(1).cast("long").alias("hops"))
     direct, seen, out, n = front, front.select("start", "node"), None, 1
     while n:
         step = front.join(e, "node").where("start <> next").select("start", F.col("next").alias("node"), F.concat_ws(" > ", "via", "next").alias("via"), (F.col("weight") * F.col("w")).alias("weight"), (F.col("hops") + 1).alias("hops"))

@@ -10,7 +10,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed value: the most edges a worker holds (about 60 bytes each); operators on larger graphs join instead.
 MAX_EDGES = 2_000_000
@@ -106,3 +106,60 @@ def heaviest_paths(g: Held, pairs: DataFrame, depth: int, most: int) -> DataFram
                     yield pa.RecordBatch.from_pydict({"start": [s] * len(rows), "end": [e] * len(rows), "path": [p for p, _ in rows], "weight": [w for _, w in rows]})
 
     return pairs.select("start", "end").mapInArrow(walk, "start string, end string, path string, weight double")
+
+
+def _chains(g: Held, starts: np.ndarray, named: bool) -> Iterator[pa.RecordBatch]:
+    """shortcuts() of a run of starts, level by level.
+
+    What is known lies in the order of its names, and so do the next nodes of
+    each; the first chain that meets a node is therefore the first by name.
+    """
+    n, k = len(g.names), len(starts)
+    deg = np.diff(g.first)
+    level, met = np.zeros(k * n, np.int8), np.empty(k * n, np.int64)
+    row, node = np.arange(k), starts
+    w, bad, via, hops = np.ones(k), np.zeros(k, bool), g.names.take(pa.array(starts)) if named else None, 0
+    while len(node):
+        many = deg[node]
+        up = np.repeat(np.arange(len(node)), many)
+        edge = np.arange(len(up)) + np.repeat(g.first[node] - (np.cumsum(many) - many), many)
+        edge, up = (x[g.dst[edge] != starts[row[up]]] for x in (edge, up))
+        key = row[up] * n + g.dst[edge]
+        hops += 1
+
+        def firsts(which: np.ndarray) -> np.ndarray:
+            own = np.flatnonzero(which)
+            met[key[own][::-1]] = own[::-1]  # of equal keys the first stays
+            return own[met[key[own]] == own]
+
+        new = firsts(level[key] == 0)
+        # a pair with an edge of its own is reached in one hop; its shortest longer chain is one of two
+        again = firsts(level[key] == 1) if hops == 2 else new[:0]
+        level[key[new]] = min(hops, 3)
+        out = np.concatenate([new, again])
+        nodes, rows, ws, bads = g.dst[edge[out]], row[up[out]], w[up[out]] * g.w[edge[out]], bad[up[out]] | g.bad[edge[out]]
+        vias = pc.binary_join_element_wise(via.take(pa.array(up[out])), g.names.take(pa.array(nodes)), SEP) if named else None
+        if hops > 1:
+            good = np.flatnonzero(~bads)
+            for i in range(0, len(good), _ROWS):
+                at = good[i : i + _ROWS]
+                cols = {"src": g.names.take(pa.array(starts[rows[at]])), "dst": g.names.take(pa.array(nodes[at]))} | ({"via": vias.take(pa.array(at))} if named else {}) | {"hops": pa.array(np.full(len(at), hops, np.int64))} | ({"weight": pa.array(ws[at])} if named else {})
+                yield pa.RecordBatch.from_pydict(cols)
+        go = np.flatnonzero(deg[nodes[: len(new)]] > 0)
+        row, node, w, bad, via = rows[go], nodes[go], ws[go], bads[go], vias.take(pa.array(go)) if named else None
+
+
+def chains(g: Held, spark: SparkSession, named: bool = True) -> DataFrame:
+    """(src, dst, via, hops, weight), or (src, dst, hops) unless named: of each pair of nodes its shortest chain of two edges or more, first by name, if none of its edges is bad; weight is not rounded yet."""
+    sent = spark.sparkContext.broadcast(g)
+    starts = np.flatnonzero(np.diff(g.first))
+    run = max(1, _CELLS // max(1, len(g.names)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for i in range(0, len(ids), run):
+                yield from _chains(sent.value, starts[ids[i : i + run]], named)
+
+    tasks = max(1, min(len(starts), 8 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, len(starts), 1, tasks).mapInArrow(walk, "src string, dst string, via string, hops long, weight double" if named else "src string, dst string, hops long")

@@ -36,3 +36,37 @@ def test_heaviest_paths_as_by_joins(spark, monkeypatch):
     held = rows(graph.paths_between(df, pairs, most=7))
     monkeypatch.setattr(walks, "MAX_EDGES", 0)
     assert held and held == rows(graph.paths_between(df, pairs, most=7))
+
+
+def test_shortcuts_as_by_joins(spark, monkeypatch):
+    """Every column, with and without touched hops, on a graph with cycles, loops and names that are parts of others."""
+    names = ["a", "a b", "b", "é", "z|1", "z|10", "ß", "x>", "q", "r", "s", "t"]
+    e = random_edges(8, names, 0.2, [1.0, 0.75, 0.6, 0.3]) | {("q", "q"): 1.0}
+    df = edges(spark, e)
+    touched = spark.createDataFrame([k for k, w in sorted(e.items()) if w == 0.75], "src string, dst string")
+    every = lambda: [rows(graph.shortcuts(df)), rows(graph.shortcuts(df, named=False)), rows(graph.shortcuts(df, touched=touched)), rows(graph.valid_shortcuts(graph.shortcuts(df), touched))]
+    held = every()
+    assert held[2] == held[3] and 0 < len(held[2]) < len(held[0])
+    monkeypatch.setattr(walks, "MAX_EDGES", 0)
+    assert held == every()
+
+
+def test_shortcuts_of_names_that_hold_the_separator(spark, monkeypatch):
+    """A name that begins another with the separator behind it orders chains otherwise than their nodes: these are joined."""
+    names = ["a", "a > b", "b", "a > b > c", "c"]
+    df = edges(spark, random_edges(2, names, 0.6, [1.0, 0.75]))
+    got = rows(graph.shortcuts(df))
+    monkeypatch.setattr(walks, "MAX_EDGES", 0)
+    assert got and got == rows(graph.shortcuts(df))
+
+
+def test_shortcuts_write_no_levels(spark):
+    """The levels of a long chain are not written and read again, one job each: one table, of the edges, is."""
+    from causeway import session
+
+    e = {(f"n{i:02d}", f"n{i + 1:02d}"): 1.0 for i in range(30)}
+    app = spark.sparkContext.applicationId
+    before = len(session._scratch.get(app, []))
+    got = graph.shortcuts(edges(spark, e), named=False)
+    assert len(session._scratch[app]) - before == 1
+    assert {(r["src"], r["dst"]): r["hops"] for r in got.collect()} == {(f"n{i:02d}", f"n{j:02d}"): j - i for i in range(31) for j in range(i + 2, 31)}
