@@ -175,8 +175,7 @@ def gra_shortcuts(spark, d):
 def gra_invalidate_shortcuts(spark, d):
     """The shortcuts that still hold once the edges below 0.8 have changed their weight."""
     e = materialize(base.edges(spark, d), "edges")
-    changes = e.where("weight < 0.8").select("src", "dst", "kind", F.lit(None).cast("string").alias("kind2"), F.lit(0.8).alias("weight2"), F.lit(None).cast("string").alias("mode2"))
-    return graph.patch_edges(e, changes, graph.shortcuts(e))[1].select("src", "dst", "via")
+    return graph.shortcuts(e, touched=e.where("weight < 0.8").select("src", "dst")).select("src", "dst", "via")
 
 
 # -- templates and classes, given as tables
