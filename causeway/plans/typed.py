@@ -162,7 +162,7 @@ select start src, node dst, cast(case when near.n > 1 then near.n else 2 end as
 @query(_REACH_ALL)
 def gra_shortcut_hops(spark, d):
     """The length of each shortcut."""
-    return graph.shortcuts(base.edges(spark, d)).select("src", "dst", "hops")
+    return graph.shortcuts(base.edges(spark, d), named=False)
 
 
 @query()
