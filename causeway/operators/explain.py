@@ -82,24 +82,30 @@ def _count_for(scopes: Column, context: Column) -> Column:
 _SCOPES = f"array<struct<scope:{PAIRS},n:bigint>>"
 
 
-def _effects(rules: DataFrame, counts: DataFrame, keep: int) -> DataFrame:
-    """(pred, val, eff, regulation_id, gain, scope, pre): the rules by effect, their preconditions with the scopes of what could derive them.
+_PRE = f"array<struct<i:int,pred:string,val:string,args:{PAIRS},scopes:{_SCOPES}>>"
+
+
+def _conditions(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """(regulation_id, pre): the preconditions of each rule that has some, with the scopes of what could derive them."""
+    p = rules.select("regulation_id", F.posexplode("pre").alias("i", "p")).select("regulation_id", "i", "p", F.col("p.pred").alias("pred"), F.col("p.val").alias("val"))
+    p = p.join(counts, [p["pred"].eqNullSafe(counts["pred"]), p["val"].eqNullSafe(counts["val"])], "left").select("regulation_id", F.struct("i", F.col("p.pred").alias("pred"), F.col("p.val").alias("val"), F.col("p.args").alias("args"), F.coalesce("scopes", F.array().cast(_SCOPES)).alias("scopes")).alias("p"))
+    return p.groupBy("regulation_id").agg(F.array_sort(F.collect_list("p"), lambda x, y: x["i"] - y["i"]).alias("pre"))
+
+
+def _effects(rules: DataFrame, keep: int) -> DataFrame:
+    """(pred, val, eff, regulation_id, gain, scope): the rules by effect.
 
     Of rules with the same effect, arguments and scope only the `keep` best can
     ever be in a beam, since they unify alike and differ in score only; they
     are found in two levels, so that a frequent effect is no hot group.
     """
-    p = rules.select("regulation_id", F.posexplode("pre").alias("i", "p")).select("regulation_id", "i", "p", F.col("p.pred").alias("pred"), F.col("p.val").alias("val"))
-    p = p.join(counts, [p["pred"].eqNullSafe(counts["pred"]), p["val"].eqNullSafe(counts["val"])], "left").select("regulation_id", F.struct("i", F.col("p.pred").alias("pred"), F.col("p.val").alias("val"), F.col("p.args").alias("args"), F.coalesce("scopes", F.array().cast(_SCOPES)).alias("scopes")).alias("p"))
-    pre = p.groupBy("regulation_id").agg(F.array_sort(F.collect_list("p"), lambda x, y: x["i"] - y["i"]).alias("pre"))
     e = rules.select("regulation_id", "scope", F.round(F.log("score"), 9).alias("gain"), F.explode(F.array_distinct("eff")).alias("eff")).select("*", F.col("eff.pred").alias("pred"), F.col("eff.val").alias("val"))
     alike = [F.col("eff"), F.col("scope")]
     best = [F.desc("gain"), F.col("regulation_id")]
     salt = F.pmod(F.xxhash64("regulation_id"), F.lit(32))
     e = e.withColumn("__r", F.row_number().over(Window.partitionBy(*alike, salt).orderBy(*best))).where(F.col("__r") <= keep)
-    e = e.withColumn("__r", F.row_number().over(Window.partitionBy(*alike).orderBy(*best))).where(F.col("__r") <= keep).drop("__r")
-    none = F.array().cast(f"array<struct<i:int,pred:string,val:string,args:{PAIRS},scopes:{_SCOPES}>>")
-    return e.join(pre, "regulation_id", "left").select("pred", "val", "eff", "regulation_id", "gain", "scope", F.coalesce("pre", none).alias("pre"))
+    e = e.withColumn("__r", F.row_number().over(Window.partitionBy(*alike).orderBy(*best))).where(F.col("__r") <= keep)
+    return e.select("pred", "val", "eff", "regulation_id", "gain", "scope")
 
 
 def explain(observations: DataFrame, rules: DataFrame, beam: int = BEAM, depth: int = DEPTH, top: int = TOP, length_cost: float = RULE_COST, most_assumptions: int = 10, normalised: bool = True) -> DataFrame:
@@ -125,7 +131,8 @@ def explain(observations: DataFrame, rules: DataFrame, beam: int = BEAM, depth:
     # read by every step
     rules = materialize(rules.select("regulation_id", "score", "scope", "pre", "eff"), "rules")
     counts = materialize(candidate_counts(rules), "candidate-counts")
-    effects = materialize(_effects(rules, counts, beam + steps), "effects")
+    effects = materialize(_effects(rules, beam + steps), "effects")
+    pre = materialize(_conditions(rules, counts).join(effects.select("regulation_id").distinct(), "regulation_id", "leftsemi"), "conditions")
     sizes = effects.groupBy("pred", "val").agg(F.count("*").alias("n"))
     state = materialize(_start(observations, rules, counts, steps, most_assumptions), "states")
     finished = [_ended(state.where(F.size("goals") == 0), normalised)]
@@ -136,16 +143,22 @@ def explain(observations: DataFrame, rules: DataFrame, beam: int = BEAM, depth:
         at = F.array_min(F.transform("goals", lambda g, i: F.struct(g["n"].alias("n"), i.alias("i"))))["i"]
         pick = front.withColumn("__at", at).select(*own, "node", F.get("goals", F.col("__at")).alias("goal"), F.filter("goals", lambda g, i: i != F.col("__at")).alias("rest"))
         assumed = F.concat("assumed", F.array(F.concat_ws("|", "goal.pred", "goal.val")))
-        idle = pick.where(F.size("assumed") < most_assumptions).select("observation_id", "context", "known", F.col("rest").alias("goals"), "path", assumed.alias("assumed"), "bound", (F.col("total") - ASSUMPTION_COST).alias("total"), (F.col("steps") + 1).alias("steps"), "node", F.lit(False).alias("derived"))
-        open_ = pick.where("goal.n > 0").withColumn("pred", F.col("goal.pred")).withColumn("val", F.col("goal.val"))
+        step = ["observation_id", "node", "regulation_id", "path", "b", "total"]
+        idle = pick.where(F.size("assumed") < most_assumptions).withColumn("regulation_id", F.lit(None).cast("string")).withColumn("b", F.col("bound")).select(*step[:-1], (F.col("total") - ASSUMPTION_COST).alias("total"))
+        open_ = pick.where("goal.n > 0").select("observation_id", "node", "goal", "bound", "context", "path", "total", F.col("goal.pred").alias("pred"), F.col("goal.val").alias("val"))
         met = salted_join(open_, effects, ["pred", "val"], hot=hot_of_counts(sizes, ["pred", "val"], "n", least=1000))
         met = met.where(~F.array_contains("path", F.col("regulation_id")) & fits(F.col("scope"), F.col("context"))).withColumn("b", unify(F.col("eff"), F.col("goal"), F.col("bound"))).where("b is not null")
-        met = met.withColumn("r", _preconditions(F.col("pre"), F.col("known"), F.col("b"), F.col("context")))
-        merged = _distinct_facts(F.concat("r.goals", "rest"))
-        derived = met.select("observation_id", "context", "known", merged.alias("goals"), F.array_append("path", F.col("regulation_id")).alias("path"), "assumed", F.col("r.bound").alias("bound"), F.round(F.col("total") + F.col("gain") - length_cost, 9).alias("total"), (F.col("steps") + 1).alias("steps"), "node", F.lit(True).alias("derived"))
-        both = derived.unionByName(idle)
+        derived = met.select("observation_id", "node", "regulation_id", F.array_append("path", F.col("regulation_id")).alias("path"), "b", F.round(F.col("total") + F.col("gain") - length_cost, 9).alias("total"))
         # a goal is assumed only where no rule derives it
-        both = both.withColumn("some", F.max("derived").over(Window.partitionBy("observation_id", "node"))).where("derived or not some")
+        both = derived.unionByName(idle).repartition("observation_id").withColumn("some", F.max(F.col("regulation_id").isNotNull()).over(Window.partitionBy("observation_id", "node"))).where("regulation_id is not null or not some")
+        # the order begins with total and path, so no other can be in the beam; only for these are the preconditions looked at
+        both = both.withColumn("__r", F.rank().over(Window.partitionBy("observation_id").orderBy(*order[:2]))).where(F.col("__r") <= beam).select(*step)
+        both = both.join(pick.select("observation_id", "node", "context", "known", "rest", F.col("assumed").alias("before"), assumed.alias("after"), F.col("steps").alias("past")), ["observation_id", "node"]).join(pre, "regulation_id", "left")
+        both = both.withColumn("r", _preconditions(F.coalesce("pre", F.array().cast(_PRE)), F.col("known"), F.col("b"), F.col("context")))
+        both = both.select(
+            "observation_id", "context", "known", F.when(F.col("regulation_id").isNull(), F.col("rest")).otherwise(_distinct_facts(F.concat("r.goals", "rest"))).alias("goals"), "path",
+            F.when(F.col("regulation_id").isNull(), F.col("after")).otherwise(F.col("before")).alias("assumed"), F.col("r.bound").alias("bound"), "total", (F.col("past") + 1).alias("steps"),
+        )
         ranked = both.withColumn("node", F.row_number().over(Window.partitionBy("observation_id").orderBy(*order))).where(F.col("node") <= beam)
         nxt, seen = materialize_counted(ranked.select(*own, "node"), "states", open=F.count_if((F.size("goals") > 0) & (F.col("steps") < steps)))
         finished.append(_ended(nxt.where(F.size("goals") == 0), normalised))
@@ -195,9 +208,10 @@ def _start(observations: DataFrame, rules: DataFrame, counts: DataFrame, steps:
     g = g.join(counts, [g["pred"].eqNullSafe(counts["pred"]), g["val"].eqNullSafe(counts["val"])], "left")
     g = g.select("observation_id", F.struct("i", F.col("g.pred").alias("pred"), F.col("g.val").alias("val"), F.col("g.args").alias("args"), F.when(F.col("scopes").isNotNull(), _count_for(F.col("scopes"), F.col("context"))).otherwise(F.lit(0).cast("long")).alias("n")).alias("g"))
     goals = g.groupBy("observation_id").agg(F.array_sort(F.collect_list("g"), lambda x, y: x["i"] - y["i"]).alias("gs"))  # at most `steps` goals
-    # only facts about a predicate that some rule needs can be asked for
-    needed = rules.select(F.explode("pre").alias("p")).select("p.pred").distinct()
-    k = o.select("observation_id", F.posexplode("known").alias("i", "k")).withColumn("pred", F.col("k.pred")).join(needed, "pred", "leftsemi")
+    # only facts that some rule needs, by value or by any, can be asked for
+    needed = rules.select(F.explode("pre").alias("p")).select("p.pred", "p.val").distinct()
+    k = o.select("observation_id", F.posexplode("known").alias("i", "k")).select("observation_id", "i", "k", F.explode(F.array(F.col("k.val"), F.lit("*"))).alias("val")).withColumn("pred", F.col("k.pred"))
+    k = k.join(needed, [k["pred"].eqNullSafe(needed["pred"]), k["val"].eqNullSafe(needed["val"])], "leftsemi").select("observation_id", "i", "k").distinct()
     known = k.groupBy("observation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "k")), lambda x, y: x["i"] - y["i"]), lambda x: x["k"]).alias("facts"))  # a record's facts
     plain = lambda a: F.transform(a, lambda g: F.struct(g["pred"].alias("pred"), g["val"].alias("val"), g["args"].alias("args"), g["n"].alias("n")))
     both = o.drop("goals", "known").join(goals, "observation_id").join(known, "observation_id", "left")

@@ -119,3 +119,13 @@ def test_on_data(spark):
         got[x["observation_id"]] = (x["score"], x["rules"], x["assumed"])
     want = {k: (w[0][0], ",".join(w[0][1]), len(w[0][2])) for k, g, n, c in obs if (w := walk(g, n, c, rules))}
     assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 1e-6 and got[k][1:] == want[k][1:] for k in want)
+
+
+def test_known_facts_that_no_rule_asks_for_are_left_out(spark):
+    """A fact whose predicate is asked for with other values only cannot entail a precondition; asked for by any value, it can."""
+    fact = lambda p, v: (p, v, [])
+    o = spark.createDataFrame([("o", [fact("e", "1")], [fact("a", "1"), fact("a", "2"), fact("b", "9"), fact("c", "1")], [])], f"observation_id string, goals array<{explain.FACT}>, known array<{explain.FACT}>, context {explain.PAIRS}")
+    r = spark.createDataFrame([("r", 0.5, [], [fact("a", "1"), fact("b", "*")], [fact("e", "1")])], f"regulation_id string, score double, scope {explain.PAIRS}, pre array<{explain.FACT}>, eff array<{explain.FACT}>")
+    start = explain._start(o, r, explain.candidate_counts(r), 7, 10).collect()[0]
+    assert [(k["pred"], k["val"]) for k in start["known"]] == [("a", "1"), ("b", "9")]
+    assert [(x["rules"], x["assumed"]) for x in explain.explain(o, r).collect()] == [("r", 0)]
