@@ -153,20 +153,28 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int, legal: bool =
     """(start, node, path, kinds, weight): all paths without repeated nodes of at most depth edges.
 
     weight is the product of the edges'. legal: only paths whose kinds compose
-    (fold_kinds), checked at each step so that illegal ones are not carried on.
+    (fold_kinds), checked at each step, by what the kinds so far amount to, so
+    that illegal ones are not carried on.
     """
+    rules = F.broadcast(compose_table(edges.sparkSession).where("allowed").select(F.col("first").alias("cur"), F.col("second").alias("kind"), "result"))  # a table of fixed size
     e = edges.select(F.col("src").alias("node"), "dst", "kind", F.col("weight").alias("w"))
-    front = starts.select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("weight"))
+    front = starts.select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.array().cast("array<string>").alias("kinds"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("cur"))
     out = None
-    for _ in range(depth):
-        front = front.join(e, "node").where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), (F.col("weight") * F.col("w")).alias("weight"))
+    for i in range(depth):
+        step = front.join(e, "node").where(~F.array_contains("path", F.col("dst")))
         if legal:
-            front = front.where(fold_kinds(F.col("kinds"))["valid"])
-        front = materialize(front, "paths")
-        out = front if out is None else out.unionByName(front)
+            step = step.join(rules, ["cur", "kind"]).withColumn("cur", F.col("result")) if i else step.where("kind is not null").withColumn("cur", F.col("kind"))
+        front = materialize(step.select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), (F.col("weight") * F.col("w")).alias("weight"), "cur"), "paths")
+        out = front.drop("cur") if out is None else out.unionByName(front.drop("cur"))
     return out
 
 
+def validated(paths: DataFrame) -> DataFrame:
+    """paths with v, validate_rich() of the column kinds, which is worked out once for each sequence of kinds."""
+    of = materialize(paths.select("kinds").distinct(), "kinds").withColumn("v", validate_rich(F.col("kinds")))
+    return paths.join(of.withColumnRenamed("kinds", "__kinds"), F.col("kinds").eqNullSafe(F.col("__kinds")), "left").drop("__kinds")
+
+
 def paths_between(edges: DataFrame, pairs: DataFrame, depth: int = 5, most: int = 50) -> DataFrame:
     """(start, end, path, weight): the `most` heaviest simple paths of at most depth edges between each pair (columns start, end).
 

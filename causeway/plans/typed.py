@@ -83,7 +83,7 @@ select start, array_to_string(path, ' > ') path, array_to_string(kinds[2:], '>')
 @query(_TYPED + _WALK)
 def gra_legal_paths(spark, d):
     """All paths of at most three edges from the query set whose kinds compose, with what they amount to."""
-    p = graph.simple_paths(base.typed_edges(spark, d), _starts(spark, d), 3, legal=True).withColumn("v", graph.validate_rich(F.col("kinds")))
+    p = graph.validated(graph.simple_paths(materialize(base.typed_edges(spark, d), "typed-edges"), _starts(spark, d), 3, legal=True))
     return p.select("start", F.array_join("path", " > ").alias("path"), F.array_join("kinds", ">").alias("kinds"), F.round("weight", 9).alias("weight"), "v.result", "v.mode", "v.force", "v.policy")
 
 

@@ -70,3 +70,15 @@ def test_shortcuts_write_no_levels(spark):
     got = graph.shortcuts(edges(spark, e), named=False)
     assert len(session._scratch[app]) - before == 1
     assert {(r["src"], r["dst"]): r["hops"] for r in got.collect()} == {(f"n{i:02d}", f"n{j:02d}"): j - i for i in range(31) for j in range(i + 2, 31)}
+
+
+def test_legal_paths_are_validated_once_for_each_sequence_of_kinds(spark):
+    """Paths carry what their kinds amount to; the plan of the result folds kinds over the distinct sequences only."""
+    rng = random.Random(4)
+    names, kinds = "abcdef", [k for k, *_ in graph.KINDS] + ["unknown"]
+    df = spark.createDataFrame([(x, y, rng.choice(kinds[:4] + kinds), 0.5, 1, "compiled") for x in names for y in names if x != y], EDGE)
+    starts = spark.createDataFrame([("a",), ("b",)], "start string")
+    legal = graph.simple_paths(df, starts, 3, legal=True)
+    every = graph.simple_paths(df, starts, 3).where(graph.fold_kinds(F.col("kinds"))["valid"])
+    assert rows(legal) == rows(every) and legal.count()
+    assert rows(graph.validated(legal).select("path", "v")) == rows(legal.select("path", graph.validate_rich(F.col("kinds")).alias("v")))
