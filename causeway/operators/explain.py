@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators import beam as held
 from causeway.session import materialize, materialize_counted
 from causeway.skew import hot_of_counts, salted_join
 
@@ -122,16 +123,30 @@ def explain(observations: DataFrame, rules: DataFrame, beam: int = BEAM, depth:
     `beam` best states of an observation are kept. A chain must end within
     depth - 1 steps; score is its sum, by the number of rules if normalised.
 
-    Each step is written to the shared folder. Goals meet effects by a join
-    with salted hot keys; states are ranked per observation, which has at most
-    beam times the candidates of a goal. Observations without goals, with more
-    goals than steps, or without any chain that ends have no row.
+    Observations without goals, with more goals than steps, or without any
+    chain that ends have no row.
+
+    The rules that can be in a beam are sent to the workers, where each
+    observation is searched on its own (see beam.search). Rules that are too
+    many for that are joined, and each step is written to the shared folder:
+    goals meet effects by a join with salted hot keys; states are ranked per
+    observation, which has at most beam times the candidates of a goal.
     """
     steps = depth - 1
     # read by every step
     rules = materialize(rules.select("regulation_id", "score", "scope", "pre", "eff"), "rules")
     counts = materialize(candidate_counts(rules), "candidate-counts")
     effects = materialize(_effects(rules, beam + steps), "effects")
+    used = rules.join(effects.select("regulation_id").distinct(), "regulation_id", "leftsemi").where(F.size("pre") > 0).select("regulation_id", "pre")
+    if effects.count() + (used.agg(F.sum(F.size("pre"))).first()[0] or 0) <= held.MAX_HELD:
+        h = held.hold(
+            effects.select("pred", "val", F.col("eff.args").alias("args"), "regulation_id", "gain", "scope"), used,
+            counts.select("pred", "val", F.explode("scopes").alias("s")).select("pred", "val", "s.scope", "s.n"),
+        )
+        some = observations.where((F.size("goals") > 0) & (F.size(F.array_distinct("goals")) <= steps))
+        # few rows make much work here, so their partitions must not be merged by size
+        spread = some.repartition(4 * observations.sparkSession.sparkContext.defaultParallelism)
+        return held.searched(h, spread, beam, steps, top, ASSUMPTION_COST, length_cost, most_assumptions, normalised)
     pre = materialize(_conditions(rules, counts).join(effects.select("regulation_id").distinct(), "regulation_id", "leftsemi"), "conditions")
     sizes = effects.groupBy("pred", "val").agg(F.count("*").alias("n"))
     state = materialize(_start(observations, rules, counts, steps, most_assumptions), "states")

@@ -129,3 +129,36 @@ def test_known_facts_that_no_rule_asks_for_are_left_out(spark):
     start = explain._start(o, r, explain.candidate_counts(r), 7, 10).collect()[0]
     assert [(k["pred"], k["val"]) for k in start["known"]] == [("a", "1"), ("b", "9")]
     assert [(x["rules"], x["assumed"]) for x in explain.explain(o, r).collect()] == [("r", 0)]
+
+
+def test_rules_are_held_or_joined_alike(spark, monkeypatch):
+    """Where workers hold the rules no step is written; with more rules than they hold the steps are joined, and the result is the same."""
+    rng = random.Random(9)
+    pick = lambda: (rng.choice("abcde"), rng.choice("12"), ((("s", rng.choice(["?x", "*", "1", "2", None])),) if rng.random() < 0.5 else ()))
+    ground = lambda: (rng.choice("abcde"), rng.choice(["1", "2", None]), ((("s", rng.choice("12")),) if rng.random() < 0.7 else ()))
+    rules = [(f"r{i:02d}", rng.choice([0.2, 0.5, 0.9]), (("os", rng.choice("lm")),) if rng.random() < 0.3 else (), [pick() for _ in range(rng.randrange(0, 3))], [pick() for _ in range(rng.randrange(1, 3))]) for i in range(40)]
+    obs = [(f"o{i}", [ground() for _ in range(rng.randrange(0, 4))], [ground() for _ in range(rng.randrange(0, 5))], {"os": rng.choice("lm")}) for i in range(60)]
+    o, r = frames(spark, obs, rules)
+    told, plain = [], explain.materialize_counted
+    monkeypatch.setattr(explain, "materialize_counted", lambda df, name, **kw: told.append(name) or plain(df, name, **kw))
+    rows = lambda: sorted((x["observation_id"], x["rank"], round(x["score"], 6), x["rules"], x["assumed"]) for x in explain.explain(o, r, beam=5, depth=5, top=4, length_cost=0.0, normalised=False).collect())
+    got = rows()
+    assert not told
+    monkeypatch.setattr(explain.held, "MAX_HELD", 0)
+    assert got and rows() == got and "states" in told
+
+
+def test_candidates_are_looked_at_only_until_the_beam_is_full():
+    """Of a thousand rules by which a goal can be derived, only those that can be in the beam are met."""
+
+    class Told(list):
+        n = 0
+
+        def __getitem__(self, i):
+            Told.n += 1
+            return super().__getitem__(i)
+
+    effects = {("e", "1"): Told((-i, f"r{i:04d}", (), i, 0) for i in range(1000))}
+    h = explain.held.Held(effects, [()] * 1000, {("e", "1"): [(0, 1000)]}, [()], set())
+    got = explain.held.search(h, (("e", "1", ()),), (), (), 20, 7, 5, 10, 0, 10, True)
+    assert got == [(-i, (f"r{i:04d}",), ()) for i in range(5)] and Told.n <= 22
