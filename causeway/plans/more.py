@@ -241,8 +241,7 @@ def txt_keyword_clusters(spark, d):
     sets = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "tfidf"))).alias("v"))
     own = materialize(sets.join(sets.groupBy("v").agg(F.min("doc_id").alias("class_id")), "v").select("doc_id", "class_id"), "classes")
     one = own.where("doc_id = class_id").select("doc_id")
-    pairs = reasoning.cosine_pairs(top.join(one, "doc_id", "leftsemi"), "doc_id", "word", "tfidf", 0.3)
-    leaders = reasoning.leader_clusters(pairs.select("a", "b"), one, "doc_id").withColumnRenamed("doc_id", "class_id")
+    leaders = reasoning.cosine_leaders(top.join(one, "doc_id", "leftsemi"), "doc_id", "word", "tfidf", 0.3).withColumnRenamed("doc_id", "class_id")
     return own.join(leaders, "class_id").select("doc_id", "leader")
 
 

@@ -44,3 +44,23 @@ def test_first_compositions_are_those_of_all(spark):
     want = sorted((min(c), *k) for k, c in best.items())
     for n in (5, 10_000):
         assert [(r["chain"], r["pre"], r["eff"]) for r in reasoning.first_compositions(t, n, block=2).collect()] == want[:n]
+
+
+@pytest.mark.parametrize("often", [2, 64])
+def test_leaders_of_vectors_in_blocks(spark, monkeypatch, often):
+    """Greedy leaders by cosine, in one block or several, are those of comparing with every leader; only pairs within a block are listed."""
+    rng = random.Random(7)
+    vectors = {f"d{i:03d}": {m: rng.choice([0.1, 0.5, 1.0, 3.0]) for m in rng.sample("abcdefghijklmnopqrstuvw", rng.randrange(1, 6))} | {f"own{i}": rng.choice([0.2, 2.0])} for i in range(120)}
+    vectors |= {f"e{i:03d}": {"z": 1.0 + i / 100, f"own{i}": 0.1} for i in range(40)} | {"zero": {"a": 0.0}}
+    size = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in vectors.items()}
+    want = {}
+    for k in sorted(vectors):
+        alike = (l for l in sorted(want) if want[l] == l and size[k] * size[l] and sum(x * vectors[l].get(m, 0) for m, x in vectors[k].items()) / size[k] / size[l] >= 0.3 - 1e-9)
+        want[k] = next(alike, k)
+    rows = spark.createDataFrame([(k, m, x) for k, v in vectors.items() for m, x in v.items()], "k string, m string, x double")
+    listed, plain = [], reasoning.leader_clusters
+    monkeypatch.setattr(reasoning, "_OFTEN", often)
+    monkeypatch.setattr(reasoning, "leader_clusters", lambda p, *a: listed.append(p.distinct().count()) or plain(p, *a))
+    for block in (1000, 20):
+        assert {tuple(r) for r in reasoning.cosine_leaders(rows, "k", "m", "x", 0.3, block=block).collect()} == set(want.items())
+    assert len(listed) > 2 and sum(listed[1:]) < listed[0]
