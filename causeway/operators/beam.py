@@ -10,8 +10,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The most effects and preconditions a worker holds (about 700 bytes each); searches by more rules join instead.
-MAX_HELD = 400_000
+#: The most effects and preconditions a worker holds (about 150 bytes each); searches by more rules join instead.
+MAX_HELD = 2_000_000
+#: How much a task remembers of earlier searches: facts asked for and results (some 100 bytes each).
+MAX_REMEMBERED = 1_000_000
 _UNIT = 1_000_000_000  # totals are whole numbers of 1e-9, so that sums are exact
 _ROWS = 20_000  # rows handed over together
 
@@ -27,46 +29,56 @@ class Held:
     asked: set[str]  # the preds of preconditions
 
 
-def _pairs(column: pa.Array) -> list[tuple]:
-    """The tuples of pairs of a column of PAIRS."""
-    flat = column.flatten()
-    e = list(zip(flat.field("k").to_pylist(), flat.field("v").to_pylist()))
+def _texts(column: pa.Array) -> list[str | None]:
+    """The texts of a column, equal ones as one object."""
+    d = column.dictionary_encode()
+    words = [*d.dictionary.to_pylist(), None]
+    return [words[i] for i in d.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
+
+
+def _lists(column: pa.Array, e: list) -> list[tuple]:
+    """The elements e of a column of arrays as a tuple a row, empty for null."""
     at, out = 0, []
-    for n in column.value_lengths().to_pylist():
+    for n in column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).tolist():
         out.append(tuple(e[at : at + n]) if n else ())
-        at += n or 0
+        at += n
     return out
 
 
+def _pairs(column: pa.Array) -> list[tuple]:
+    """The tuples of pairs of a column of PAIRS."""
+    flat = column.flatten()
+    return _lists(column, list(zip(_texts(flat.field("k")), _texts(flat.field("v")))))
+
+
 def _facts(column: pa.Array) -> list[tuple]:
     """The tuples of facts (pred, val, arguments) of a column of arrays of FACT."""
     flat = column.flatten()
-    e = list(zip(flat.field("pred").to_pylist(), flat.field("val").to_pylist(), _pairs(flat.field("args"))))
-    at, out = 0, []
-    for n in column.value_lengths().to_pylist():
-        out.append(tuple(e[at : at + n]) if n else ())
-        at += n or 0
-    return out
+    return _lists(column, list(zip(_texts(flat.field("pred")), _texts(flat.field("val")), _pairs(flat.field("args")))))
 
 
 def hold(effects: DataFrame, pre: DataFrame, counts: DataFrame) -> Held:
     """What is asked of the rules, on the driver. effects: pred, val, args, regulation_id, gain, scope; pre: regulation_id, pre (arrays of FACT); counts: pred, val, scope, n."""
     number: dict[tuple, int] = {}
-    t = pre.toArrow().combine_chunks()
-    rule = {k: i for i, k in enumerate(t["regulation_id"].to_pylist())}
-    conditions = [*_facts(t["pre"].combine_chunks()), ()] if len(rule) else [()]
-    of, by = defaultdict(list), defaultdict(list)
-    t = effects.toArrow().combine_chunks()
-    if len(t):
-        args, scope = (_pairs(t[c].combine_chunks()) for c in ("args", "scope"))
-        for p, v, a, k, g, s in zip(t["pred"].to_pylist(), t["val"].to_pylist(), args, t["regulation_id"].to_pylist(), t["gain"].to_pylist(), scope):
-            of[p, v].append((round(g * _UNIT), k, a, rule.get(k, len(rule)), number.setdefault(s, len(number))))
+    # equal values are one object, here and in the workers
+    seen: dict = {}
+    one = lambda x: seen.setdefault(x, x)
+    rule: dict[str, int] = {}
+    conditions, of, by = [], defaultdict(list), defaultdict(list)
+    for b in pre.toArrow().to_batches():
+        for k, c in zip(b["regulation_id"].to_pylist(), _facts(b["pre"])):
+            rule[k] = len(conditions)
+            conditions.append(tuple(one((one(p), one(v), one(a))) for p, v, a in c))
+    conditions.append(())
+    ids = {k: k for k in rule}
+    for b in effects.toArrow().to_batches():
+        for p, v, a, k, g, s in zip(_texts(b["pred"]), _texts(b["val"]), _pairs(b["args"]), b["regulation_id"].to_pylist(), b["gain"].to_pylist(), _pairs(b["scope"])):
+            of[one(p), one(v)].append((round(g * _UNIT), ids.get(k, k), one(a), rule.get(k, len(rule)), number.setdefault(s, len(number))))
     for v in of.values():
         v.sort(key=lambda e: (-e[0], e[1]))
-    t = counts.toArrow().combine_chunks()
-    if len(t):
-        for p, v, s, n in zip(t["pred"].to_pylist(), t["val"].to_pylist(), _pairs(t["scope"].combine_chunks()), t["n"].to_pylist()):
-            by[p, v].append((number.setdefault(s, len(number)), n))
+    for b in counts.toArrow().to_batches():
+        for p, v, s, n in zip(_texts(b["pred"]), _texts(b["val"]), _pairs(b["scope"]), b["n"].to_pylist()):
+            by[one(p), one(v)].append(one((number.setdefault(s, len(number)), n)))
     return Held(dict(of), conditions, dict(by), list(number), {p[0] for c in conditions for p in c if p[0] is not None})
 
 
@@ -94,17 +106,63 @@ def _ordered(x):
     return tuple(map(_ordered, x)) if isinstance(x, tuple) else (x is not None, x if x is not None else "")
 
 
-def search(h: Held, goals: tuple, known: tuple, context: tuple, beam: int, steps: int, top: int, assumption: int, length: int, most: int, normalised: bool) -> list[tuple]:
+@dataclass
+class Memory:
+    """Earlier searches with the same parameters. A search is told by its open goals, the number of those that no rule derives and
+    the part of the context that scopes name; of the known facts only those matter that it asks for, by pred and value."""
+
+    scoped: set[tuple]  # the pairs of all scopes
+    contexts: dict[frozenset, tuple[dict, dict]]  # per context: which scopes fit, how many rules derive a fact
+    searches: dict[tuple, dict[frozenset, dict[tuple, list]]]  # by what tells a search: the facts asked for, those known of them, the result
+    size: int = 0
+
+    def recall(self, key: tuple, known: tuple) -> list | None:
+        for asked, results in self.searches.get(key, {}).items():
+            if (x := results.get(_told(asked, known))) is not None:
+                return x
+        return None
+
+    def keep(self, key: tuple, asked: frozenset, known: tuple, result: list) -> None:
+        if self.size > MAX_REMEMBERED:
+            self.searches.clear()
+            self.size = 0
+        by = self.searches.setdefault(key, {})
+        self.size += 10 * len(result) + 10 + (0 if asked in by else len(asked))
+        by.setdefault(asked, {})[_told(asked, known)] = result
+
+
+def memory(h: Held) -> Memory:
+    return Memory({p for s in h.scopes for p in s}, {}, {})
+
+
+def _told(asked: frozenset, known: tuple) -> tuple:
+    """The known facts that are asked for."""
+    return tuple(f for f in known if f[:2] in asked or (f[0], "*") in asked)
+
+
+def search(h: Held, goals: tuple, known: tuple, context: tuple, beam: int, steps: int, top: int, assumption: int, length: int, most: int, normalised: bool, memory: Memory | None = None) -> list[tuple]:
     """(score, path, assumed) of the best explanations of one observation, scores and costs in units of 1e-9.
 
     The candidates of a state lie from the best to the worst, and so do their
-    totals; the states' lists are merged only until the beam is full.
+    totals; the states' lists are merged only until the beam is full. No step is
+    made once every state has more open goals than there are steps, as each
+    closes one. With a memory a search like an earlier one is not made again.
     """
     goals = tuple(dict.fromkeys(goals))
     if not 0 < len(goals) <= steps:
         return []
+    named = lambda g: "|".join(x for x in g[:2] if x is not None)
+    # those that no rule derives in any scope need no more than their names
+    if not any(g[:2] in h.counts for g in goals):
+        return [(-assumption * len(goals), (), tuple(map(named, goals)))] if len(goals) <= most else []
     pairs, fitting, rivals, results, facts = {c for c in context if None not in c}, {}, {}, {}, defaultdict(list)
-    for f in dict.fromkeys(known):
+    if memory is not None:
+        scope = frozenset(pairs & memory.scoped)
+        fitting, rivals = memory.contexts.setdefault(scope, ({}, {}))
+        if len(rivals) > 50_000:
+            rivals.clear()
+    known = tuple(dict.fromkeys(known))
+    for f in known:
         if f[0] in h.asked:
             facts[f[0]].append(f)
 
@@ -115,7 +173,9 @@ def search(h: Held, goals: tuple, known: tuple, context: tuple, beam: int, steps
 
     def count(pred: str, val: str) -> int:
         if (x := rivals.get((pred, val))) is None:
-            x = rivals[pred, val] = sum(n for s, n in h.counts.get((pred, val), ()) if fits(s))
+            if (c := h.counts.get((pred, val))) is None:
+                return 0
+            x = rivals[pred, val] = sum(n for s, n in c if fits(s))
         return x
 
     def conditions(rule: int, bound: tuple) -> tuple:
@@ -133,12 +193,16 @@ def search(h: Held, goals: tuple, known: tuple, context: tuple, beam: int, steps
                 new.append((pred, val, args, count(pred, val)))
         return bound, tuple(new)
 
-    named = lambda g: "|".join(x for x in g[:2] if x is not None)
     goals = [(*g, count(g[0], g[1])) for g in goals]
     bare = tuple(named(g) for g in goals if not g[3])
     if len(bare) > most:
         return []
-    out, front, past = [], [(assumption * len(bare), (), bare, tuple(g for g in goals if g[3]), ())], len(bare)
+    open_ = tuple(g for g in goals if g[3])
+    if memory is not None:
+        like = (open_, len(bare), scope)
+        if (x := memory.recall(like, known)) is not None:
+            return [(score, path, (*bare, *assumed)) for score, path, assumed in x]
+    out, front, past = [], [(assumption * len(bare), (), bare, open_, ())], len(bare)
     heap, at = [], []
 
     def advance(i: int, j: int) -> bool:
@@ -157,7 +221,7 @@ def search(h: Held, goals: tuple, known: tuple, context: tuple, beam: int, steps
         by = (lambda s: max(1, len(s[1]))) if normalised else lambda s: 1
         out += [(s[0], by(s), s[1], s[2]) for s in front if not s[3]]
         front = [s for s in front if s[3]]
-        if not front or past >= steps:
+        if not any(len(s[3]) <= steps - past for s in front):
             break
         past += 1
         heap.clear()
@@ -187,7 +251,10 @@ def search(h: Held, goals: tuple, known: tuple, context: tuple, beam: int, steps
             front = sorted(front, key=lambda s: (*s[:3], _ordered(s[3]), _ordered(s[4])))[:beam]
     # halves are rounded away from 0
     scored = [(-((2 * cost + n) // (2 * n)) if cost >= 0 else (2 * -cost + n) // (2 * n), path, assumed) for cost, n, path, assumed in out]
-    return sorted(scored, key=lambda x: (-x[0], x[1], x[2]))[:top]
+    best = sorted(scored, key=lambda x: (-x[0], x[1], x[2]))[:top]
+    if memory is not None:
+        memory.keep(like, frozenset(p[:2] for rule, _ in results for p in h.pre[rule]), known, [(score, path, assumed[len(bare) :]) for score, path, assumed in best])
+    return best
 
 
 def searched(h: Held, observations: DataFrame, beam: int, steps: int, top: int, assumption_cost: float, length_cost: float, most: int, normalised: bool) -> DataFrame:
@@ -197,11 +264,12 @@ def searched(h: Held, observations: DataFrame, beam: int, steps: int, top: int,
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, rows = sent.value, []
+        earlier = memory(h)
         names = ["observation_id", "rank", "score", "rules", "assumed"]
         made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.float64(), pa.string(), pa.int64()))], names)
         for b in batches:
             for key, goals, known, context in zip(b.column(0).to_pylist(), *map(_facts, b.columns[1:3]), _pairs(b.column(3))):
-                for i, (score, path, assumed) in enumerate(search(h, goals, known, context, beam, steps, top, *costs, most, normalised)):
+                for i, (score, path, assumed) in enumerate(search(h, goals, known, context, beam, steps, top, *costs, most, normalised, earlier)):
                     rows.append((key, i + 1, score / _UNIT, ",".join(path), len(assumed)))
             if len(rows) >= _ROWS:
                 yield made()

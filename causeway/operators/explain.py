@@ -19,7 +19,7 @@ PAIRS = "array<struct<k:string,v:string>>"
 FACT = f"struct<pred:string,val:string,args:{PAIRS}>"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -49,7 +49,7 @@ def unify(pattern: Column, target: Column, bound: Column) -> Column:
     fits = F.forall(pattern["args"], lambda e: F.exists(target["args"], lambda x: (x["k"] == e["k"]) & (F.coalesce(e["v"] == "*", F.lit(False)) | _variable(e["v"]) | e["v"].eqNullSafe(x["v"]))))
     new = F.transform(F.filter(pattern["args"], lambda e: _variable(e["v"])), lambda e: F.struct(e["v"].alias("k"), _of(target["args"], e["k"]).alias("v")))
     consistent = lambda b: F.when(F.size(b) == F.size(F.array_distinct(F.transform(b, lambda e: e["k"]))), b)
-    return F.when(same & fits, _let(F.array_distinct(F.concat(bound, new)), consistent))
+    return F.when(same & fits, once(F.array_distinct(F.concat(bound, new)), consistent))
 
 
 def substitute(pattern: Column, bound: Column) -> Column:
@@ -144,8 +144,10 @@ def explain(observations: DataFrame, rules: DataFrame, beam: int = BEAM, depth:
             counts.select("pred", "val", F.explode("scopes").alias("s")).select("pred", "val", "s.scope", "s.n"),
         )
         some = observations.where((F.size("goals") > 0) & (F.size(F.array_distinct("goals")) <= steps))
-        # few rows make much work here, so their partitions must not be merged by size
-        spread = some.repartition(4 * observations.sparkSession.sparkContext.defaultParallelism)
+        # few rows make much work here, so their partitions must not be merged by size; like goals meet in a task, which
+        # remembers its searches. Single goals repeat the most, so those are spread
+        salt = F.when(F.size("goals") == 1, F.pmod(F.xxhash64("observation_id"), F.lit(4))).otherwise(F.lit(0))
+        spread = some.repartition(4 * observations.sparkSession.sparkContext.defaultParallelism, F.xxhash64("goals"), salt)
         return held.searched(h, spread, beam, steps, top, ASSUMPTION_COST, length_cost, most_assumptions, normalised)
     pre = materialize(_conditions(rules, counts).join(effects.select("regulation_id").distinct(), "regulation_id", "leftsemi"), "conditions")
     sizes = effects.groupBy("pred", "val").agg(F.count("*").alias("n"))
@@ -209,9 +211,9 @@ def _preconditions(pre: Column, known: Column, bound: Column, context: Column) -
                 new = F.array(F.struct(p2["pred"].alias("pred"), p2["val"].alias("val"), p2["args"].alias("args"), _count_for(p["scopes"], context).alias("n")))
                 return F.struct(F.coalesce(b, acc["bound"]).alias("bound"), F.when(b.isNull(), F.concat(acc["goals"], new)).otherwise(acc["goals"]).alias("goals"))
 
-            return _let(entails(known, p2, acc["bound"]), chosen)
+            return once(entails(known, p2, acc["bound"]), chosen)
 
-        return _let(substitute(p, acc["bound"]), judged)
+        return once(substitute(p, acc["bound"]), judged)
 
     return F.aggregate(pre, zero, step)
 

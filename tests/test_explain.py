@@ -177,3 +177,71 @@ def test_detection_reads_the_observations_once(spark, monkeypatch):
         if score is None or score < -2.2 or assumed:
             want.add((k, "no_chain" if score is None else "low_score" if score < -2.2 else "pre_not_satisfied", score, assumed))
     assert got == want and any(r[1] == "no_chain" for r in got)
+
+
+def test_equal_values_are_held_once():
+    """The rules of 1 GB (some 640,000 effects and preconditions) are held, not joined: what is equal is one object, so an item takes little."""
+    import pickle
+
+    import pyarrow as pa
+
+    beam = explain.held
+    assert beam.MAX_HELD > 640_000
+    pairs = pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())]))
+    facts = pa.list_(pa.struct([("pred", pa.string()), ("val", pa.string()), ("args", pairs)]))
+    args = lambda i: [{"k": "slot", "v": str(i % 3)}]
+
+    class Frame:
+        def __init__(self, **columns):
+            self.columns = columns
+
+        def toArrow(self):
+            return pa.table(self.columns)
+
+    n = 3000
+    ids = [f"r{i}" for i in range(n)]
+    h = beam.hold(
+        Frame(pred=["turbine.mode"] * n, val=[f"v{i % 40}" for i in range(n)], args=pa.array([args(i) for i in range(n)], pairs), regulation_id=ids, gain=[-0.5] * n, scope=pa.array([[]] * n, pairs)),
+        Frame(regulation_id=ids, pre=pa.array([[{"pred": "turbine.mode", "val": f"v{i % 40}", "args": args(i)}] * 2 for i in range(n)], facts)),
+        Frame(pred=["turbine.mode"] * 40, val=[f"v{i}" for i in range(40)], scope=pa.array([[]] * 40, pairs), n=[75] * 40),
+    )
+    assert len({id(p) for c in h.pre for p in c}) == len({p for c in h.pre for p in c}) == 120
+    assert len({id(e[2]) for v in h.effects.values() for e in v}) == 3 and sum(map(len, h.effects.values())) == n
+    assert len(pickle.dumps(h, 5)) < 20 * 3 * n
+
+
+def test_searches_that_are_remembered_are_like_new_ones():
+    """The same goals with other known facts, contexts, arguments and goals that nothing derives; alike searches are made once."""
+    beam, rng = explain.held, random.Random(12)
+    arg = lambda *v: ((("s", rng.choice(v)),) if rng.random() < 0.4 else ())
+    scopes, pre, effects, counts = [(), (("os", "l"),), (("os", "m"),)], [], {}, {}
+    for i in range(60):
+        pre.append(tuple((rng.choice("abcdefk"), rng.choice(["1", "2", "*", None]), arg("?x", "*", "1", "2")) for _ in range(rng.randrange(0, 3))))
+        effects.setdefault((rng.choice("abcdef"), rng.choice("12")), []).append((-rng.randrange(1, 9) * 10**8, f"r{i:02d}", arg("?x", "*", "1"), i, rng.randrange(3)))
+    for k, v in effects.items():
+        v.sort(key=lambda e: (-e[0], e[1]))
+        counts[k] = [(s, n) for s in range(3) if (n := sum(e[4] == s for e in v))]
+    h = beam.Held(effects, pre, counts, scopes, {p[0] for c in pre for p in c})
+    fact = lambda names: (rng.choice(names), rng.choice(["1", "2", None]), arg("1", "2"))
+    obs = [(tuple(fact("abcdefz") for _ in range(rng.randrange(0, 4))), tuple(fact("abcdefkz") for _ in range(rng.randrange(0, 5))), (("os", rng.choice("lmx")), ("site", rng.choice("ab")))) for _ in range(1500)]
+    for p in ((4, 7, 5, 1_200_000_000, 50_000_000, 10, True), (6, 4, 10, 1_200_000_000, 0, 2, False)):
+        m = beam.memory(h)
+        assert [beam.search(h, *o, *p, m) for o in obs] == [beam.search(h, *o, *p) for o in obs]
+        size = m.size
+        assert size and [beam.search(h, *o, *p, m) for o in obs] == [beam.search(h, *o, *p) for o in obs] and m.size == size
+
+
+def test_no_step_is_made_that_nothing_can_end_in():
+    """Each step closes one goal, so states with more goals than steps that are left are not followed."""
+
+    class Told(list):
+        n = 0
+
+        def __getitem__(self, i):
+            Told.n += 1
+            return super().__getitem__(i)
+
+    pre = [tuple((f"p{j}", "1", ()) for j in range(8))]
+    effects = {("e", "1"): Told([(-1, "r0", (), 0, 0)]), **{(f"p{j}", "1"): Told([(-1, f"s{j}", (), 1, 0)]) for j in range(8)}}
+    h = explain.held.Held(effects, [*pre, ()], {k: [(0, 1)] for k in effects}, [()], {f"p{j}" for j in range(8)})
+    assert explain.held.search(h, (("e", "1", ()),), (), (), 20, 7, 5, 10, 0, 10, True) == [] and Told.n == 1
