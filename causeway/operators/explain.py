@@ -143,11 +143,10 @@ def explain(observations: DataFrame, rules: DataFrame, beam: int = BEAM, depth:
             effects.select("pred", "val", F.col("eff.args").alias("args"), "regulation_id", "gain", "scope"), used,
             counts.select("pred", "val", F.explode("scopes").alias("s")).select("pred", "val", "s.scope", "s.n"),
         )
-        some = observations.where((F.size("goals") > 0) & (F.size(F.array_distinct("goals")) <= steps))
         # few rows make much work here, so their partitions must not be merged by size; like goals meet in a task, which
         # remembers its searches. Single goals repeat the most, so those are spread
         salt = F.when(F.size("goals") == 1, F.pmod(F.xxhash64("observation_id"), F.lit(4))).otherwise(F.lit(0))
-        spread = some.repartition(4 * observations.sparkSession.sparkContext.defaultParallelism, F.xxhash64("goals"), salt)
+        spread = _searchable(observations, h, steps).repartition(4 * observations.sparkSession.sparkContext.defaultParallelism, F.xxhash64("goals"), salt)
         return held.searched(h, spread, beam, steps, top, ASSUMPTION_COST, length_cost, most_assumptions, normalised)
     pre = materialize(_conditions(rules, counts).join(effects.select("regulation_id").distinct(), "regulation_id", "leftsemi"), "conditions")
     sizes = effects.groupBy("pred", "val").agg(F.count("*").alias("n"))
@@ -190,6 +189,23 @@ def explain(observations: DataFrame, rules: DataFrame, beam: int = BEAM, depth:
     return out.select("observation_id", "rank", "score", F.array_join("path", ",").alias("rules"), F.size("assumed").cast("long").alias("assumed"))
 
 
+#: With more predicates or keys than this a list of them is no condition.
+_LISTED = 1000
+
+
+def _searchable(observations: DataFrame, h: held.Held, steps: int) -> DataFrame:
+    """(observation_id, goals, known, context) of the observations that can have a chain, with what the rules ask for only: facts by predicate, context by the keys of scopes.
+
+    A generator instead of a condition, which would be pushed down and compute the goals again.
+    """
+    keys = {k for s in h.scopes for k, _ in s}
+    known = F.filter("known", lambda f: f["pred"].isin(sorted(h.asked))) if len(h.asked) <= _LISTED else F.col("known")
+    context = F.filter("context", lambda e: e["k"].isin(sorted(keys))) if len(keys) <= _LISTED else F.col("context")
+    some = lambda g: (F.size(g) > 0) & (F.size(F.array_distinct(g)) <= steps)
+    row = lambda g: F.struct("observation_id", g.alias("goals"), known.alias("known"), context.alias("context"))
+    return observations.select(F.inline(once(F.col("goals"), lambda g: F.when(some(g), F.array(row(g))))))
+
+
 def _ended(state: DataFrame, normalised: bool) -> DataFrame:
     by = F.greatest(F.size("path"), F.lit(1)) if normalised else F.lit(1)
     return state.select("observation_id", F.round(F.col("total") / by, 9).alias("score"), "path", "assumed")

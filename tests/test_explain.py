@@ -245,3 +245,14 @@ def test_no_step_is_made_that_nothing_can_end_in():
     effects = {("e", "1"): Told([(-1, "r0", (), 0, 0)]), **{(f"p{j}", "1"): Told([(-1, f"s{j}", (), 1, 0)]) for j in range(8)}}
     h = explain.held.Held(effects, [*pre, ()], {k: [(0, 1)] for k in effects}, [()], {f"p{j}" for j in range(8)})
     assert explain.held.search(h, (("e", "1", ()),), (), (), 20, 7, 5, 10, 0, 10, True) == [] and Told.n == 1
+
+
+def test_only_what_rules_ask_for_is_sent_to_the_search(spark):
+    """Facts and context that no rule names, and observations without a chain, cross no shuffle."""
+    f = lambda p, v="1": (p, v, ())
+    o, _ = frames(spark, [("o", [f("e")], [f("a"), f("b"), f("site", "x")], {"os": "l", "site": "x"}), ("none", [], [f("a")], {}), ("many", [f(f"m{i}") for i in range(8)], [], {})], [])
+    h = explain.held.Held({}, [(f("a"),), ()], {}, [(), (("os", "m"),)], {"a"})
+    got = explain._searchable(o, h, 7).collect()
+    assert [(r["observation_id"], [x["pred"] for x in r["goals"]], [x["pred"] for x in r["known"]], [x["k"] for x in r["context"]]) for r in got] == [("o", ["e"], ["a"], ["os"])]
+    none = explain._searchable(o, explain.held.Held({}, [()], {}, [()], set()), 7).collect()
+    assert [(r["known"], r["context"]) for r in none] == [([], [])]
